@@ -97,3 +97,23 @@ def first_n(df: DataFrame, key: str, tie: str, cap: CapSpec,
     """Keep only the first ``cap`` rows per partition (exact, hash-ordered)."""
     return (flag_first_n(df, key, tie, cap, "_fn_keep", partition_cols, **kw)
             .where("_fn_keep").drop("_fn_keep"))
+
+
+def global_position(df: DataFrame, key: str, tie: str, out: str = "pos",
+                    partition_cols: tuple[str, ...] = (), prefix_len: int = 4) -> DataFrame:
+    """1-based position of every row in ``(key, tie)`` order, per partition, without a
+    single-partition window: rows are ranked inside their key bucket (16^prefix_len buckets,
+    so each window partition holds ≈ rows / 65,536) and offset by the rows of all earlier
+    buckets, taken from a broadcast table of ≤ 16^prefix_len counts per partition value."""
+    pcols = list(partition_cols)
+    b = "_gp_bucket"
+    rows = df.withColumn(b, F.substring(F.col(key), 1, prefix_len))
+    counts = rows.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("_gp_cnt"))
+    wp = Window.partitionBy(*pcols) if pcols else Window.partitionBy()
+    before = counts.select(*pcols, b, F.coalesce(
+        F.sum("_gp_cnt").over(wp.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_gp_before"))
+    wb = Window.partitionBy(*pcols, b).orderBy(F.col(key), F.col(tie))
+    return (rows.join(F.broadcast(before), [*pcols, b])
+            .withColumn(out, F.col("_gp_before") + F.row_number().over(wb))
+            .drop(b, "_gp_before"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_corpus, q_text  # noqa: F401
+from . import q_corpus, q_dataset, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
