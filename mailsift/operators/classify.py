@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import materialize
 from .features import explode_tokens
 
 def _label_map() -> Column:
@@ -86,7 +87,8 @@ def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "lab
     n_all = docs.agg(F.sum("n").alias("n_all"))
     priors = (docs.withColumn("_one", F.lit(1)).join(F.broadcast(n_all.withColumn("_one", F.lit(1))), "_one")
               .select(F.col(label_col).alias("label"), F.log(F.col("n") / F.col("n_all")).alias("log_prior")))
-    return table, priors
+    # fitting is eager: the model tables are written once and every scoring job reads them
+    return materialize(table), materialize(priors)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -34,11 +34,14 @@ def clean_labelled(spark: SparkSession, base_dir: str, label_col: str = "toxic",
 
 def prepare_corpus(spark: SparkSession, base_dir: str, label_col: str = "toxic",
                    balance_ratio: float = 1.0, val_ratio: float = 0.2,
-                   min_length: int = P.MIN_TEXT_LENGTH) -> DataFrame:
+                   min_length: int = P.MIN_TEXT_LENGTH, materialized: bool = False) -> DataFrame:
+    """``materialized=True`` cuts the lineage of the result too, for callers that run
+    several actions over it (model fitting, grids)."""
     rows = clean_labelled(spark, base_dir, label_col, min_length)
     unique = materialize(dedup_keep_first(rows, "fp", "doc_id", scope=("label",)))
     balanced = class_balance(unique, "doc_id", balance_ratio, "label")
-    return train_val_split(balanced, "doc_id", val_ratio)
+    corpus = train_val_split(balanced, "doc_id", val_ratio)
+    return materialize(corpus) if materialized else corpus
 
 
 def prepare_corpus_counts(spark: SparkSession, base_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ pred AS (SELECT *, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS pred FROM pr)"""
 
 
 def _nb_parts(spark, base, alpha: float = 1.0):
-    corpus = prepare_corpus(spark, base)
+    corpus = prepare_corpus(spark, base, materialized=True)
     train = corpus.where(F.col("part") == "train")
     val = corpus.where(F.col("part") == "val")
     table, priors = nb_fit(train, "email_text", "label", alpha)
@@ -180,7 +180,7 @@ def _grid_sql() -> str:
 
 def _grid_runs(spark, base):
     val, table, priors = None, None, None
-    corpus = prepare_corpus(spark, base)
+    corpus = prepare_corpus(spark, base, materialized=True)
     train = corpus.where(F.col("part") == "train")
     val = corpus.where(F.col("part") == "val")
     runs = None

@@ -93,7 +93,7 @@ def layered_routing(spark, base):
     ph, bl, tr = _lists(spark, base)
     body = with_computed(pages(spark, base, "page_id", "html"),
                          body=clean_masked(html_to_text("html"))).select("page_id", "body")
-    corpus = prepare_corpus(spark, base)
+    corpus = prepare_corpus(spark, base, materialized=True)
     table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
     p = nb_predict(body.withColumnRenamed("page_id", "doc_id"), table, priors, "body") \
         .select(F.col("doc_id").alias("page_id"), "p_1")
