@@ -26,6 +26,7 @@ PART_TYPE = T.StructType([
 
 PARSED_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("parse_status", T.StringType()),
+    T.StructField("message_id", T.StringType()),
     T.StructField("subject", T.StringType()), T.StructField("from_addr", T.StringType()),
     T.StructField("to_addr", T.StringType()), T.StructField("date", T.StringType()),
     T.StructField("return_path", T.StringType()), T.StructField("multipart", T.BooleanType()),
@@ -88,7 +89,8 @@ def parse_message(raw: bytes) -> dict:
         parts.append({"idx": 0, "content_type": msg.get_content_type(),
                       "disposition": str(msg.get("Content-Disposition", "")),
                       "charset": msg.get_content_charset(), "text": text})
-    return {"subject": _decode_header(msg.get("Subject", "")), "from_addr": _decode_header(msg.get("From", "")),
+    return {"message_id": str(msg.get("Message-ID", "") or ""),
+            "subject": _decode_header(msg.get("Subject", "")), "from_addr": _decode_header(msg.get("From", "")),
             "to_addr": _decode_header(msg.get("To", "")), "date": str(msg.get("Date", "") or ""),
             "return_path": str(msg.get("Return-Path", "") or ""), "multipart": msg.is_multipart(),
             "parts": parts}
@@ -103,7 +105,7 @@ def _parse_batches(batches):
                 r = parse_message(bytes(content))
                 r["parse_status"] = "ok"
             except Exception as e:  # noqa: BLE001 — F4: reject the row, keep the job
-                r = {"subject": "", "from_addr": "", "to_addr": "", "date": "", "return_path": "",
+                r = {"message_id": "", "subject": "", "from_addr": "", "to_addr": "", "date": "", "return_path": "",
                      "multipart": False, "parts": [], "parse_status": f"error: {type(e).__name__}"}
             r["path"] = path
             rows.append(r)

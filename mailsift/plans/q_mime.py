@@ -151,7 +151,7 @@ def ingest(spark, root: str, glob: str = "*.eml"):
                       .when(F.length("body_compact") < P.COMPACT_MIN_BODY, F.lit("short_body"))
                       .when(F.length(compact_text) < P.MIN_TEXT_LENGTH, F.lit("short_text"))
                       .otherwise(F.lit("ok")))
-    return staged.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id"),
+    return staged.select(F.regexp_extract("message_id", r"<(\d+)@", 1).cast("bigint").alias("doc_id"),
                          "subject", "from_addr", "to_addr", "date", "return_path",
                          status.alias("masked_status"), masked_text.alias("email_text_masked"),
                          compact_status.alias("compact_status"), compact_text.alias("email_text_compact"))

@@ -3,8 +3,8 @@
 ``scan_messages`` is the recursive binary scan: one row per file (path, modificationTime,
 length, content); Spark lists and splits the files, so a directory tree of millions of
 messages is read in parallel. ``write_messages`` writes one file per message with the text
-writer partitioned by message id (one directory per message) — a Spark job, so the fixture
-grows with the tables it is composed from.
+writer (one record per file) — a Spark job, so the fixture grows with the tables it is
+composed from.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ def compose_message(doc_id: Column, source: Column, subject: Column, text: Colum
     """A raw message. ``layout``: 'plain_html', 'html_plain', 'attach_html', 'single_b64'."""
     b = F.concat(F.lit("=_b_"), doc_id.cast("string"))
     head = F.concat(
+        F.lit("Message-ID: <"), doc_id.cast("string"), F.lit("@mailsift.example>" + CRLF),
         F.lit("From: "), source, F.lit("@example.org" + CRLF),
         F.lit("To: inbox@example.com" + CRLF),
         F.lit("Subject: "), _enc_word(subject), F.lit(CRLF),
@@ -62,8 +63,8 @@ def compose_message(doc_id: Column, source: Column, subject: Column, text: Colum
         end)))
 
 
-def write_messages(messages: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "message") -> None:
-    """One file per message: ``root/<id_col>=<id>/part-*.txt``."""
-    (messages.select(F.col(id_col), F.col(text_col).alias("value"))
-     .repartition(id_col)
-     .write.mode("overwrite").partitionBy(id_col).text(root))
+def write_messages(messages: DataFrame, root: str, text_col: str = "message") -> None:
+    """One file per message (``maxRecordsPerFile = 1``) in one flat folder, written by all
+    tasks in parallel; the message id travels in the ``Message-ID`` header."""
+    (messages.select(F.col(text_col).alias("value"))
+     .write.mode("overwrite").option("maxRecordsPerFile", 1).text(root))
