@@ -144,3 +144,10 @@ def save_model(table: DataFrame, priors: DataFrame, path: str) -> None:
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/tokens"), spark.read.parquet(f"{path}/priors")
+
+
+def score_texts(spark: SparkSession, texts, table: DataFrame, priors: DataFrame) -> DataFrame:
+    """I2 / I3 for ad-hoc messages: the same scoring job over a small DataFrame of texts
+    (order kept through ``doc_id`` = position)."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, email_text string")
+    return nb_predict(df, table, priors).orderBy("doc_id")

@@ -247,3 +247,22 @@ WHERE rank <= {P.TOP_K}""")
 def attention_topk(spark, base):
     """Top-5 tokens per document by head-averaged [CLS] attention."""
     return explain(attention_table(spark, base))
+
+
+@register("attention_lists", f"""
+WITH t AS (SELECT doc_id, ['[CLS]'] || {_TOKS_SQL}[1:{P.MAX_TOKENS - 2}] || ['[SEP]'] AS seq FROM documents),
+k AS (SELECT doc_id, unnest(seq) AS token, unnest(range(len(seq))) AS k_pos FROM t),
+h AS (SELECT doc_id, k_pos, token, r.head FROM k, range({N_HEADS}) r(head)),
+w AS (SELECT doc_id, k_pos, token,
+             CAST(('0x' || substr(md5('{ATT_STAGE[:-1]}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(head AS VARCHAR)
+                   || ':0:' || CAST(k_pos AS VARCHAR)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS weight FROM h),
+a AS (SELECT doc_id, k_pos, token, sum(weight) / count(*) AS score FROM w GROUP BY doc_id, k_pos, token),
+f AS (SELECT * FROM a WHERE token NOT IN ({", ".join(S.lit(t) for t in P.SPECIAL_TOKENS)})),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k_pos) AS rank FROM f)
+SELECT doc_id, string_agg(token, ' ' ORDER BY rank) AS top_tokens FROM r WHERE rank <= {P.TOP_K} GROUP BY doc_id""")
+def attention_lists(spark, base):
+    """E1 / J3 nested form: per document the ranked (token, score) list; tokens shown."""
+    from ..operators.explain import explain_lists
+    lists = explain_lists(attention_table(spark, base))
+    return lists.select("doc_id", F.array_join(F.transform("top_tokens", lambda x: x["token"]), " ")
+                        .alias("top_tokens"))
