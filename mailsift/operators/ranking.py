@@ -3,20 +3,18 @@
 ``flag_first_n`` marks the rows whose ``(key, tie)`` is among the ``cap`` smallest of their
 partition (``partition_cols``, e.g. the class label). It never ranks the whole table:
 
-1. count rows per ``(partition, bucket)`` where bucket = first ``prefix_len`` hex digits of
-   the key — partial/final aggregation, so only ≤ 16^prefix_len counts per partition value
-   cross the network;
-2. a running sum over that small table finds, per partition value, the one bucket holding
-   the cut;
-3. only the rows of that bucket are ranked (≈ rows / 16^prefix_len), giving the exact
-   ``(key, tie)`` of the last kept row;
-4. every row is compared with that cut — a map-side predicate after a broadcast join with
-   a table of at most one row per partition value.
-
-The main data is never shuffled. Both broadcast tables are bounded by construction:
-16^prefix_len rows per partition value and one row per partition value, so
-``partition_cols`` must be a low-cardinality key (a class label); pass ``broadcast=False``
-for anything else and the joins become ordinary shuffled joins.
+1. a histogram of rows per ``(partition, bucket)``, bucket = first ``prefix_len`` hex digits
+   of the key, is computed with a partial/final aggregation and brought to the driver — at
+   most 16^prefix_len rows per partition value, whatever the size of the data;
+2. from it the driver finds, per partition value, the one bucket holding the cut and the
+   rank ``k`` of the cut inside it (plain integer arithmetic on the histogram, so the cap
+   rule is evaluated exactly as written, e.g. ``int(n * ratio)``);
+3. only the rows of those buckets (≈ rows / 16^prefix_len) are ranked, and the ``k``-th
+   ``(key, tie)`` of each is fetched — one row per partition value;
+4. every row is then compared with its partition's cut by a literal predicate: no join and
+   no shuffle of the data.
+
+``partition_cols`` must be a low-cardinality key (a class label, a language).
 """
 
 from __future__ import annotations
@@ -26,70 +24,76 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CapSpec = int | Callable[[Column], Column]
+CapSpec = int | Callable[[dict], dict]
 
 
-def _bcast(df: DataFrame, on: bool) -> DataFrame:
-    return F.broadcast(df) if on else df
+def _cuts(df: DataFrame, key: str, tie: str, cap: CapSpec, pcols: list[str], prefix_len: int):
+    """Per partition value: ``(mode, cut_key, cut_tie)`` with mode in all / none / cut."""
+    b = "_fb_bucket"
+    rows = df.withColumn(b, F.substring(F.col(key), 1, prefix_len))
+    hist = rows.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("n")).collect()
+    per: dict[tuple, list] = {}
+    for r in hist:
+        per.setdefault(tuple(r[c] for c in pcols), []).append((r[b], r["n"]))
+    totals = {p: sum(n for _, n in v) for p, v in per.items()}
+    caps = cap(totals) if callable(cap) else {p: int(cap) for p in totals}
+    modes, edges = {}, {}
+    for p, buckets in per.items():
+        c = int(caps.get(p, 0))
+        if c <= 0:
+            modes[p] = ("none", None, None)
+        elif c >= totals[p]:
+            modes[p] = ("all", None, None)
+        else:
+            before = 0
+            for bucket, n in sorted(buckets):
+                if before + n >= c:
+                    edges[p] = (bucket, c - before)
+                    break
+                before += n
+    if edges:
+        def match(p, bucket):
+            cond = F.col(b) == bucket
+            for col, v in zip(pcols, p):
+                cond = cond & (F.col(col) == F.lit(v))
+            return cond
+        sel = None
+        for p, (bucket, _) in edges.items():
+            sel = match(p, bucket) if sel is None else sel | match(p, bucket)
+        k_of = F.lit(None).cast("bigint")
+        for p, (bucket, k) in edges.items():
+            k_of = F.when(match(p, bucket), F.lit(k)).otherwise(k_of)
+        w = Window.partitionBy(*pcols, b).orderBy(F.col(key), F.col(tie))
+        cut_rows = (rows.where(sel).withColumn("_fb_rn", F.row_number().over(w))
+                    .where(F.col("_fb_rn") == k_of).select(*pcols, key, tie).collect())
+        for r in cut_rows:
+            modes[tuple(r[c] for c in pcols)] = ("cut", r[key], r[tie])
+    return modes
 
 
 def flag_first_n(df: DataFrame, key: str, tie: str, cap: CapSpec, flag: str,
-                 partition_cols: tuple[str, ...] = (), prefix_len: int = 4,
-                 broadcast: bool = True) -> DataFrame:
+                 partition_cols: tuple[str, ...] = (), prefix_len: int = 4) -> DataFrame:
     """Add boolean ``flag``: row is among the first ``cap`` of its partition by (key, tie).
 
-    ``cap`` is an int, or a function ``partition_total -> Column`` evaluated on the tiny
-    per-(partition, bucket) counts table; it may use window functions over that table
-    (e.g. the total of another class).
-    ``key`` must be a fixed-width hex string (an md5); ``tie`` makes the order total.
+    ``cap`` is an int, or a function ``{partition_value_tuple: total} -> {partition: cap}``
+    (e.g. negatives = int(positives × ratio)). ``key`` must be a fixed-width hex string (an
+    md5); ``tie`` makes the order total.
     """
     pcols = list(partition_cols)
-    b = "_fb_bucket"
-    rows = df.withColumn(b, F.substring(F.col(key), 1, prefix_len))
-
-    counts = rows.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("_fb_cnt"))
-    wp = Window.partitionBy(*pcols) if pcols else Window.partitionBy()
-    running = wp.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    counts = (counts
-              .withColumn("_fb_before", F.coalesce(F.sum("_fb_cnt").over(running), F.lit(0)))
-              .withColumn("_fb_total", F.sum("_fb_cnt").over(wp)))
-    if callable(cap):
-        counts = counts.withColumn("_fb_cap", cap(F.col("_fb_total")))
-    else:
-        counts = counts.withColumn("_fb_cap", F.lit(int(cap)).cast("bigint"))
-    counts = counts.withColumn("_fb_cap", F.col("_fb_cap").cast("bigint"))
-
-    # per partition: the bucket that holds the cut (before < cap <= before + cnt)
-    edge = (counts
-            .where((F.col("_fb_before") < F.col("_fb_cap"))
-                   & (F.col("_fb_cap") <= F.col("_fb_before") + F.col("_fb_cnt")))
-            .select(*pcols, b, (F.col("_fb_cap") - F.col("_fb_before")).alias("_fb_k")))
-    # per partition: nothing kept (cap <= 0) or everything kept (cap >= total)
-    bounds = counts.groupBy(*pcols).agg(F.max("_fb_cap").alias("_fb_cap"),
-                                        F.max("_fb_total").alias("_fb_total"))
-
-    wb = Window.partitionBy(*pcols, b).orderBy(F.col(key), F.col(tie))
-    cut = (rows.join(_bcast(edge, broadcast), [*pcols, b])
-           .withColumn("_fb_rn", F.row_number().over(wb))
-           .where(F.col("_fb_rn") == F.col("_fb_k"))
-           .select(*pcols, F.col(key).alias("_fb_cut_key"), F.col(tie).alias("_fb_cut_tie")))
-    if pcols:
-        limits = bounds.join(cut, pcols, "left")
-    else:
-        limits = bounds.withColumn("_fb_one", F.lit(1)).join(
-            cut.withColumn("_fb_one", F.lit(1)), "_fb_one", "left").drop("_fb_one")
-
-    kept = (F.when(F.col("_fb_cap") <= 0, F.lit(False))
-            .when(F.col("_fb_cap") >= F.col("_fb_total"), F.lit(True))
-            .otherwise((F.col(key) < F.col("_fb_cut_key"))
-                       | ((F.col(key) == F.col("_fb_cut_key")) & (F.col(tie) <= F.col("_fb_cut_tie")))))
-    if pcols:
-        out = df.join(_bcast(limits, broadcast), pcols, "left")
-    else:
-        out = df.withColumn("_fb_one", F.lit(1)).join(
-            F.broadcast(limits.withColumn("_fb_one", F.lit(1))), "_fb_one", "left").drop("_fb_one")
-    out = out.withColumn(flag, F.coalesce(kept, F.lit(False)))
-    return out.drop("_fb_cap", "_fb_total", "_fb_cut_key", "_fb_cut_tie")
+    modes = _cuts(df, key, tie, cap, pcols, prefix_len)
+    kept: Column = F.lit(False)
+    for p, (mode, ck, ct) in modes.items():
+        if mode == "none":
+            continue
+        hit = F.lit(True)
+        for col, v in zip(pcols, p):
+            hit = hit & (F.col(col) == F.lit(v))
+        if mode == "all":
+            kept = F.when(hit, F.lit(True)).otherwise(kept)
+        else:
+            below = (F.col(key) < F.lit(ck)) | ((F.col(key) == F.lit(ck)) & (F.col(tie) <= F.lit(ct)))
+            kept = F.when(hit, below).otherwise(kept)
+    return df.withColumn(flag, kept)
 
 
 def first_n(df: DataFrame, key: str, tie: str, cap: CapSpec,

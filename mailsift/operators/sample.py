@@ -7,7 +7,7 @@ and never sorts or shuffles the full table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
@@ -51,12 +51,10 @@ def class_balance(df: DataFrame, id_col: str, ratio: float = 1.0, label_col: str
                   positive: int = 1, stage: str = SAMPLE_STAGE) -> DataFrame:
     """Keep every positive and ``int(positives × ratio)`` negatives (hash-ordered)."""
     keyed = with_order_key(df, stage, id_col, "_p3")
-    everything = Window.partitionBy()  # over the tiny per-(label, bucket) counts table
 
-    def cap(total):
-        n_pos = F.max(F.when(F.col(label_col) == positive, total)).over(everything)
-        return F.when(F.col(label_col) == positive, total) \
-            .otherwise(F.floor(F.coalesce(n_pos, F.lit(0)) * F.lit(float(ratio))))
+    def cap(totals: dict) -> dict:
+        n_pos = totals.get((positive,), 0)
+        return {p: (n if p == (positive,) else int(n_pos * ratio)) for p, n in totals.items()}
 
     return first_n(keyed, "_p3", id_col, cap, (label_col,)).drop("_p3")
 
@@ -67,8 +65,8 @@ def train_val_split(df: DataFrame, id_col: str, val_ratio: float = 0.2, stage: s
     the rest training; not stratified."""
     keyed = with_order_key(df, stage, id_col, "_p4")
 
-    def cap(total):
-        return F.greatest(F.lit(1), F.floor(total * F.lit(float(val_ratio))))
+    def cap(totals: dict) -> dict:
+        return {p: max(1, int(n * val_ratio)) for p, n in totals.items()}
 
     flagged = flag_first_n(keyed, "_p4", id_col, cap, "_is_val")
     return (flagged.withColumn(part_col, F.when(F.col("_is_val"), F.lit("val")).otherwise(F.lit("train")))

@@ -109,7 +109,7 @@ def generate(df: DataFrame, id_col: str, out: str = "email_text", stage: str = S
     return staged.withColumn(out, filled).drop("_tmpl", *values.keys())
 
 
-def generate_distinct(seeds: DataFrame, id_col: str, n: Column | int, per_seed: int = 2,
+def generate_distinct(seeds: DataFrame, id_col: str, n: int, per_seed: int = 2,
                       stage: str = SYNTH_STAGE) -> DataFrame:
     """``n`` synthetic e-mails with distinct fingerprints.
 
@@ -125,7 +125,7 @@ def generate_distinct(seeds: DataFrame, id_col: str, n: Column | int, per_seed:
              .select((F.col("_base") + F.col("_k")).alias("cand_id")))
     texts = generate(cands, "cand_id", "email_text", stage).withColumn("fp", fingerprint("email_text"))
     uniq = dedup_keep_first(texts, "fp", "cand_id").withColumn("_k", hash_key("synthpick", "cand_id"))
-    picked = first_n(uniq, "_k", "cand_id", (lambda total: F.lit(n)) if isinstance(n, int) else n)
+    picked = first_n(uniq, "_k", "cand_id", n)
     return picked.drop("_k")
 
 
