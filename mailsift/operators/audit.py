@@ -97,14 +97,18 @@ def refusal_rate(df: DataFrame, text_col: str, generator_col: str = "generator")
 
 
 def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: str = "label",
-                       token_col: str = "token", min_docs: int = 5, top_k: int = 10) -> DataFrame:
+                       token_col: str = "token", min_docs: int = 5, top_k: int = 10,
+                       docs: DataFrame | None = None) -> DataFrame:
     """Tokens whose document frequency leans to one class (smoothed ratio), top-k per class.
 
-    Input is one row per (document, token occurrence). Distinct (doc, token) first, then
+    Input is one row per (document, token occurrence); ``docs`` (one row per document with
+    at least one token) may be given to avoid deriving it from the tokens. Distinct (doc,
+    token) first, then
     document frequency per (token, class) — both partial aggregations, so a token present
     in a third of all documents is reduced map-side.
     """
-    docs = tokens.select(doc_col, label_col).distinct()
+    if docs is None:  # documents with at least one token, per class
+        docs = tokens.select(doc_col, label_col).distinct()
     n_cls = docs.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n_cls"))
     pairs = tokens.select(doc_col, label_col, token_col).distinct()
     dfreq = pairs.groupBy(token_col).agg(
@@ -137,14 +141,24 @@ def ingest_funnel(df: DataFrame, body_col: str, text_col: str, fp_col: str,
                   min_body: int = P.MASKED_MIN_BODY, min_text: int = P.MIN_TEXT_LENGTH) -> DataFrame:
     """A2: found / short_body / short_text / duplicate / collected counts.
 
-    Duplicates are counted per fingerprint (copies − 1) with a two-level aggregation, so no
-    per-row window over a possibly huge fingerprint group is needed.
+    One pass: rows are counted per (outcome, fingerprint) — partial aggregation, so a
+    fingerprint copied a million times leaves each task as one row — and that table is
+    reduced to rows and distinct fingerprints per outcome. Duplicates are ``rows −
+    fingerprints`` of the rows that passed the length tests.
     """
-    tagged = df.withColumn("_outcome", funnel_outcome(F.length(body_col), F.length(text_col), min_body, min_text))
-    pre = tagged.groupBy("_outcome").agg(F.count(F.lit(1)).alias("n"))
-    per_fp = tagged.where(F.col("_outcome") == "passed").groupBy(fp_col).agg(F.count(F.lit(1)).alias("_c"))
-    dd = per_fp.agg(F.count(F.lit(1)).alias("collected"), F.sum(F.col("_c") - 1).cast("bigint").alias("duplicate"))
-    found = pre.agg(F.sum("n").cast("bigint").alias("n")).select(F.lit("found").alias("outcome"), "n")
-    rej = pre.where(F.col("_outcome") != "passed").select(F.col("_outcome").alias("outcome"), "n")
-    kept = dd.select(F.expr("stack(2, 'collected', collected, 'duplicate', coalesce(duplicate, 0L)) as (outcome, n)"))
-    return found.unionByName(rej).unionByName(kept)
+    outcome = funnel_outcome(F.length(body_col), F.length(text_col), min_body, min_text)
+    per_fp = (df.select(outcome.alias("_o"), F.when(outcome == "passed", F.col(fp_col)).alias("_fp"))
+              .groupBy("_o", "_fp").agg(F.count(F.lit(1)).alias("_c")))
+    per_o = per_fp.groupBy("_o").agg(F.sum("_c").cast("bigint").alias("rows"),
+                                     F.count(F.lit(1)).cast("bigint").alias("groups"))
+    one = per_o.agg(
+        F.sum("rows").cast("bigint").alias("found"),
+        F.sum(F.when(F.col("_o") == "short_body", F.col("rows"))).cast("bigint").alias("short_body"),
+        F.sum(F.when(F.col("_o") == "short_text", F.col("rows"))).cast("bigint").alias("short_text"),
+        F.sum(F.when(F.col("_o") == "passed", F.col("groups"))).cast("bigint").alias("collected"),
+        F.sum(F.when(F.col("_o") == "passed", F.col("rows") - F.col("groups"))).cast("bigint").alias("duplicate"))
+    long = one.select(F.expr("stack(5, 'found', found, 'short_body', short_body, 'short_text', short_text, "
+                             "'collected', coalesce(collected, 0L), 'duplicate', coalesce(duplicate, 0L)) "
+                             "as (outcome, n)"))
+    # an outcome that no row reached is absent, as in a GROUP BY
+    return long.where(F.col("n").isNotNull())

@@ -66,7 +66,7 @@ def truncate_pad_mask(spark, base):
         F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_p"))
     per_doc = per_doc.withColumn("ids", F.transform("_p", lambda x: x["token_id"])).drop("_p")
     batch = per_doc.groupBy("lang").agg(F.max(F.size("ids")).alias("batch_len"))
-    out = per_doc.join(F.broadcast(batch), "lang")
+    out = per_doc.join(sized_broadcast(batch, 100_000), "lang")
     padded, mask = pad_and_mask("ids", F.col("batch_len"))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.col("batch_len").cast("bigint").alias("padded_len"),

@@ -13,8 +13,9 @@ from ..functions import patterns as P
 from ..functions.html import html_to_text
 from ..functions.text import clean_masked
 from ..operators import rules as R
-from ..operators.classify import nb_fit, nb_predict
+from ..operators.classify import nb_fit, nb_predict, sized_broadcast
 from ..operators.compute import with_computed
+from ..session import materialize
 from ..sources.tables import pages, read_table
 from . import sqltext as S
 from .corpus import prepare_corpus
@@ -97,10 +98,11 @@ def layered_routing(spark, base):
     table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
     p = nb_predict(body.withColumnRenamed("page_id", "doc_id"), table, priors, "body") \
         .select(F.col("doc_id").alias("page_id"), "p_1")
-    la = R.lookalike_pairs(ph, tr).select("host").distinct().withColumn("_la", F.lit(True))
-    blk = bl.withColumn("_bl", F.lit(True))
+    la = materialize(R.lookalike_pairs(ph, tr).select("host").distinct().withColumn("_la", F.lit(True)))
+    blk = materialize(bl.withColumn("_bl", F.lit(True)))
     rows = (ph.join(body, "page_id").join(p, "page_id")
-            .join(F.broadcast(blk), "host", "left").join(F.broadcast(la), "host", "left"))
+            .join(sized_broadcast(blk, 5_000_000), "host", "left")
+            .join(sized_broadcast(la, 5_000_000), "host", "left"))
     decision, layer = R.route(F.coalesce(F.col("_bl"), F.lit(False)), R.any_keyword("body"),
                               F.coalesce(F.col("_la"), F.lit(False)), F.col("p_1"))
     return rows.select("page_id", decision.alias("decision"), layer.alias("layer"))

@@ -14,7 +14,7 @@ from .registry import register
 def _staged(spark, base, n_files: int = 8):
     d = documents(spark, base, "doc_id", "text")
     path = W.stage_files(d, scratch_path(spark, "stream-src"), n_files)
-    return W.read_stream(spark, path, d.schema, max_files_per_trigger=2)
+    return W.read_stream(spark, path, d.schema, max_files_per_trigger=4)
 
 
 @register("stream_score", f"""
