@@ -163,4 +163,4 @@ def mime_ingest(spark, base):
     tree, parse, choose the body and clean it (rows-only check: the parser is Python)."""
     root = scratch_path(spark, "messages")
     write_messages(message_fixture(spark, base), root)
-    return ingest(spark, root, "*.txt")
+    return ingest(spark, root, "*.eml")

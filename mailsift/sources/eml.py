@@ -2,9 +2,9 @@
 
 ``scan_messages`` is the recursive binary scan: one row per file (path, modificationTime,
 length, content); Spark lists and splits the files, so a directory tree of millions of
-messages is read in parallel. ``write_messages`` writes one file per message with the text
-writer (one record per file) — a Spark job, so the fixture grows with the tables it is
-composed from.
+messages is read in parallel. ``write_messages`` writes one ``.eml`` file per message from the
+tasks (Arrow file system, so the same code writes to a local folder, HDFS or an object
+store) — a Spark job, so the fixture grows with the tables it is composed from.
 """
 
 from __future__ import annotations
@@ -63,8 +63,29 @@ def compose_message(doc_id: Column, source: Column, subject: Column, text: Colum
         end)))
 
 
-def write_messages(messages: DataFrame, root: str, text_col: str = "message") -> None:
-    """One file per message (``maxRecordsPerFile = 1``) in one flat folder, written by all
-    tasks in parallel; the message id travels in the ``Message-ID`` header."""
-    (messages.select(F.col(text_col).alias("value"))
-     .write.mode("overwrite").option("maxRecordsPerFile", 1).text(root))
+def _write_files(root: str):
+    def write_partition(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+        if "://" in root:
+            fs, base = pafs.FileSystem.from_uri(root)
+        else:
+            fs, base = pafs.LocalFileSystem(), root
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            for name, text in zip(pdf["name"], pdf["message"]):
+                with fs.open_output_stream(f"{base}/{name}") as out:
+                    out.write(text.encode("utf-8"))
+            yield pd.DataFrame({"written": [len(pdf)]})
+    return write_partition
+
+
+def write_messages(messages: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "message",
+                   suffix: str = ".eml") -> int:
+    """One ``<id>.eml`` file per message under ``root`` (any Arrow file system URI), written
+    by the tasks in parallel. File names are a function of the id, so a retried task
+    rewrites the same files with the same bytes. Returns the number of files written."""
+    named = messages.select(F.concat(F.col(id_col).cast("string"), F.lit(suffix)).alias("name"),
+                            F.col(text_col).alias("message"))
+    counts = named.mapInPandas(_write_files(root), "written long")
+    return int(counts.agg(F.sum("written")).collect()[0][0] or 0)
