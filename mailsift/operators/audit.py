@@ -109,23 +109,19 @@ def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: st
     """
     if docs is None:  # documents with at least one token, per class
         docs = tokens.select(doc_col, label_col).distinct()
-    n_cls = docs.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n_cls"))
+    n_cls = {r[0]: r[1] for r in docs.groupBy(label_col).agg(F.count(F.lit(1))).collect()}  # per class
+    n_pos, n_neg = F.lit(n_cls.get(1)), F.lit(n_cls.get(0))
     pairs = tokens.select(doc_col, label_col, token_col).distinct()
     dfreq = pairs.groupBy(token_col).agg(
         F.count_if(F.col(label_col) == 1).alias("df_pos"),
         F.count_if(F.col(label_col) == 0).alias("df_neg"))
-    totals = n_cls.agg(F.max(F.when(F.col(label_col) == 1, F.col("_n_cls"))).alias("_n_pos"),
-                       F.max(F.when(F.col(label_col) == 0, F.col("_n_cls"))).alias("_n_neg"))
     scored = (dfreq.where(F.col("df_pos") + F.col("df_neg") >= min_docs)
-              .withColumn("_one", F.lit(1))
-              .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one")
-              .withColumn("pos_rate", (F.col("df_pos") + 1) / (F.col("_n_pos") + 2))
-              .withColumn("neg_rate", (F.col("df_neg") + 1) / (F.col("_n_neg") + 2))
+              .withColumn("pos_rate", (F.col("df_pos") + 1) / (n_pos + 2))
+              .withColumn("neg_rate", (F.col("df_neg") + 1) / (n_neg + 2))
               .withColumn("lean", F.when(F.col("pos_rate") >= F.col("neg_rate"), F.lit(1)).otherwise(F.lit(0)))
               .withColumn("score", F.round(F.greatest(F.col("pos_rate") / F.col("neg_rate"),
                                                       F.col("neg_rate") / F.col("pos_rate")), 6)))
     w = Window.partitionBy("lean").orderBy(F.col("score").desc(), F.col(token_col))
-    scored = scored.drop("_one")
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
             .select("lean", "rank", token_col, "df_pos", "df_neg", "score"))
 

@@ -69,26 +69,25 @@ def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "lab
 
     token_table: ``token, lp_0, lp_1`` with add-``alpha`` smoothing over the training
     vocabulary; priors: ``label, log_prior``. Token counts per class come from a partial
-    aggregation (a token frequent in a third of the corpus is reduced map-side).
+    aggregation (a token frequent in a third of the corpus is reduced map-side); the fit is
+    eager: the per-token counts are written once to the checkpoint folder and the three
+    totals (tokens per class, vocabulary size) come back as scalars.
     """
     tc = doc_term_counts(train, text_col, id_col, label_col)
-    per_class = tc.groupBy("token").agg(
+    per_class = materialize(tc.groupBy("token").agg(
         F.sum(F.when(F.col(label_col) == 0, F.col("tf")).otherwise(0)).alias("c0"),
-        F.sum(F.when(F.col(label_col) == 1, F.col("tf")).otherwise(0)).alias("c1"))
-    totals = per_class.agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"),
-                           F.count(F.lit(1)).alias("v"))
+        F.sum(F.when(F.col(label_col) == 1, F.col("tf")).otherwise(0)).alias("c1")))
+    t0, t1, v = per_class.agg(F.sum("c0"), F.sum("c1"), F.count(F.lit(1))).collect()[0]
     a = F.lit(float(alpha))
-    table = (per_class.withColumn("_one", F.lit(1))
-             .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one")
-             .select("token",
-                     F.log((F.col("c0") + a) / (F.col("t0") + a * F.col("v"))).alias("lp_0"),
-                     F.log((F.col("c1") + a) / (F.col("t1") + a * F.col("v"))).alias("lp_1")))
-    docs = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    n_all = docs.agg(F.sum("n").alias("n_all"))
-    priors = (docs.withColumn("_one", F.lit(1)).join(F.broadcast(n_all.withColumn("_one", F.lit(1))), "_one")
-              .select(F.col(label_col).alias("label"), F.log(F.col("n") / F.col("n_all")).alias("log_prior")))
-    # fitting is eager: the model tables are written once and every scoring job reads them
-    return materialize(table), materialize(priors)
+    t0, t1, v = F.lit(float(t0 or 0)), F.lit(float(t1 or 0)), F.lit(float(v or 0))
+    table = per_class.select("token", F.log((F.col("c0") + a) / (t0 + a * v)).alias("lp_0"),
+                             F.log((F.col("c1") + a) / (t1 + a * v)).alias("lp_1"))
+    counts = {r[0]: r[1] for r in train.groupBy(label_col).agg(F.count(F.lit(1))).collect()}
+    n_all = float(sum(counts.values()))
+    spark = train.sparkSession
+    priors = spark.createDataFrame([(int(k), float(n)) for k, n in sorted(counts.items())], "label int, n double") \
+        .select("label", F.log(F.col("n") / F.lit(n_all)).alias("log_prior"))
+    return table, materialize(priors)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -106,12 +105,10 @@ def nb_log_scores(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col
     joined = tc.join(sized_broadcast(table, broadcast_rows), "token")
     sums = joined.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("lp_0")).alias("_s0"),
                                       F.sum(F.col("tf") * F.col("lp_1")).alias("_s1"))
-    pr = priors.agg(F.max(F.when(F.col("label") == 0, F.col("log_prior"))).alias("lp0"),
-                    F.max(F.when(F.col("label") == 1, F.col("log_prior"))).alias("lp1"))
+    lp = {r["label"]: r["log_prior"] for r in priors.collect()}  # one row per class
     base = docs.select(id_col).join(sums, id_col, "left")
-    return (base.withColumn("_one", F.lit(1)).join(F.broadcast(pr.withColumn("_one", F.lit(1))), "_one")
-            .select(id_col, (F.col("lp0") + F.coalesce(F.col("_s0"), F.lit(0.0))).alias("s0"),
-                    (F.col("lp1") + F.coalesce(F.col("_s1"), F.lit(0.0))).alias("s1")))
+    return base.select(id_col, (F.lit(lp.get(0)) + F.coalesce(F.col("_s0"), F.lit(0.0))).alias("s0"),
+                       (F.lit(lp.get(1)) + F.coalesce(F.col("_s1"), F.lit(0.0))).alias("s1"))
 
 
 def nb_predict(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col: str = "email_text",
