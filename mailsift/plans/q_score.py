@@ -114,3 +114,4 @@ SELECT category, count(*) FILTER (WHERE label = 1) AS positives,
 def recall_by_group(spark, base):
     """Which categories are missed."""
     return V.recall_by_group(scored(spark, base), "category")
+
