@@ -17,15 +17,16 @@ def table_path(base_dir: str, name: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table stored in fewer files than there are task slots a round-robin
-    repartition, so the per-row text work is not confined to the file's few row groups.
+    """Give a *small* scan a round-robin repartition over all task slots.
 
-    Large tables are stored as many files and are left alone (no shuffle is added); the
-    test tables are one file with one row group each, which would otherwise be cleaned by
-    a single task.
+    A table whose scan plans into no more splits than there are task slots is at most
+    ``slots × spark.sql.files.maxPartitionBytes`` bytes, and when it is stored as one or a few
+    row groups only those few tasks would do the per-row text work; spreading it costs a
+    bounded shuffle. A large table plans into many more splits than slots and is left alone,
+    so no shuffle is ever added at scale. (Only the scan is planned; nothing runs.)
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < slots:
+    if df.rdd.getNumPartitions() <= slots:
         return df.repartition(slots)
     return df
 
