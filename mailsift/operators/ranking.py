@@ -30,7 +30,8 @@ CapSpec = int | Callable[[dict], dict]
 def _cuts(df: DataFrame, key: str, tie: str, cap: CapSpec, pcols: list[str], prefix_len: int):
     """Per partition value: ``(mode, cut_key, cut_tie)`` with mode in all / none / cut."""
     b = "_fb_bucket"
-    rows = df.withColumn(b, F.substring(F.col(key), 1, prefix_len))
+    # a row without an order key (null id) is never among the first n
+    rows = df.where(F.col(key).isNotNull()).withColumn(b, F.substring(F.col(key), 1, prefix_len))
     hist = rows.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("n")).collect()
     per: dict[tuple, list] = {}
     for r in hist:
@@ -93,7 +94,7 @@ def flag_first_n(df: DataFrame, key: str, tie: str, cap: CapSpec, flag: str,
         else:
             below = (F.col(key) < F.lit(ck)) | ((F.col(key) == F.lit(ck)) & (F.col(tie) <= F.lit(ct)))
             kept = F.when(hit, below).otherwise(kept)
-    return df.withColumn(flag, kept)
+    return df.withColumn(flag, F.coalesce(kept, F.lit(False)))
 
 
 def first_n(df: DataFrame, key: str, tie: str, cap: CapSpec,
