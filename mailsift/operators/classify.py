@@ -55,12 +55,13 @@ def predict(df: DataFrame, logits_col: str = "logits") -> DataFrame:
 # ---------------------------------------------------------------------------------------
 
 def doc_term_counts(df: DataFrame, text_col: str, id_col: str = "doc_id", label_col: str | None = "label",
-                    max_tokens: int = P.MAX_TOKENS) -> DataFrame:
-    """(doc, [label,] token, tf, first_pos): term counts of the first ``max_tokens`` tokens."""
+                    max_tokens: int = P.MAX_TOKENS, outer: bool = False) -> DataFrame:
+    """(doc, [label,] token, tf, first_pos): term counts of the first ``max_tokens`` tokens;
+    with ``outer`` a document without tokens keeps one row (null token, tf 0)."""
     keep = (label_col,) if label_col else ()
-    toks = explode_tokens(df, text_col, (id_col,), keep, max_tokens)
+    toks = explode_tokens(df, text_col, (id_col,), keep, max_tokens, outer)
     keys = [id_col, *([label_col] if label_col else []), "token"]
-    return toks.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
+    return toks.groupBy(*keys).agg(F.count("token").alias("tf"), F.min("pos").alias("first_pos"))
 
 
 def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "label",
@@ -100,14 +101,18 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 def nb_log_scores(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col: str = "email_text",
                   id_col: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Per document: ``s0, s1`` = log prior + Σ tf · log P(token | class) over known tokens."""
-    tc = doc_term_counts(docs, text_col, id_col, None)
-    joined = tc.join(sized_broadcast(table, broadcast_rows), "token")
+    """Per document: ``s0, s1`` = log prior + Σ tf · log P(token | class) over known tokens.
+
+    One pass: documents are exploded with ``posexplode_outer`` (a document without tokens
+    keeps a null-token row), term counts are joined to the model with a left join (unknown
+    tokens contribute nothing) and summed per document.
+    """
+    tc = doc_term_counts(docs, text_col, id_col, None, outer=True)
+    joined = tc.join(sized_broadcast(table, broadcast_rows), "token", "left")
     sums = joined.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("lp_0")).alias("_s0"),
                                       F.sum(F.col("tf") * F.col("lp_1")).alias("_s1"))
     lp = {r["label"]: r["log_prior"] for r in priors.collect()}  # one row per class
-    base = docs.select(id_col).join(sums, id_col, "left")
-    return base.select(id_col, (F.lit(lp.get(0)) + F.coalesce(F.col("_s0"), F.lit(0.0))).alias("s0"),
+    return sums.select(id_col, (F.lit(lp.get(0)) + F.coalesce(F.col("_s0"), F.lit(0.0))).alias("s0"),
                        (F.lit(lp.get(1)) + F.coalesce(F.col("_s1"), F.lit(0.0))).alias("s1"))
 
 

@@ -26,13 +26,14 @@ def truncate_tokens(arr: Column | str, max_tokens: int = P.MAX_TOKENS) -> Column
 
 
 def explode_tokens(df: DataFrame, text_col: str, id_cols=("doc_id",), keep=("label",),
-                   max_tokens: int | None = None) -> DataFrame:
-    """One row per (document, position, token); position is 0-based."""
+                   max_tokens: int | None = None, outer: bool = False) -> DataFrame:
+    """One row per (document, position, token); position is 0-based. ``outer=True`` keeps a
+    document without tokens as one row with a null token."""
     arr = tokens(text_col)
     if max_tokens:
         arr = truncate_tokens(arr, max_tokens)
-    return df.select(*id_cols, *[k for k in keep if k in df.columns],
-                     F.posexplode(arr).alias("pos", "token"))
+    gen = F.posexplode_outer(arr) if outer else F.posexplode(arr)
+    return df.select(*id_cols, *[k for k in keep if k in df.columns], gen.alias("pos", "token"))
 
 
 def vocabulary(token_rows: DataFrame, token_col: str = "token", min_df: int = 1,

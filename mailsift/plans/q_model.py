@@ -266,3 +266,24 @@ def attention_lists(spark, base):
     lists = explain_lists(attention_table(spark, base))
     return lists.select("doc_id", F.array_join(F.transform("top_tokens", lambda x: x["token"]), " ")
                         .alias("top_tokens"))
+
+
+@register("nb_score_documents", _nb_sql(1.0) + f""",
+dtok AS (SELECT doc_id, unnest(regexp_extract_all(lower(email_text), '{TOK}')[1:{P.MAX_TOKENS}]) AS token
+         FROM (SELECT doc_id, {S.clean_masked('text')} AS email_text FROM documents) dd),
+dtf AS (SELECT doc_id, token, count(*) AS tf FROM dtok GROUP BY doc_id, token),
+dsum AS (SELECT doc_id, sum(tf * lp_0) AS s0, sum(tf * lp_1) AS s1 FROM dtf JOIN model USING (token) GROUP BY doc_id),
+dsc AS (SELECT d.doc_id, pr0 + coalesce(s0, 0.0) AS s0, pr1 + coalesce(s1, 0.0) AS s1
+        FROM documents d LEFT JOIN dsum USING (doc_id), pri),
+dp AS (SELECT doc_id, exp(s1 - greatest(s0, s1)) / (exp(s0 - greatest(s0, s1)) + exp(s1 - greatest(s0, s1))) AS p1
+       FROM dsc)
+SELECT doc_id, round(p1, 6) AS p_1, CASE WHEN p1 > 1 - p1 THEN 1 ELSE 0 END AS pred FROM dp""")
+def nb_score_documents(spark, base):
+    """I3 at corpus scale: the fitted model scores every document (cleaned, masked)."""
+    from ..functions.text import clean_masked
+    from ..operators.compute import with_computed
+    corpus = prepare_corpus(spark, base, materialized=True)
+    table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
+    docs = with_computed(documents(spark, base, "doc_id", "text"), email_text=clean_masked("text"))
+    s = nb_predict(docs.select("doc_id", "email_text"), table, priors)
+    return s.select("doc_id", F.round("p_1", 6).alias("p_1"), "pred")
