@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_range, hash_int, pick
+from ..functions.hashing import draw_range, pick
 from ..functions.text import fill_template, fingerprint
 from .compute import with_computed
 from .dedup import dedup_keep_first
