@@ -3,11 +3,15 @@ Each is checked against the batch answer of the same operator."""
 
 from __future__ import annotations
 
+from ..functions import patterns as P
+from ..operators.classify import nb_fit
 from ..operators.rules import KEYWORD_RULES
 from ..session import scratch_path
 from ..sources.tables import documents
 from ..streaming import jobs as W
 from . import sqltext as S
+from .corpus import prepare_corpus
+from .q_model import _nb_sql
 from .registry import register
 
 
@@ -17,14 +21,27 @@ def _staged(spark, base, n_files: int = 8):
     return W.read_stream(spark, path, d.schema, max_files_per_trigger=4)
 
 
-@register("stream_score", f"""
-SELECT doc_id, email_text, {S.fingerprint('email_text')} AS fp,
-       ({" OR ".join(f"regexp_matches(email_text, {S.lit(p)})" for _, p in KEYWORD_RULES)}) AS flagged
-FROM (SELECT doc_id, {S.clean_masked('text')} AS email_text FROM documents) c""")
+@register("stream_score", _nb_sql(1.0) + f""",
+dd AS (SELECT doc_id, {S.clean_masked('text')} AS email_text FROM documents),
+dtok AS (SELECT doc_id, unnest(regexp_extract_all(lower(email_text), '{P.TOKEN_PATTERN}')[1:{P.MAX_TOKENS}]) AS token
+         FROM dd),
+dtf AS (SELECT doc_id, token, count(*) AS tf FROM dtok GROUP BY doc_id, token),
+dsum AS (SELECT doc_id, sum(tf * lp_0) AS s0, sum(tf * lp_1) AS s1 FROM dtf JOIN model USING (token) GROUP BY doc_id),
+dsc AS (SELECT dd.doc_id, pr0 + coalesce(s0, 0.0) AS s0, pr1 + coalesce(s1, 0.0) AS s1 FROM dd LEFT JOIN dsum USING (doc_id), pri),
+dp AS (SELECT doc_id, exp(s1 - greatest(s0, s1)) / (exp(s0 - greatest(s0, s1)) + exp(s1 - greatest(s0, s1))) AS p1 FROM dsc)
+SELECT dd.doc_id, dd.email_text, {S.fingerprint('dd.email_text')} AS fp,
+       ({" OR ".join(f"regexp_matches(dd.email_text, {S.lit(p)})" for _, p in KEYWORD_RULES)}) AS flagged,
+       round(dp.p1, 6) AS p_1, CASE WHEN dp.p1 > 1 - dp.p1 THEN 1 ELSE 0 END AS pred
+FROM dd JOIN dp USING (doc_id)""")
 def stream_score(spark, base):
-    """Continuous clean + fingerprint + rule flag, file stream → Parquet sink."""
-    sink = W.run_to_parquet(W.clean_and_score(_staged(spark, base)), "stream-score")
-    return spark.read.parquet(sink)
+    """Continuous clean + fingerprint + rule flag + classifier score over a file stream
+    (model fitted on the prepared corpus; each micro-batch scored via foreachBatch)."""
+    from pyspark.sql import functions as F
+    corpus = prepare_corpus(spark, base, materialized=True)
+    table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
+    sink = W.score_batches(W.clean_and_score(_staged(spark, base)), table, priors, "stream-score")
+    out = spark.read.parquet(sink)
+    return out.select("doc_id", "email_text", "fp", "flagged", F.round("p_1", 6).alias("p_1"), "pred")
 
 
 @register("stream_dedup", f"SELECT DISTINCT {S.fingerprint('text')} AS fp FROM documents")

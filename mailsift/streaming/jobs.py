@@ -56,6 +56,26 @@ def clean_and_score(stream: DataFrame, text_col: str = "text", id_col: str = "do
                     any_keyword("email_text").alias("flagged"))
 
 
+def score_batches(stream: DataFrame, table: DataFrame, priors: DataFrame, name: str,
+                  id_col: str = "doc_id") -> str:
+    """W1 with the classifier: every micro-batch of cleaned rows is scored with the fitted
+    model (a keyed batch job per micro-batch via ``foreachBatch``) and appended to a Parquet
+    sink together with its cleaning outputs. Returns the sink folder."""
+    from ..operators.classify import nb_predict
+    spark = stream.sparkSession
+    sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
+
+    def write_batch(batch: DataFrame, _epoch: int) -> None:
+        scored = nb_predict(batch.select(id_col, "email_text"), table, priors, "email_text", id_col)
+        out = batch.join(scored.select(id_col, "p_1", "pred"), id_col)
+        out.write.mode("append").parquet(sink)
+
+    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sink
+
+
 def dedup(stream: DataFrame, fp_col: str = "fp", event_time: str | None = None,
           delay: str = "1 day") -> DataFrame:
     """D1 across micro-batches. Without an event time the state keeps every fingerprint
