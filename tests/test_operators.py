@@ -145,3 +145,17 @@ def test_prompt_grid(spark):
     from mailsift.operators.synth import prompt_grid
     g = prompt_grid(spark)
     assert g.count() == 1944 and g.distinct().count() == 1944
+
+
+def test_corpus_scores_are_probabilities(spark):
+    from __spark_entry__ import queries
+    from mailsift.operators.classify import nb_fit, nb_predict
+    from mailsift.plans.corpus import prepare_corpus
+    corpus = prepare_corpus(spark, SF001, materialized=True)
+    train, val = corpus.where("part = 'train'"), corpus.where("part = 'val'")
+    assert train.join(val, "doc_id").count() == 0
+    table, priors = nb_fit(train)
+    p = nb_predict(val, table, priors)
+    assert p.count() == val.count()
+    assert p.where(F.abs(F.col("p_0") + F.col("p_1") - 1) > 1e-9).count() == 0
+    assert p.where(F.col("score") < 0.5).count() == 0
