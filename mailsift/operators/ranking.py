@@ -9,8 +9,9 @@ partition (``partition_cols``, e.g. the class label). It never ranks the whole t
 2. from it the driver finds, per partition value, the one bucket holding the cut and the
    rank ``k`` of the cut inside it (plain integer arithmetic on the histogram, so the cap
    rule is evaluated exactly as written, e.g. ``int(n * ratio)``);
-3. only the rows of those buckets (≈ rows / 16^prefix_len) are ranked, and the ``k``-th
-   ``(key, tie)`` of each is fetched — one row per partition value;
+3. if such a bucket still holds more than ``max_rank_rows`` rows it is split by a histogram
+   over four more hex digits (a filtered scan), until it does not; then only its rows are
+   ranked, and the ``k``-th ``(key, tie)`` of each is fetched — one row per partition value;
 4. every row is then compared with its partition's cut by a literal predicate: no join and
    no shuffle of the data.
 
@@ -27,12 +28,32 @@ from pyspark.sql import functions as F
 CapSpec = int | Callable[[dict], dict]
 
 
-def _cuts(df: DataFrame, key: str, tie: str, cap: CapSpec, pcols: list[str], prefix_len: int):
+def _match(pcols: list[str], p: tuple, key: str, prefix: str) -> Column:
+    cond = F.substring(F.col(key), 1, len(prefix)) == F.lit(prefix)
+    for col, v in zip(pcols, p):
+        cond = cond & (F.col(col) == F.lit(v))
+    return cond
+
+
+def _walk(buckets, k: int):
+    """First bucket (in key order) where the running count reaches ``k``:
+    ``(bucket, rank inside it, rows in it)``."""
+    before = 0
+    for bucket, n in sorted(buckets):
+        if before + n >= k:
+            return bucket, k - before, n
+        before += n
+    raise AssertionError("cap exceeds the histogram")
+
+
+def _cuts(df: DataFrame, key: str, tie: str, cap: CapSpec, pcols: list[str], prefix_len: int,
+          max_rank_rows: int):
     """Per partition value: ``(mode, cut_key, cut_tie)`` with mode in all / none / cut."""
-    b = "_fb_bucket"
     # a row without an order key (null id) is never among the first n
-    rows = df.where(F.col(key).isNotNull()).withColumn(b, F.substring(F.col(key), 1, prefix_len))
-    hist = rows.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = df.where(F.col(key).isNotNull())
+    b = "_fb_bucket"
+    hist = (rows.groupBy(*pcols, F.substring(F.col(key), 1, prefix_len).alias(b))
+            .agg(F.count(F.lit(1)).alias("n")).collect())
     per: dict[tuple, list] = {}
     for r in hist:
         per.setdefault(tuple(r[c] for c in pcols), []).append((r[b], r["n"]))
@@ -46,25 +67,32 @@ def _cuts(df: DataFrame, key: str, tie: str, cap: CapSpec, pcols: list[str], pre
         elif c >= totals[p]:
             modes[p] = ("all", None, None)
         else:
-            before = 0
-            for bucket, n in sorted(buckets):
-                if before + n >= c:
-                    edges[p] = (bucket, c - before)
-                    break
-                before += n
-    if edges:
-        def match(p, bucket):
-            cond = F.col(b) == bucket
-            for col, v in zip(pcols, p):
-                cond = cond & (F.col(col) == F.lit(v))
-            return cond
+            edges[p] = _walk(buckets, c)
+    # refine: an edge bucket with more than max_rank_rows rows is split by 4 more hex digits
+    # (a filtered histogram of that bucket only) until the rows to rank are few
+    while True:
+        hot = {p: e for p, e in edges.items() if e[2] > max_rank_rows and len(e[0]) < 32}
+        if not hot:
+            break
         sel = None
-        for p, (bucket, _) in edges.items():
-            sel = match(p, bucket) if sel is None else sel | match(p, bucket)
-        k_of = F.lit(None).cast("bigint")
-        for p, (bucket, k) in edges.items():
-            k_of = F.when(match(p, bucket), F.lit(k)).otherwise(k_of)
-        w = Window.partitionBy(*pcols, b).orderBy(F.col(key), F.col(tie))
+        for p, (prefix, _, _) in hot.items():
+            m = _match(pcols, p, key, prefix)
+            sel = m if sel is None else sel | m
+        width = max(len(e[0]) for e in hot.values()) + 4
+        sub = (rows.where(sel).groupBy(*pcols, F.substring(F.col(key), 1, width).alias(b))
+               .agg(F.count(F.lit(1)).alias("n")).collect())
+        grouped: dict[tuple, list] = {}
+        for r in sub:
+            grouped.setdefault(tuple(r[c] for c in pcols), []).append((r[b], r["n"]))
+        for p, (_, k, _) in hot.items():
+            edges[p] = _walk(grouped[p], k)
+    if edges:
+        sel, k_of = None, F.lit(None).cast("bigint")
+        for p, (prefix, k, _) in edges.items():
+            m = _match(pcols, p, key, prefix)
+            sel = m if sel is None else sel | m
+            k_of = F.when(m, F.lit(k)).otherwise(k_of)
+        w = (Window.partitionBy(*pcols) if pcols else Window.partitionBy()).orderBy(F.col(key), F.col(tie))
         cut_rows = (rows.where(sel).withColumn("_fb_rn", F.row_number().over(w))
                     .where(F.col("_fb_rn") == k_of).select(*pcols, key, tie).collect())
         for r in cut_rows:
@@ -73,15 +101,18 @@ def _cuts(df: DataFrame, key: str, tie: str, cap: CapSpec, pcols: list[str], pre
 
 
 def flag_first_n(df: DataFrame, key: str, tie: str, cap: CapSpec, flag: str,
-                 partition_cols: tuple[str, ...] = (), prefix_len: int = 4) -> DataFrame:
+                 partition_cols: tuple[str, ...] = (), prefix_len: int = 4,
+                 max_rank_rows: int = 1_000_000) -> DataFrame:
     """Add boolean ``flag``: row is among the first ``cap`` of its partition by (key, tie).
 
     ``cap`` is an int, or a function ``{partition_value_tuple: total} -> {partition: cap}``
     (e.g. negatives = int(positives × ratio)). ``key`` must be a fixed-width hex string (an
-    md5); ``tie`` makes the order total.
+    md5); ``tie`` must be unique (a row id) so that the order is total. At most
+    ``max_rank_rows`` rows per partition value are ever ranked in one window partition: a
+    larger edge bucket is first split by a histogram over the next hex digits.
     """
     pcols = list(partition_cols)
-    modes = _cuts(df, key, tie, cap, pcols, prefix_len)
+    modes = _cuts(df, key, tie, cap, pcols, prefix_len, max_rank_rows)
     kept: Column = F.lit(False)
     for p, (mode, ck, ct) in modes.items():
         if mode == "none":

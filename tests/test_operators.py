@@ -159,3 +159,12 @@ def test_corpus_scores_are_probabilities(spark):
     assert p.count() == val.count()
     assert p.where(F.abs(F.col("p_0") + F.col("p_1") - 1) > 1e-9).count() == 0
     assert p.where(F.col("score") < 0.5).count() == 0
+
+
+@pytest.mark.parametrize("cap", [1, 700, 2999])
+def test_first_n_refines_hot_edge_buckets(spark, cap):
+    # a 1-hex-digit histogram and a rank limit of 50 rows force several refinement rounds
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("k", hash_key("r", "doc_id"))
+    got = {r.doc_id for r in first_n(df, "k", "doc_id", cap, prefix_len=1, max_rank_rows=50).collect()}
+    exp = {r.doc_id for r in df.orderBy("k", "doc_id").limit(cap).collect()}
+    assert got == exp
