@@ -123,7 +123,7 @@ def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: st
                                                       F.col("neg_rate") / F.col("pos_rate")), 6)))
     w = Window.partitionBy("lean").orderBy(F.col("score").desc(), F.col(token_col))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-            .select("lean", "rank", token_col, "df_pos", "df_neg", "score"))
+            .select("lean", F.col("rank").cast("bigint").alias("rank"), token_col, "df_pos", "df_neg", "score"))
 
 
 def funnel_outcome(body_len: Column, text_len: Column, min_body: int, min_text: int) -> Column:

@@ -135,7 +135,8 @@ def nb_explain(docs: DataFrame, table: DataFrame, text_col: str = "email_text",
         id_col, "token", "first_pos", (F.col("tf") * (F.col("lp_1") - F.col("lp_0"))).alias("contribution"))
     w = Window.partitionBy(id_col).orderBy(F.col("contribution").desc(), F.col("first_pos"))
     return (contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-            .select(id_col, "rank", "token", F.round("contribution", 6).alias("contribution")))
+            .select(id_col, F.col("rank").cast("bigint").alias("rank"), "token",
+                    F.round("contribution", 6).alias("contribution")))
 
 
 def save_model(table: DataFrame, priors: DataFrame, path: str) -> None:

@@ -35,7 +35,7 @@ def top_k_tokens(df: DataFrame, doc_col: str = "doc_id", top_k: int = P.TOP_K) -
 def explain(att: DataFrame, doc_col: str = "doc_id", top_k: int = P.TOP_K) -> DataFrame:
     """Long form ``doc_id, rank, token, score``."""
     return top_k_tokens(drop_special(head_average(att, doc_col)), doc_col, top_k) \
-        .select(doc_col, "rank", "token", "score")
+        .select(doc_col, F.col("rank").cast("bigint").alias("rank"), "token", "score")
 
 
 def explain_lists(att: DataFrame, doc_col: str = "doc_id", top_k: int = P.TOP_K) -> DataFrame:

@@ -63,7 +63,7 @@ def lookalike_pairs(hosts: DataFrame, trusted: DataFrame, host_col: str = "host"
     tv = t.select("trusted", F.explode(deletion_variants(F.col("trusted"), max_distance)).alias("v"))
     cand = hv.join(tv, "v").select("host", "trusted").distinct()
     cand = cand.join(t.select(F.col("trusted").alias("host")), "host", "left_anti")
-    return (cand.withColumn("distance", F.levenshtein("host", "trusted"))
+    return (cand.withColumn("distance", F.levenshtein("host", "trusted").cast("bigint"))
             .where(F.col("distance").between(1, max_distance)))
 
 

@@ -199,7 +199,7 @@ def run_comparison(spark, base):
     """C4: one row per run, ranked recall first (ties: accuracy, then the smaller alpha)."""
     runs = _grid_runs(spark, base)
     w = Window.orderBy(F.col("recall").desc(), F.col("accuracy").desc(), F.col("alpha"))
-    return runs.withColumn("rank", F.row_number().over(w))
+    return runs.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 @register("best_run_by_recall", f"""
