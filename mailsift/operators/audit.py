@@ -98,7 +98,7 @@ def refusal_rate(df: DataFrame, text_col: str, generator_col: str = "generator")
 
 def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: str = "label",
                        token_col: str = "token", min_docs: int = 5, top_k: int = 10,
-                       docs: DataFrame | None = None) -> DataFrame:
+                       docs: DataFrame | None = None, distinct_rows: bool = False) -> DataFrame:
     """Tokens whose document frequency leans to one class (smoothed ratio), top-k per class.
 
     Input is one row per (document, token occurrence); ``docs`` (one row per document with
@@ -111,7 +111,8 @@ def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: st
         docs = tokens.select(doc_col, label_col).distinct()
     n_cls = {r[0]: r[1] for r in docs.groupBy(label_col).agg(F.count(F.lit(1))).collect()}  # per class
     n_pos, n_neg = F.lit(n_cls.get(1)), F.lit(n_cls.get(0))
-    pairs = tokens.select(doc_col, label_col, token_col).distinct()
+    pairs = tokens.select(doc_col, label_col, token_col)
+    pairs = pairs if distinct_rows else pairs.distinct()
     dfreq = pairs.groupBy(token_col).agg(
         F.count_if(F.col(label_col) == 1).alias("df_pos"),
         F.count_if(F.col(label_col) == 0).alias("df_neg"))

@@ -36,15 +36,25 @@ def explode_tokens(df: DataFrame, text_col: str, id_cols=("doc_id",), keep=("lab
     return df.select(*id_cols, *[k for k in keep if k in df.columns], gen.alias("pos", "token"))
 
 
+def doc_token_sets(df: DataFrame, text_col: str, id_cols=("doc_id",), keep=("label",)) -> DataFrame:
+    """One row per (document, distinct token): the set is built inside the row
+    (``array_distinct``), so document frequencies need no separate distinct shuffle."""
+    return df.select(*id_cols, *[k for k in keep if k in df.columns],
+                     F.explode(F.array_distinct(tokens(text_col))).alias("token"))
+
+
 def vocabulary(token_rows: DataFrame, token_col: str = "token", min_df: int = 1,
-               doc_col: str = "doc_id") -> DataFrame:
+               doc_col: str = "doc_id", distinct_rows: bool = False) -> DataFrame:
     """Token → dense id (0-based, by token order) with document frequency.
+    ``distinct_rows=True`` when the input already has one row per (document, token), e.g.
+    from :func:`doc_token_sets`.
 
     Frequencies come from a partial aggregation; ids are positions in token order computed
     with the bucketed global position (no single-partition window).
     """
     from ..operators.ranking import global_position
-    df_ = (token_rows.select(doc_col, token_col).distinct()
+    pairs = token_rows.select(doc_col, token_col)
+    df_ = ((pairs if distinct_rows else pairs.distinct())
            .groupBy(token_col).agg(F.count(F.lit(1)).alias("doc_freq"))
            .where(F.col("doc_freq") >= min_df))
     # position by token text: bucket on the first 4 hex digits of the hex-encoded token

@@ -11,7 +11,7 @@ from ..functions.text import clean_masked, fingerprint
 from ..operators import audit as A
 from ..operators.compute import with_computed
 from ..operators.dedup import dedup_keep_first, duplicate_accounting
-from ..operators.features import explode_tokens, tokens
+from ..operators.features import doc_token_sets, tokens
 from ..operators.ranking import global_position
 from ..operators.sample import (cap_rows, class_balance, exact_n_sample, first_per_class,
                                 holdout_by_source, positive_cap, train_val_split)
@@ -239,7 +239,7 @@ def label_proxy_tokens(spark, base):
     """The tokens that best separate the classes (top 10 per leaning class)."""
     ld = labelled_documents(spark, base).select("doc_id", "label", "text")
     docs = ld.where(F.size(tokens("text")) > 0).select("doc_id", "label")
-    return A.label_proxy_tokens(explode_tokens(ld, "text"), docs=docs)
+    return A.label_proxy_tokens(doc_token_sets(ld, "text"), docs=docs, distinct_rows=True)
 
 
 _GEN = "'gen' || CAST(conv_id % 2 AS VARCHAR)"

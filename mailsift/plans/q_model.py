@@ -10,7 +10,8 @@ from ..functions import patterns as P
 from ..operators import evaluate as V
 from ..operators.classify import nb_explain, nb_fit, nb_predict, sized_broadcast
 from ..operators.explain import explain
-from ..operators.features import explode_tokens, pad_and_mask, tokens, truncation_report, vocabulary
+from ..operators.features import (doc_token_sets, explode_tokens, pad_and_mask, tokens, truncation_report,
+                                  vocabulary)
 from ..sources.tables import documents
 from . import sqltext as S
 from .corpus import prepare_corpus
@@ -41,7 +42,7 @@ vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id, doc_
 def vocab_ids(spark, base):
     """Dense ids in token order with document frequency."""
     d = documents(spark, base, "doc_id", "text")
-    return vocabulary(explode_tokens(d, "text", keep=())).select(
+    return vocabulary(doc_token_sets(d, "text", keep=()), distinct_rows=True).select(
         "token", F.col("token_id").cast("bigint").alias("token_id"), "doc_freq")
 
 
@@ -60,7 +61,7 @@ def truncate_pad_mask(spark, base):
     (batch = language), with the 1/0 mask."""
     d = documents(spark, base, "doc_id", "lang", "text")
     toks = explode_tokens(d, "text", keep=("lang",), max_tokens=P.MAX_TOKENS)
-    vocab = vocabulary(explode_tokens(d, "text", keep=()))
+    vocab = vocabulary(doc_token_sets(d, "text", keep=()), distinct_rows=True)
     joined = toks.join(sized_broadcast(vocab.select("token", "token_id"), 5_000_000), "token")
     per_doc = joined.groupBy("doc_id", "lang").agg(
         F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_p"))
@@ -110,7 +111,7 @@ pred AS (SELECT *, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS pred FROM pr)"""
 
 
 def _nb_parts(spark, base, alpha: float = 1.0):
-    corpus = prepare_corpus(spark, base, materialized=True)
+    corpus = prepare_corpus(spark, base)
     train = corpus.where(F.col("part") == "train")
     val = corpus.where(F.col("part") == "val")
     table, priors = nb_fit(train, "email_text", "label", alpha)
@@ -180,7 +181,7 @@ def _grid_sql() -> str:
 
 def _grid_runs(spark, base):
     val, table, priors = None, None, None
-    corpus = prepare_corpus(spark, base, materialized=True)
+    corpus = prepare_corpus(spark, base)
     train = corpus.where(F.col("part") == "train")
     val = corpus.where(F.col("part") == "val")
     runs = None
@@ -282,7 +283,7 @@ def nb_score_documents(spark, base):
     """I3 at corpus scale: the fitted model scores every document (cleaned, masked)."""
     from ..functions.text import clean_masked
     from ..operators.compute import with_computed
-    corpus = prepare_corpus(spark, base, materialized=True)
+    corpus = prepare_corpus(spark, base)
     table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
     docs = with_computed(documents(spark, base, "doc_id", "text"), email_text=clean_masked("text"))
     s = nb_predict(docs.select("doc_id", "email_text"), table, priors)
