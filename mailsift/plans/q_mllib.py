@@ -11,8 +11,8 @@ from .corpus import prepare_corpus
 from .registry import register
 
 
-@register("lr_pipeline_metrics")
-def lr_pipeline_metrics(spark, base):
+@register("logreg_metrics")
+def logreg_metrics(spark, base):
     """TF-IDF + logistic regression fitted on the train part, best regularisation by
     validation recall, saved, loaded back, and evaluated on the validation part."""
     from pyspark.ml import PipelineModel

@@ -8,7 +8,7 @@ import pytest
 
 from conftest import SF001
 
-SLOW = {"lr_pipeline_metrics"}
+SLOW = {"logreg_metrics"}
 
 
 def plan_of(df) -> str:
