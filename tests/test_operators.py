@@ -168,3 +168,12 @@ def test_first_n_refines_hot_edge_buckets(spark, cap):
     got = {r.doc_id for r in first_n(df, "k", "doc_id", cap, prefix_len=1, max_rank_rows=50).collect()}
     exp = {r.doc_id for r in df.orderBy("k", "doc_id").limit(cap).collect()}
     assert got == exp
+
+
+def test_flagship_same_with_shuffled_label_join(spark, monkeypatch):
+    """The large-label path (clean first, then a shuffle join) gives the same corpus."""
+    from __spark_entry__ import queries
+    from mailsift.plans import corpus
+    monkeypatch.setattr(corpus, "BROADCAST_LABEL_ROWS", 0)
+    got = {(r.label, r.part, r.n) for r in queries()["prepare_corpus_counts"](spark, SF01).collect()}
+    assert got == {(0, "train", 41), (0, "val", 9), (1, "train", 39), (1, "val", 11)}
