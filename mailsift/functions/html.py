@@ -25,12 +25,78 @@ MASKED = "masked"
 COMPACT = "compact"
 
 
+def _char_of(n: Column) -> Column:
+    """The character of code point ``n`` (UTF-16 code units decoded natively)."""
+    bmp = F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    m = n - F.lit(0x10000)
+    pair = F.decode(F.unhex(F.concat(F.hex(F.lit(0xD800) + F.floor(m / 1024)),
+                                     F.hex(F.lit(0xDC00) + m % 1024))), "UTF-16BE")
+    return F.when(n < 0x10000, bmp).otherwise(pair)
+
+
+def _charref(n: Column) -> Column:
+    """A numeric reference resolved with the HTML rules: NUL, surrogates and values beyond
+    U+10FFFF give U+FFFD, 0x80–0x9F are windows-1252, 13 is CR, non-characters and C0/DEL
+    controls other than TAB/LF/FF vanish."""
+    c1 = F.array(*[F.lit(chr(cp)) for cp in P.CP1252_C1])
+    invalid = (((n >= 1) & (n <= 8)) | (n == 11) | ((n >= 14) & (n <= 31)) | (n == 127)
+               | ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n % 0x10000 >= 0xFFFE))
+    return (F.when(n.isNull() | (n == 0) | ((n >= 0xD800) & (n <= 0xDFFF)) | (n > 0x10FFFF), F.lit("\ufffd"))
+            .when(n == 13, F.lit("\r"))
+            .when((n >= 0x80) & (n <= 0x9F), F.element_at(c1, (n - 0x7F).cast("int")))
+            .when(invalid, F.lit(""))
+            .otherwise(_char_of(n)))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body`` (a lambda binding)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def decode_numeric_refs(c: ColumnOrName) -> Column:
+    """``&#NNN`` / ``&#xHHH`` (semicolon optional) → character, native (split + transform).
+
+    Every intermediate value is bound once through a lambda, so the input text (often the
+    result of a long regex chain) and the digit captures are each evaluated a single time.
+    """
+    def one(p: Column) -> Column:
+        caps = F.struct(F.regexp_extract(p, r"^([0-9]+)", 1).alias("d"),
+                        F.regexp_extract(p, r"^[xX]([0-9a-fA-F]+)", 1).alias("h"))
+
+        def resolve(t: Column) -> Column:
+            dec, hx = t["d"], t["h"]
+            dec_v, hx_v = F.ltrim(dec, F.lit("0")), F.ltrim(hx, F.lit("0"))
+            n = (F.when(dec != "", F.when(F.length(dec_v) > 7, F.lit(0x110000))
+                        .otherwise(F.coalesce(dec_v.try_cast("bigint"), F.lit(0))))
+                 .otherwise(F.when(F.length(hx_v) > 6, F.lit(0x110000))
+                            .otherwise(F.coalesce(F.conv(F.when(hx_v == "", F.lit("0")).otherwise(hx_v), 16, 10)
+                                                  .try_cast("bigint"), F.lit(0)))))
+            rest = F.when(dec != "", F.substring(p, F.length(dec) + 1, 1 << 30)) \
+                .otherwise(F.substring(p, F.length(hx) + 2, 1 << 30))
+            rest = F.regexp_replace(rest, "^;", "")
+            return F.when((dec == "") & (hx == ""), F.concat(F.lit("&#"), p)) \
+                .otherwise(F.concat(_let(n, _charref), rest))
+        return _let(caps, resolve)
+
+    def decode(parts: Column) -> Column:
+        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+        return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+
+    def guarded(text: Column) -> Column:
+        return F.when(text.contains("&#"), _let(F.split(text, "&#"), decode)).otherwise(text)
+
+    return _let(_col(c), guarded)
+
+
 def unescape(c: ColumnOrName) -> Column:
-    """H2: decode the fixed named / numeric references, ``&amp;`` last (one pass)."""
+    """H2: the fixed named references, then numeric references, ``&amp;`` last — so nothing
+    is decoded twice (``&amp;#39;`` → ``&#39;``, ``&#38;lt;`` → ``&lt;``)."""
     x = _col(c)
-    for ent, ch in P.HTML_ENTITIES:
+    named = [(e, ch) for e, ch in P.HTML_ENTITIES if e != "&amp;"]
+    for ent, ch in named:
         x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+    x = decode_numeric_refs(x)
+    return F.replace(x, F.lit("&amp;"), F.lit("&"))
 
 
 def qp_repair(c: ColumnOrName) -> Column:
@@ -59,18 +125,30 @@ def strip_markup(c: ColumnOrName, profile: str = MASKED) -> Column:
     return F.regexp_replace(x, r"<[^>]+>", "")
 
 
-def html_to_text(c: ColumnOrName, profile: str = MASKED) -> Column:
-    """H1. ``masked``: unescape → QP repair → markup → unescape, whitespace kept.
-    ``compact``: unescape → markup → unescape → whitespace collapsed and stripped."""
+def markup_removed(c: ColumnOrName, profile: str = MASKED) -> Column:
+    """First half of H1: unescape (→ QP repair) → markup removal."""
     x = unescape(c)
     if profile == MASKED:
         x = qp_repair(x)
-    x = unescape(strip_markup(x, profile))
+    return strip_markup(x, profile)
+
+
+def finish_text(c: ColumnOrName, profile: str = MASKED) -> Column:
+    """Second half of H1: the text is unescaped again; ``compact`` also collapses whitespace."""
+    x = unescape(c)
     if profile == COMPACT:
         x = strip(collapse_whitespace(x))
     return x
 
 
+def html_to_text(c: ColumnOrName, profile: str = MASKED) -> Column:
+    """H1. ``masked``: unescape → QP repair → markup → unescape, whitespace kept.
+    ``compact``: unescape → markup → unescape → whitespace collapsed and stripped.
+    On a DataFrame prefer :func:`mailsift.operators.compute.with_html_text`, which stores the
+    middle result so both halves stay in generated code."""
+    return finish_text(markup_removed(c, profile), profile)
+
+
 def strip_tags_fallback(c: ColumnOrName) -> Column:
     """H4: the fallback path — every tag becomes a space, then unescape."""
     return unescape(F.regexp_replace(_col(c), r"<[^>]+>", " "))

@@ -78,6 +78,15 @@ HTML_ENTITIES = (
     ("&amp;", "&"),
 )
 
+# Numeric character references 0x80–0x9F are read as windows-1252 (HTML rule); the code points
+# they map to, in order 0x80, 0x81, …, 0x9F.
+CP1252_C1 = (
+    0x20AC, 0x0081, 0x201A, 0x0192, 0x201E, 0x2026, 0x2020, 0x2021,
+    0x02C6, 0x2030, 0x0160, 0x2039, 0x0152, 0x008D, 0x017D, 0x008F,
+    0x0090, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2013, 0x2014,
+    0x02DC, 0x2122, 0x0161, 0x203A, 0x0153, 0x009D, 0x017E, 0x0178,
+)
+
 # Quoted-printable residue repair (profile B, on the unescaped HTML).
 QP_SOFT_BREAK = r"=\r?\n"
 QP_EQUALS = "=3D"

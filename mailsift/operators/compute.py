@@ -19,3 +19,12 @@ def with_computed(df: DataFrame, **exprs: Column) -> DataFrame:
     keep = [c for c in df.columns if c not in exprs]
     packed = F.struct(*[e.alias(name) for name, e in exprs.items()])
     return df.select(*keep, F.inline(F.array(packed)))
+
+
+def with_html_text(df: DataFrame, src: str, out: str, profile: str = "masked") -> DataFrame:
+    """``df`` plus ``out`` = H1(``src``). The markup-free middle result is stored once, so the
+    reference decoding (a lambda expression, evaluated outside generated code) reads a
+    stored column instead of re-running the regex chain below it."""
+    from ..functions.html import finish_text, markup_removed
+    staged = with_computed(df, _h1_mid=markup_removed(src, profile))
+    return staged.withColumn(out, finish_text("_h1_mid", profile)).drop("_h1_mid")

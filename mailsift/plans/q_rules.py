@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.html import html_to_text
 from ..functions.text import clean_masked
 from ..operators import rules as R
 from ..operators.classify import nb_fit, nb_predict, sized_broadcast
-from ..operators.compute import with_computed
+from ..operators.compute import with_computed, with_html_text
 from ..session import materialize
 from ..sources.tables import pages, read_table
 from . import sqltext as S
@@ -92,8 +91,8 @@ def layered_routing(spark, base):
     """Blacklist / keyword / look-alike rules, then the naive Bayes classifier, and the
     undecided rest to the explanation queue."""
     ph, bl, tr = _lists(spark, base)
-    body = with_computed(pages(spark, base, "page_id", "html"),
-                         body=clean_masked(html_to_text("html"))).select("page_id", "body")
+    body = with_computed(with_html_text(pages(spark, base, "page_id", "html"), "html", "_text"),
+                         body=clean_masked("_text")).select("page_id", "body")
     corpus = prepare_corpus(spark, base)
     table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
     p = nb_predict(body.withColumnRenamed("page_id", "doc_id"), table, priors, "body") \

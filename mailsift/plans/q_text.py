@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import patterns as P
-from ..operators.compute import with_computed
+from ..operators.compute import with_computed, with_html_text
 from ..sources.tables import documents, pages
 from . import sqltext as S
 from .fixtures import injected_text, injected_text_sql, qp_html, qp_html_sql
@@ -79,21 +79,26 @@ def compose_subject(spark, base):
     return d.select("doc_id", T.compose(subj, F.col("text")).alias("email_text"))
 
 
-def _html_query(name, spark_fn, sql_fn, src=None, src_sql="html"):
-    @register(name, f"SELECT page_id, {sql_fn(src_sql)} AS text_out FROM pages")
+def _html_query(name, profile, src=None, src_sql="html"):
+    @register(name, f"SELECT page_id, {S.html_to_text(src_sql, profile)} AS text_out FROM pages")
     def q(spark, base):
         p = pages(spark, base, "page_id", "html")
-        col = src() if src else F.col("html")
-        return p.select("page_id", spark_fn(col).alias("text_out"))
+        p = p.select("page_id", (src() if src else F.col("html")).alias("html"))
+        return with_html_text(p, "html", "text_out", profile).select("page_id", "text_out")
     q.__name__ = name
     return q
 
 
-_html_query("html_text_masked", lambda c: H.html_to_text(c, H.MASKED), lambda x: S.html_to_text(x, "masked"))
-_html_query("html_text_compact", lambda c: H.html_to_text(c, H.COMPACT), lambda x: S.html_to_text(x, "compact"))
-_html_query("html_strip_fallback", H.strip_tags_fallback, S.html_fallback)
-_html_query("qp_repair", lambda c: H.html_to_text(c, H.MASKED), lambda x: S.html_to_text(x, "masked"),
-            src=qp_html, src_sql=qp_html_sql())
+_html_query("html_text_masked", H.MASKED)
+_html_query("html_text_compact", H.COMPACT)
+_html_query("qp_repair", H.MASKED, src=qp_html, src_sql=qp_html_sql())
+
+
+@register("html_strip_fallback", f"SELECT page_id, {S.html_fallback('html')} AS text_out FROM pages")
+def html_strip_fallback(spark, base):
+    """H4: the fallback tag strip."""
+    p = pages(spark, base, "page_id", "html")
+    return p.select("page_id", H.strip_tags_fallback("html").alias("text_out"))
 
 
 @register("html_clean_masked", f"""
@@ -101,8 +106,8 @@ SELECT page_id, {S.clean_masked(S.html_to_text('html', 'masked'))} AS email_text
 def html_clean_masked(spark, base):
     """H1 then T11 (masked), the path of an HTML-only message body."""
     p = pages(spark, base, "page_id", "html")
-    body = with_computed(p, body=H.html_to_text("html", H.MASKED))
-    return body.select("page_id", T.clean_masked("body").alias("email_text"))
+    body = with_computed(with_html_text(p, "html", "body", H.MASKED), email_text=T.clean_masked("body"))
+    return body.select("page_id", "email_text")
 
 
 @register("contains_keyword", """

@@ -98,11 +98,37 @@ def hash_key(salt: str, id_expr: str) -> str:
     return f"md5({lit(salt)} || CAST({id_expr} AS VARCHAR))"
 
 
+def _charref(n: str) -> str:
+    c1 = "[" + ", ".join(f"chr({cp})" for cp in P.CP1252_C1) + "]"
+    invalid = (f"(({n} BETWEEN 1 AND 8) OR {n} = 11 OR ({n} BETWEEN 14 AND 31) OR {n} = 127 "
+               f"OR ({n} BETWEEN 64976 AND 65007) OR {n} % 65536 >= 65534)")
+    return (f"CASE WHEN {n} = 0 OR ({n} BETWEEN 55296 AND 57343) OR {n} > 1114111 THEN chr(65533) "
+            f"WHEN {n} = 13 THEN chr(13) WHEN {n} BETWEEN 128 AND 159 THEN {c1}[{n} - 127] "
+            f"WHEN {invalid} THEN '' ELSE chr(CAST({n} AS INTEGER)) END")
+
+
+def decode_numeric_refs(x: str) -> str:
+    dec = "regexp_extract(p, '^([0-9]+)', 1)"
+    hx = "regexp_extract(p, '^[xX]([0-9a-fA-F]+)', 1)"
+    dec_v, hx_v = f"ltrim({dec}, '0')", f"ltrim({hx}, '0')"
+    n = (f"(CASE WHEN {dec} <> '' THEN (CASE WHEN length({dec_v}) > 7 THEN 1114112 "
+         f"ELSE coalesce(TRY_CAST({dec_v} AS BIGINT), 0) END) "
+         f"ELSE (CASE WHEN length({hx_v}) > 6 THEN 1114112 "
+         f"ELSE coalesce(TRY_CAST(('0x' || CASE WHEN {hx_v} = '' THEN '0' ELSE {hx_v} END) AS BIGINT), 0) END) END)")
+    rest0 = f"(CASE WHEN {dec} <> '' THEN substring(p, length({dec}) + 1) ELSE substring(p, length({hx}) + 2) END)"
+    rest = f"(CASE WHEN starts_with({rest0}, ';') THEN substring({rest0}, 2) ELSE {rest0} END)"
+    one = f"CASE WHEN {dec} = '' AND {hx} = '' THEN '&#' || p ELSE ({_charref(n)}) || {rest} END"
+    return (f"array_to_string(list_transform(string_split({x}, '&#'), "
+            f"lambda p, i: CASE WHEN i = 1 THEN p ELSE {one} END), '')")
+
+
 def unescape(x: str) -> str:
     y = x
     for ent, ch in P.HTML_ENTITIES:
-        y = f"replace({y}, {lit(ent)}, {lit(ch)})"
-    return y
+        if ent != "&amp;":
+            y = f"replace({y}, {lit(ent)}, {lit(ch)})"
+    y = decode_numeric_refs(y)
+    return f"replace({y}, '&amp;', '&')"
 
 
 def _alt(tags) -> str:

@@ -93,3 +93,14 @@ def test_cleaning_is_idempotent_on_the_corpus(spark):
     twice = once.select("doc_id", "a", T.clean_masked("a").alias("b"))
     assert twice.where(F.col("a") != F.col("b")).count() == 0
     assert one_col(spark, ["a \x07 b"], T.clean_compact) == ["a  b"]
+
+
+def test_numeric_references_follow_html_rules(spark):
+    import html as std_html
+    cases = ["&#0;", "&#13;", "&#127;", "&#11;", "&#128;", "&#129;", "&#150;", "&#55296;", "&#1114112;",
+             "&#65534;", "&#64976;", "&#39", "&#x27", "&#X41;", "&#65;x", "&#0065;", "&#8217;", "&#128512;",
+             "&#99999999999;", "&#x;", "&#;", "a&#&#39;b", "&#38;lt;", "&amp;#39;", "&#x110000;", "&#9;",
+             "&#10;", "&#31;", "&#32;", "&#xD7FF;", "&#xFFFD;", "x &#233;t&#xE9; &#x1F600;!", "no refs",
+             "&#0000000065;", "&#x00041;"]
+    got = one_col(spark, cases, H.unescape)
+    assert got == [std_html.unescape(c) for c in cases]
