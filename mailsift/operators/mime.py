@@ -114,6 +114,8 @@ def _parse_batches(batches):
 
 def parse_messages(raw: DataFrame) -> DataFrame:
     """M1: binaryFile rows ``(path, content)`` → :data:`PARSED_SCHEMA` rows."""
+    from ..session import ship_package
+    ship_package(raw.sparkSession)
     return raw.select("path", "content").mapInPandas(_parse_batches, PARSED_SCHEMA)
 
 

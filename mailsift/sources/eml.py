@@ -85,6 +85,8 @@ def write_messages(messages: DataFrame, root: str, id_col: str = "doc_id", text_
     """One ``<id>.eml`` file per message under ``root`` (any Arrow file system URI), written
     by the tasks in parallel. File names are a function of the id, so a retried task
     rewrites the same files with the same bytes. Returns the number of files written."""
+    from ..session import ship_package
+    ship_package(messages.sparkSession)
     named = messages.select(F.concat(F.col(id_col).cast("string"), F.lit(suffix)).alias("name"),
                             F.col(text_col).alias("message"))
     counts = named.mapInPandas(_write_files(root), "written long")
