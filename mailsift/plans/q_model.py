@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import evaluate as V
 from ..operators.classify import nb_explain, nb_fit, nb_predict, sized_broadcast
+from ..operators.compute import with_computed
 from ..operators.explain import explain
 from ..operators.features import (doc_token_sets, explode_tokens, pad_and_mask, tokens, truncation_report,
                                   vocabulary)
@@ -213,8 +214,9 @@ def best_run_by_recall(spark, base):
 
 
 # ---------------------------------------------------------------------------------------
-# attention table: [CLS] + first 254 tokens + [SEP], 12 heads, query rows 0 and 1; weights
-# are md5-derived multiples of 2^-32 so that sums over heads are exact in any order.
+# attention table: [CLS] + first 254 tokens + [SEP], 12 heads, query rows 0 and 1. Weights are
+# 32-bit slices of sha256(stage, doc, query, key, block) divided by 2^32 — dyadic, so sums over
+# heads are exact in any order — eight heads per hash.
 # ---------------------------------------------------------------------------------------
 
 N_HEADS = 12
@@ -225,41 +227,37 @@ def attention_table(spark, base):
     d = documents(spark, base, "doc_id", "text")
     seq = F.concat(F.array(F.lit("[CLS]")), F.slice(tokens("text"), 1, P.MAX_TOKENS - 2), F.array(F.lit("[SEP]")))
     k = d.select("doc_id", F.posexplode(seq).alias("k_pos", "token"))
-    h = k.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_HEADS - 1))).alias("head"))
-    q = h.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("q_pos"))
-    key = F.concat_ws(":", F.lit(ATT_STAGE[:-1]), F.col("doc_id").cast("string"), F.col("head").cast("string"),
-                      F.col("q_pos").cast("string"), F.col("k_pos").cast("string"))
-    w = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    return q.select("doc_id", "head", "q_pos", "k_pos", "token", w.alias("weight"))
-
-
-@register("attention_topk", f"""
+    q = k.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("q_pos"))
+    base_key = F.concat_ws(":", F.lit(ATT_STAGE[:-1]), F.col("doc_id").cast("string"),
+                           F.col("q_pos").cast("string"), F.col("k_pos").cast("string"))
+    n_blocks = (N_HEADS + 7) // 8
+    hashed = with_computed(q, **{f"_b{b}": F.sha2(F.concat(base_key, F.lit(f":{b}")), 256) for b in range(n_blocks)})
+    weights = F.array(*[F.conv(F.substring(F.col(f"_b{h // 8}"), 8 * (h % 8) + 1, 8), 16, 10).cast("bigint")
+                        / F.lit(4294967296.0) for h in range(N_HEADS)])
+    return hashed.select("doc_id", "q_pos", "k_pos", "token", F.posexplode(weights).alias("head", "weight"))
+
+
+def _att_sql() -> str:
+    def w(h):
+        return (f"CAST(('0x' || substr(sha256('{ATT_STAGE[:-1]}:' || CAST(doc_id AS VARCHAR) || ':0:' "
+                f"|| CAST(k_pos AS VARCHAR) || ':{h // 8}'), {8 * (h % 8) + 1}, 8)) AS BIGINT)")
+    total = " + ".join(w(h) for h in range(N_HEADS))
+    return f"""
 WITH t AS (SELECT doc_id, ['[CLS]'] || {_TOKS_SQL}[1:{P.MAX_TOKENS - 2}] || ['[SEP]'] AS seq FROM documents),
 k AS (SELECT doc_id, unnest(seq) AS token, unnest(range(len(seq))) AS k_pos FROM t),
-h AS (SELECT doc_id, k_pos, token, r.head FROM k, range({N_HEADS}) r(head)),
-w AS (SELECT doc_id, k_pos, token,
-             CAST(('0x' || substr(md5('{ATT_STAGE[:-1]}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(head AS VARCHAR)
-                   || ':0:' || CAST(k_pos AS VARCHAR)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS weight FROM h),
-a AS (SELECT doc_id, k_pos, token, sum(weight) / count(*) AS score FROM w GROUP BY doc_id, k_pos, token),
-f AS (SELECT * FROM a WHERE token NOT IN ({", ".join(S.lit(t) for t in P.SPECIAL_TOKENS)}))
-SELECT doc_id, rank, token, score FROM
-  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k_pos) AS rank FROM f) r
-WHERE rank <= {P.TOP_K}""")
+a AS (SELECT doc_id, k_pos, token, ({total}) / CAST(4294967296 AS DOUBLE) / {N_HEADS} AS score FROM k),
+f AS (SELECT * FROM a WHERE token NOT IN ({", ".join(S.lit(t) for t in P.SPECIAL_TOKENS)})),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k_pos) AS rank FROM f)"""
+
+
+@register("attention_topk", _att_sql() + f"""
+SELECT doc_id, rank, token, score FROM r WHERE rank <= {P.TOP_K}""")
 def attention_topk(spark, base):
     """Top-5 tokens per document by head-averaged [CLS] attention."""
     return explain(attention_table(spark, base))
 
 
-@register("attention_lists", f"""
-WITH t AS (SELECT doc_id, ['[CLS]'] || {_TOKS_SQL}[1:{P.MAX_TOKENS - 2}] || ['[SEP]'] AS seq FROM documents),
-k AS (SELECT doc_id, unnest(seq) AS token, unnest(range(len(seq))) AS k_pos FROM t),
-h AS (SELECT doc_id, k_pos, token, r.head FROM k, range({N_HEADS}) r(head)),
-w AS (SELECT doc_id, k_pos, token,
-             CAST(('0x' || substr(md5('{ATT_STAGE[:-1]}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(head AS VARCHAR)
-                   || ':0:' || CAST(k_pos AS VARCHAR)), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS weight FROM h),
-a AS (SELECT doc_id, k_pos, token, sum(weight) / count(*) AS score FROM w GROUP BY doc_id, k_pos, token),
-f AS (SELECT * FROM a WHERE token NOT IN ({", ".join(S.lit(t) for t in P.SPECIAL_TOKENS)})),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k_pos) AS rank FROM f)
+@register("attention_lists", _att_sql() + f"""
 SELECT doc_id, string_agg(token, ' ' ORDER BY rank) AS top_tokens FROM r WHERE rank <= {P.TOP_K} GROUP BY doc_id""")
 def attention_lists(spark, base):
     """E1 / J3 nested form: per document the ranked (token, score) list; tokens shown."""
