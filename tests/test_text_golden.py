@@ -104,3 +104,14 @@ def test_numeric_references_follow_html_rules(spark):
              "&#0000000065;", "&#x00041;"]
     got = one_col(spark, cases, H.unescape)
     assert got == [std_html.unescape(c) for c in cases]
+
+
+def test_staged_html_equals_inline(spark):
+    from pyspark.sql import functions as F
+    from mailsift.operators.compute import with_html_text
+    from mailsift.sources.tables import pages
+    p = pages(spark, "/root/testdata/sf0.001", "page_id", "html")
+    for profile in (H.MASKED, H.COMPACT):
+        staged = with_html_text(p, "html", "a", profile)
+        both = staged.withColumn("b", H.html_to_text("html", profile))
+        assert both.where(F.col("a") != F.col("b")).count() == 0
