@@ -53,52 +53,70 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def decode_numeric_refs(c: ColumnOrName) -> Column:
-    """``&#NNN`` / ``&#xHHH`` (semicolon optional) → character, native (split + transform).
-
-    Every intermediate value is bound once through a lambda, so the input text (often the
-    result of a long regex chain) and the digit captures are each evaluated a single time.
-    """
-    def one(p: Column) -> Column:
-        caps = F.struct(F.regexp_extract(p, r"^([0-9]+)", 1).alias("d"),
-                        F.regexp_extract(p, r"^[xX]([0-9a-fA-F]+)", 1).alias("h"))
-
-        def resolve(t: Column) -> Column:
-            dec, hx = t["d"], t["h"]
-            dec_v, hx_v = F.ltrim(dec, F.lit("0")), F.ltrim(hx, F.lit("0"))
-            n = (F.when(dec != "", F.when(F.length(dec_v) > 7, F.lit(0x110000))
-                        .otherwise(F.coalesce(dec_v.try_cast("bigint"), F.lit(0))))
-                 .otherwise(F.when(F.length(hx_v) > 6, F.lit(0x110000))
-                            .otherwise(F.coalesce(F.conv(F.when(hx_v == "", F.lit("0")).otherwise(hx_v), 16, 10)
-                                                  .try_cast("bigint"), F.lit(0)))))
-            rest = F.when(dec != "", F.substring(p, F.length(dec) + 1, 1 << 30)) \
-                .otherwise(F.substring(p, F.length(hx) + 2, 1 << 30))
-            rest = F.regexp_replace(rest, "^;", "")
-            return F.when((dec == "") & (hx == ""), F.concat(F.lit("&#"), p)) \
-                .otherwise(F.concat(_let(n, _charref), rest))
-        return _let(caps, resolve)
+def _numeric(p: Column) -> Column:
+    """The piece after ``&#``: ``NNN`` / ``xHHH`` (semicolon optional) → character + rest."""
+    caps = F.struct(F.regexp_extract(p, r"^([0-9]+)", 1).alias("d"),
+                    F.regexp_extract(p, r"^[xX]([0-9a-fA-F]+)", 1).alias("h"))
+
+    def resolve(t: Column) -> Column:
+        dec, hx = t["d"], t["h"]
+        dec_v, hx_v = F.ltrim(dec, F.lit("0")), F.ltrim(hx, F.lit("0"))
+        n = (F.when(dec != "", F.when(F.length(dec_v) > 7, F.lit(0x110000))
+                    .otherwise(F.coalesce(dec_v.try_cast("bigint"), F.lit(0))))
+             .otherwise(F.when(F.length(hx_v) > 6, F.lit(0x110000))
+                        .otherwise(F.coalesce(F.conv(F.when(hx_v == "", F.lit("0")).otherwise(hx_v), 16, 10)
+                                              .try_cast("bigint"), F.lit(0)))))
+        rest = F.when(dec != "", F.substring(p, F.length(dec) + 1, 1 << 30)) \
+            .otherwise(F.substring(p, F.length(hx) + 2, 1 << 30))
+        rest = F.regexp_replace(rest, "^;", "")
+        return F.when((dec == "") & (hx == ""), F.concat(F.lit("&#"), p)) \
+            .otherwise(F.concat(_let(n, _charref), rest))
+    return _let(caps, resolve)
+
+
+def _entity_map() -> Column:
+    """The HTML5 name → text table as one constant map (a folded literal)."""
+    import json
+    return F.from_json(F.lit(json.dumps(P.HTML5_ENTITIES)), "map<string,string>")
+
+
+def _named(p: Column, table: Column) -> Column:
+    """The piece after ``&`` for a named reference: an exact name (with or without ';'), else
+    the longest legacy name that prefixes it, else the ``&`` stays."""
+    legacy_re = "^(" + "|".join(P.HTML5_LEGACY) + ")"
+    caps = F.struct(F.regexp_extract(p, P.NAMED_REF_PATTERN, 1).alias("s"),
+                    F.regexp_extract(p, legacy_re, 1).alias("l"))
+
+    def resolve(t: Column) -> Column:
+        s, leg = t["s"], t["l"]
+        full = F.try_element_at(table, s)
+        short = F.try_element_at(table, leg)
+        return (F.when((s != "") & full.isNotNull(), F.concat(full, F.substring(p, F.length(s) + 1, 1 << 30)))
+                .when(leg != "", F.concat(short, F.substring(p, F.length(leg) + 1, 1 << 30)))
+                .otherwise(F.concat(F.lit("&"), p)))
+    return _let(caps, resolve)
+
+
+def unescape(c: ColumnOrName) -> Column:
+    """H2: every character reference decoded in one left-to-right pass, with the HTML rules —
+    named (HTML5 table, legacy names without ';' by longest prefix) and numeric — so nothing is
+    decoded twice (``&amp;lt;`` → ``&lt;``). Native: split on ``&`` + ``transform``; each value
+    is bound once through a lambda."""
+    table = _entity_map()
+
+    def piece(p: Column) -> Column:
+        return F.when(p.startswith("#"), _numeric(F.substring(p, 2, 1 << 30))).otherwise(_named(p, table))
 
     def decode(parts: Column) -> Column:
-        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
+        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
         return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
 
     def guarded(text: Column) -> Column:
-        return F.when(text.contains("&#"), _let(F.split(text, "&#"), decode)).otherwise(text)
+        return F.when(text.contains("&"), _let(F.split(text, "&"), decode)).otherwise(text)
 
     return _let(_col(c), guarded)
 
 
-def unescape(c: ColumnOrName) -> Column:
-    """H2: the fixed named references, then numeric references, ``&amp;`` last — so nothing
-    is decoded twice (``&amp;#39;`` → ``&#39;``, ``&#38;lt;`` → ``&lt;``)."""
-    x = _col(c)
-    named = [(e, ch) for e, ch in P.HTML_ENTITIES if e != "&amp;"]
-    for ent, ch in named:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    x = decode_numeric_refs(x)
-    return F.replace(x, F.lit("&amp;"), F.lit("&"))
-
-
 def qp_repair(c: ColumnOrName) -> Column:
     """H3: repair quoted-printable residue: soft breaks, ``=3D`` and ``=20``."""
     x = F.regexp_replace(_col(c), P.QP_SOFT_BREAK, "")

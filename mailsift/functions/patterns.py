@@ -78,6 +78,19 @@ HTML_ENTITIES = (
     ("&amp;", "&"),
 )
 
+# The HTML5 named character references: taken from the standard library's table (a rule, not a
+# transcription): names with ';' plus the legacy names that also decode without it.
+def _html5_table() -> dict:
+    from html.entities import html5
+    return dict(html5)
+
+
+HTML5_ENTITIES = _html5_table()
+# legacy names (no ';'), longest first so that a regex alternation takes the longest prefix
+HTML5_LEGACY = tuple(sorted((k for k in HTML5_ENTITIES if not k.endswith(";")), key=lambda k: (-len(k), k)))
+# a named reference: up to 32 characters other than TAB LF FF SPACE < & # ;, then an optional ';'
+NAMED_REF_PATTERN = r"^([^\t\n\f <&#;]{1,32};?)"
+
 # Numeric character references 0x80–0x9F are read as windows-1252 (HTML rule); the code points
 # they map to, in order 0x80, 0x81, …, 0x9F.
 CP1252_C1 = (

@@ -107,28 +107,37 @@ def _charref(n: str) -> str:
             f"WHEN {invalid} THEN '' ELSE chr(CAST({n} AS INTEGER)) END")
 
 
-def decode_numeric_refs(x: str) -> str:
-    dec = "regexp_extract(p, '^([0-9]+)', 1)"
-    hx = "regexp_extract(p, '^[xX]([0-9a-fA-F]+)', 1)"
+def _numeric(q: str) -> str:
+    """SQL for the piece after ``&#`` (``q``)."""
+    dec = f"regexp_extract({q}, '^([0-9]+)', 1)"
+    hx = f"regexp_extract({q}, '^[xX]([0-9a-fA-F]+)', 1)"
     dec_v, hx_v = f"ltrim({dec}, '0')", f"ltrim({hx}, '0')"
     n = (f"(CASE WHEN {dec} <> '' THEN (CASE WHEN length({dec_v}) > 7 THEN 1114112 "
          f"ELSE coalesce(TRY_CAST({dec_v} AS BIGINT), 0) END) "
          f"ELSE (CASE WHEN length({hx_v}) > 6 THEN 1114112 "
          f"ELSE coalesce(TRY_CAST(('0x' || CASE WHEN {hx_v} = '' THEN '0' ELSE {hx_v} END) AS BIGINT), 0) END) END)")
-    rest0 = f"(CASE WHEN {dec} <> '' THEN substring(p, length({dec}) + 1) ELSE substring(p, length({hx}) + 2) END)"
+    rest0 = f"(CASE WHEN {dec} <> '' THEN substring({q}, length({dec}) + 1) ELSE substring({q}, length({hx}) + 2) END)"
     rest = f"(CASE WHEN starts_with({rest0}, ';') THEN substring({rest0}, 2) ELSE {rest0} END)"
-    one = f"CASE WHEN {dec} = '' AND {hx} = '' THEN '&#' || p ELSE ({_charref(n)}) || {rest} END"
-    return (f"array_to_string(list_transform(string_split({x}, '&#'), "
-            f"lambda p, i: CASE WHEN i = 1 THEN p ELSE {one} END), '')")
+    return f"(CASE WHEN {dec} = '' AND {hx} = '' THEN '&#' || {q} ELSE ({_charref(n)}) || {rest} END)"
+
+
+def _named(p: str, m: str) -> str:
+    s_ = f"regexp_extract({p}, {lit(P.NAMED_REF_PATTERN)}, 1)"
+    leg = f"regexp_extract({p}, {lit('^(' + '|'.join(P.HTML5_LEGACY) + ')')}, 1)"
+    full = f"map_extract_value({m}, {s_})"
+    return (f"(CASE WHEN {s_} <> '' AND {full} IS NOT NULL THEN {full} || substring({p}, length({s_}) + 1) "
+            f"WHEN {leg} <> '' THEN map_extract_value({m}, {leg}) || substring({p}, length({leg}) + 1) "
+            f"ELSE '&' || {p} END)")
 
 
 def unescape(x: str) -> str:
-    y = x
-    for ent, ch in P.HTML_ENTITIES:
-        if ent != "&amp;":
-            y = f"replace({y}, {lit(ent)}, {lit(ch)})"
-    y = decode_numeric_refs(y)
-    return f"replace({y}, '&amp;', '&')"
+    """Single left-to-right pass over every character reference (HTML5 table + numeric)."""
+    import json
+    table = json.dumps(P.HTML5_ENTITIES).replace("'", "''")
+    m_lit = f"json_transform('{table}', '\"MAP(VARCHAR, VARCHAR)\"')"
+    piece = f"CASE WHEN i = 1 THEN p WHEN starts_with(p, '#') THEN {_numeric('substring(p, 2)')} ELSE {_named('p', 'm')} END"
+    return (f"list_transform([{m_lit}], lambda m: array_to_string(list_transform(string_split({x}, '&'), "
+            f"lambda p, i: {piece}), ''))[1]")
 
 
 def _alt(tags) -> str:

@@ -115,3 +115,26 @@ def test_staged_html_equals_inline(spark):
         staged = with_html_text(p, "html", "a", profile)
         both = staged.withColumn("b", H.html_to_text("html", profile))
         assert both.where(F.col("a") != F.col("b")).count() == 0
+
+
+def test_references_equal_stdlib_on_random_mixes(spark):
+    """Named (full HTML5 table, legacy prefixes) and numeric references in one pass."""
+    import html as std_html
+    import random
+    from mailsift.functions import patterns as P
+    rnd = random.Random(11)
+    names = list(P.HTML5_ENTITIES)
+    cases = ["&ampx;", "&amp-x;", "&notit;", "&AMP;", "&lt", "&copy2019", "&foo;", "& x", "&;",
+             "&amp;amp;", "&nbsp&nbsp;", "&hearts;", "&xx;y", "&&&", "&#", "&#x"]
+    for _ in range(500):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            r = rnd.random()
+            if r < 0.5:
+                parts.append("&" + rnd.choice(names) + rnd.choice(["", "x", ";", " ", "-q", "2"]))
+            elif r < 0.75:
+                parts.append("&#" + str(rnd.randint(0, 130000)) + rnd.choice(["", ";", "a"]))
+            else:
+                parts.append(rnd.choice(["word", "&", "&#;", "<b>", " ", "é"]))
+        cases.append("".join(parts))
+    assert one_col(spark, cases, H.unescape) == [std_html.unescape(c) for c in cases]
