@@ -58,26 +58,6 @@ MASKED_SKIP_TAGS = ("script", "style", "head", "meta", "link", "noscript")
 COMPACT_BLOCK_TAGS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
 MASKED_BLOCK_TAGS = ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th")
 
-# Named character references decoded by the HTML step (``&amp;`` is applied last so that
-# one pass never decodes twice).  Numeric references are decoded separately.
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-    ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&pound;", "£"),
-    ("&yen;", "¥"), ("&cent;", "¢"), ("&sect;", "§"), ("&deg;", "°"),
-    ("&times;", "×"), ("&divide;", "÷"),
-    ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"),
-    ("&uacute;", "ú"), ("&ntilde;", "ñ"), ("&Aacute;", "Á"), ("&Eacute;", "É"),
-    ("&Iacute;", "Í"), ("&Oacute;", "Ó"), ("&Uacute;", "Ú"), ("&Ntilde;", "Ñ"),
-    ("&uuml;", "ü"), ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"),
-    ("&ccedil;", "ç"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ecirc;", "ê"),
-    ("&iquest;", "¿"), ("&iexcl;", "¡"),
-    ("&#39;", "'"), ("&#34;", '"'), ("&#x27;", "'"), ("&#x22;", '"'), ("&#160;", "\u00a0"),
-    ("&amp;", "&"),
-)
-
 # The HTML5 named character references: taken from the standard library's table (a rule, not a
 # transcription): names with ';' plus the legacy names that also decode without it.
 def _html5_table() -> dict:
