@@ -50,3 +50,15 @@ def test_train_on_builtin_sample(spark, tmp_path):
     from mailsift.plans import jobs
     m = jobs.train(spark, None, str(tmp_path / "m")).collect()[0]
     assert m.tn + m.fp + m.fn + m.tp == 1           # max(1, int(6 * 0.2))
+
+
+def test_label_job_agrees_with_ingest_and_subject_flag(spark, eml_dir, tmp_path):
+    from mailsift.plans.jobs import label_eml_directory
+    from mailsift.plans.q_mime import ingest
+    from mailsift.sources.labelled import read_labelled_csv
+    ok = ingest(spark, eml_dir).where(F.col("compact_status") == "ok")
+    stats = label_eml_directory(spark, eml_dir, str(tmp_path / "a.csv"), label=0)
+    assert stats["processed"] == ok.count()
+    no_subj = str(tmp_path / "b.csv")
+    label_eml_directory(spark, eml_dir, no_subj, label=0, include_subject=False)
+    assert read_labelled_csv(spark, no_subj).where(F.col("email_text").startswith("Subject: ")).count() == 0
