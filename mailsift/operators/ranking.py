@@ -136,20 +136,52 @@ def first_n(df: DataFrame, key: str, tie: str, cap: CapSpec,
 
 
 def global_position(df: DataFrame, key: str, tie: str, out: str = "pos",
-                    partition_cols: tuple[str, ...] = (), prefix_len: int = 4) -> DataFrame:
+                    partition_cols: tuple[str, ...] = (), prefix_len: int = 4,
+                    max_rank_rows: int = 1_000_000) -> DataFrame:
     """1-based position of every row in ``(key, tie)`` order, per partition, without a
-    single-partition window: rows are ranked inside their key bucket (16^prefix_len buckets,
-    so each window partition holds ≈ rows / 65,536) and offset by the rows of all earlier
-    buckets, taken from a broadcast table of ≤ 16^prefix_len counts per partition value."""
+    single-partition window.
+
+    A histogram of rows per key bucket (first ``prefix_len`` hex digits; ≤ 16^prefix_len rows
+    per partition value) comes to the driver; a bucket with more than ``max_rank_rows`` rows is
+    split by a finer histogram of that bucket only. Rows are ranked inside their (sub-)bucket —
+    so no window partition holds more than ``max_rank_rows`` rows — and offset by the rows of
+    all earlier buckets, from a broadcast table whose size is bounded by the histogram.
+    """
+    from pyspark.sql import types as T
     pcols = list(partition_cols)
-    b = "_gp_bucket"
-    rows = df.withColumn(b, F.substring(F.col(key), 1, prefix_len))
-    counts = rows.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("_gp_cnt"))
-    wp = Window.partitionBy(*pcols) if pcols else Window.partitionBy()
-    before = counts.select(*pcols, b, F.coalesce(
-        F.sum("_gp_cnt").over(wp.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_gp_before"))
-    wb = Window.partitionBy(*pcols, b).orderBy(F.col(key), F.col(tie))
-    return (rows.join(F.broadcast(before), [*pcols, b])
+    spark = df.sparkSession
+    width = prefix_len
+    bexpr = F.substring(F.col(key), 1, width)
+    counts: dict[tuple, int] = {}
+    for r in df.groupBy(*pcols, bexpr.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[(tuple(r[c] for c in pcols), r["_b"])] = r["n"]
+    while True:
+        hot = [k for k, n in counts.items() if n > max_rank_rows and k[1] is not None and len(k[1]) == width]
+        if not hot or width >= 32:
+            break
+        cond = None
+        for p, bucket in hot:
+            m = bexpr == F.lit(bucket)
+            for col, v in zip(pcols, p):
+                m = m & (F.col(col) == F.lit(v))
+            cond = m if cond is None else cond | m
+        width += 4
+        finer = F.substring(F.col(key), 1, width)
+        sub = df.where(cond).groupBy(*pcols, finer.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for k in hot:
+            del counts[k]
+        for r in sub:
+            counts[(tuple(r[c] for c in pcols), r["_b"])] = r["n"]
+        bexpr = F.when(cond, finer).otherwise(bexpr)
+    offsets, running = [], {}
+    for (p, bucket), n in sorted(counts.items(), key=lambda kv: (kv[0][0], kv[0][1] or "")):
+        offsets.append((*p, bucket, running.get(p, 0)))
+        running[p] = running.get(p, 0) + n
+    schema = T.StructType([df.schema[c] for c in pcols]
+                          + [T.StructField("_gp_bucket", T.StringType()), T.StructField("_gp_before", T.LongType())])
+    before = spark.createDataFrame(offsets, schema)
+    rows = df.withColumn("_gp_bucket", bexpr)
+    wb = Window.partitionBy(*pcols, "_gp_bucket").orderBy(F.col(key), F.col(tie))
+    return (rows.join(F.broadcast(before), [*pcols, "_gp_bucket"])
             .withColumn(out, F.col("_gp_before") + F.row_number().over(wb))
-            .drop(b, "_gp_before"))
+            .drop("_gp_bucket", "_gp_before"))

@@ -177,3 +177,11 @@ def test_flagship_same_with_shuffled_label_join(spark, monkeypatch):
     monkeypatch.setattr(corpus, "BROADCAST_LABEL_ROWS", 0)
     got = {(r.label, r.part, r.n) for r in queries()["prepare_corpus_counts"](spark, SF01).collect()}
     assert got == {(0, "train", 41), (0, "val", 9), (1, "train", 39), (1, "val", 11)}
+
+
+def test_global_position_refines_hot_buckets(spark):
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("k", hash_key("g", "doc_id"))
+    got = {(r.doc_id, r.pos) for r in global_position(df, "k", "doc_id", "pos", prefix_len=1,
+                                                        max_rank_rows=40).collect()}
+    exp = {(r.doc_id, r.rn) for r in df.withColumn("rn", F.row_number().over(Window.orderBy("k", "doc_id"))).collect()}
+    assert got == exp
