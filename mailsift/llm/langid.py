@@ -6,9 +6,9 @@ n-gram adds the difference between its rank in the document and in the profile,
 length if the profile lacks it. The language with the smallest sum wins.
 
 N-grams are packed code points (21 bits a letter), so ties in frequency fall to the smaller code
-and ranks are the same in every task. Words repeat, so n-grams are counted per distinct word and
-weighted: profiles first sum words per batch and language, then n-grams, then shuffle one row per
-n-gram, language and batch; the best ranks are cut before the ranking shuffle.
+and ranks are the same in every task. Profiles are summed per piece of text, per batch, then over
+the corpus: one row per n-gram, language and batch is shuffled, and the best ranks are cut before
+the ranking shuffle.
 
 Null text or a text without a letter: ``und``, score 0. Rows without a language or outside the
 training rows are predicted but not learned from. With nothing to learn from, all rows are
@@ -18,54 +18,48 @@ training rows are predicted but not learned from. With nothing to learn from, al
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE_LIMIT, map_batches
+from .common import map_batches
 
 PROFILE_SIZE = 300
-MAX_GRAM = 3
 UNDETERMINED = "und"
+#: Words counted at once.
+_PIECE_WORDS = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _grams(word: str) -> np.ndarray:
-    """Packed n-grams of the word between blanks, without the blank alone."""
-    code = np.frombuffer(f" {word} ".encode("utf-32-le"), np.uint32).astype(np.int64)
-    out = [code[1:-1]]
-    packed = code
-    for n in range(2, MAX_GRAM + 1):
-        packed = (packed[:-1] << 21) | code[n - 1:]
-        out.append(packed)
-    return np.concatenate(out)
-
-
-class _GramTable(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        grams = _grams(word)
-        if len(self) < WORD_TABLE_LIMIT // 4:
-            self[word] = grams
-        return grams
-
-
 def _words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def _counted(words: Counter, table: _GramTable) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of weighted words and their counts, by n-gram code."""
-    parts = [table[w] for w in words]
-    weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-    codes, where = np.unique(np.concatenate(parts), return_inverse=True)
-    return codes, np.bincount(where, weights=weights, minlength=len(codes)).astype(np.int64)
+def _counted(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams of the words, each between blanks, and their counts, by n-gram code."""
+    code = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    letter = code != 32
+    pair = (code[:-1] << 21) | code[1:]
+    triple = (pair[:-1] << 21) | code[2:]
+    # two words share a blank: n-grams around it belong to one of them, those across it to none
+    grams = np.sort(np.concatenate([code[letter], pair, triple[letter[1:-1]]]))
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    return grams[first], np.diff(np.r_[first, len(grams)])
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(where, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
 def _ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent codes, the most frequent first, ties by code."""
+    if len(codes) > size:
+        enough = counts >= np.partition(counts, -size)[-size]
+        codes, counts = codes[enough], counts[enough]
     return codes[np.lexsort((codes, -counts))[:size]]
 
 
@@ -74,17 +68,20 @@ def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "la
     """``(lang, gram, rank)``: at most ``size`` rows a language, ranks from 0."""
 
     def count(batches):
-        table = _GramTable()
         for batch in batches:
-            words: dict[str, Counter] = defaultdict(Counter)
+            words, parts = defaultdict(list), defaultdict(list)
             for text, lang in zip(batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()):
-                words[lang].update(_words(text))
-            for lang, found in words.items():
-                if found:
-                    codes, counts = _counted(found, table)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)],
-                        ["lang", "gram", "n"])
+                words[lang] += _words(text)
+                if len(words[lang]) > _PIECE_WORDS:
+                    parts[lang].append(_counted(words.pop(lang)))
+            for lang, rest in words.items():
+                if rest:
+                    parts[lang].append(_counted(rest))
+            for lang, found in parts.items():
+                codes, counts = _merged(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)],
+                    ["lang", "gram", "n"])
 
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
@@ -107,10 +104,10 @@ class _Profiles:
         for lang, code, rank in rows:
             self.ranks[at[code], col[lang]] = rank
 
-    def predict(self, words: Counter, table: _GramTable) -> tuple[str, float]:
+    def predict(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.langs:
             return UNDETERMINED, 0.0
-        top = _ranked(*_counted(words, table), self.size)
+        top = _ranked(*_counted(words), self.size)
         at = np.searchsorted(self.codes, top)
         at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != top)] = len(self.codes)
         theirs = self.ranks[at]
@@ -127,9 +124,9 @@ def predict_language(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id
     rows = [tuple(r) for r in profiles.select("lang", "gram", "rank").collect()]
 
     def run(batches):
-        table, known = _GramTable(), _Profiles(rows, size)
+        known = _Profiles(rows, size)
         for batch in batches:
-            out = [known.predict(Counter(_words(t)), table) for t in batch.column("_text").to_pylist()]
+            out = [known.predict(_words(t)) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array([x[0] for x in out], pa.string()),
                  pa.array([x[1] for x in out], pa.float64())], ["_id", "lang_pred", "score"])
