@@ -11,7 +11,8 @@ lines, except in the largest id that holds them.
 2. A key all of whose bits are in the merged twice filter may repeat; every other key surely occurs
    in one document only. Only these suspects are shuffled, as 128-bit digests with their ids.
 3. Their exact counts and largest ids are aggregated (partially before the shuffle, so that one
-   line in a third of all documents is a few rows), and the lines to drop go back by id.
+   line in a third of all documents is a few rows). The verdicts meet the documents by key and salt,
+   so such a line does not meet in one task, and the lines to drop go back by id.
 
 The filter size is a parameter, not a function of the input: 2^27 bits are 16 MB in the broadcast.
 A filter that fills up at a larger corpus lets more keys through to step 2 and 3 and changes no
@@ -40,6 +41,8 @@ MIN_DOCS = 3
 FILTER_BITS = 1 << 27
 SLICE_BITS = 1 << 17
 PROBES = 2
+#: Tasks over which the documents of one repeated line are dealt when its verdict goes back.
+SALTS = 16
 
 
 def line_key(line: bytes) -> bytes:
@@ -146,7 +149,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = suspects(docs, id_col, text_col, min_chars, bits)
     confirmed = found.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")) \
         .where(F.col("n") >= min_docs)
-    drops = found.join(confirmed, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))) \
+    salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    drops = found.join(salted, ["key", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper"))) \
         .groupBy(F.col("id").alias("_llm_id")).agg(F.collect_set("key").alias("_llm_drop"))
     joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("_llm_id")), "left").drop("_llm_id")
     width, at = len(docs.columns), docs.columns.index(text_col)
