@@ -12,7 +12,8 @@ encoding. ``encode`` works in blocks of documents:
 3. Positions and ids of a block meet by block id, and ids are joined back by position.
 
 A block is at most ``block_chars`` of text (or one longer text); lists of one bucket are streamed.
-The first pass is a written table, so block ids cannot differ between its two readers.
+The first pass is a written table, so block ids cannot differ between its two readers, and it is
+bucketed by block, so the documents are not shuffled when their ids come.
 
 ``decode`` joins ids with the tokenizer's id-to-piece table (as many rows as its vocabulary, sent to
 the tasks) and reads the bytes as UTF-8.
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, texts, written
+from .common import map_batches, texts, written_by
 
 BLOCK_CHARS = 32 << 20
 BUCKETS = 1024
+#: Words joined with their ids at once.
+_SLICE_WORDS = 500_000
 #: Encoded words a task remembers within a bucket.
 REMEMBERED = 2_000_000
 # Fixed value: the pre-tokens of this kind of tokenizer.
@@ -117,14 +120,19 @@ class _Block:
         self.chars += chars
 
     def rows(self, block: int, buckets: int, id_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
-        """One row for the documents and one for each bucket of words."""
+        """One row for the documents and one for each bucket of words. Words stand by falling
+        frequency, which makes positions small numbers."""
+        positions = np.concatenate(self.positions) if self.positions else np.empty(0, np.uint32)
         words = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        by_count = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
+        words = [words[k] for k in by_count.tolist()]
+        rank = np.empty(len(words), np.uint32)
+        rank[by_count] = np.arange(len(words), dtype=np.uint32)
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         used, first = np.unique(bucket[order], return_index=True)
         lists = [[words[k] for k in part.tolist()] for part in np.split(order, first[1:])] if len(words) else []
-        positions = np.concatenate(self.positions) if self.positions else np.empty(0, np.uint32)
-        payload = [_pack_numbers(positions)] + [_pack_words(x) for x in lists]
+        payload = [_pack_numbers(rank[positions])] + [_pack_words(x) for x in lists]
         n = len(payload)
         return pa.RecordBatch.from_arrays(
             [pa.array([block] * n, pa.int64()), pa.array([None] + used.tolist(), pa.int32()),
@@ -198,46 +206,73 @@ def _ragged_take(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) ->
     return values[np.repeat(starts - (total - lengths), lengths) + np.arange(total[-1])]
 
 
-def _joined(documents: pa.Table, replies: pa.Table, id_name: str) -> pa.Table:
-    """Ids of a block's documents, by position."""
+class Speller:
+    """The id-to-piece table, and texts of many id lists by it."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.array([len(p) for p in pieces])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Of the lists between ``bounds``: one more than lists, from 0."""
+        raw = _ragged_take(self.starts[ids], self.sizes[ids], self.data).tobytes()
+        at = np.r_[0, np.cumsum(self.sizes[ids])][bounds].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+
+
+def _joined(documents: pa.Table, replies: pa.Table, id_name: str, speller: Speller | None) -> pa.Table:
+    """Ids (and texts) of a block's documents, by position, some documents at a time."""
     replies = replies.sort_by("bucket")
     empty = [np.empty(0, np.uint32)]
     sizes = np.concatenate([*map(_unpack_numbers, replies["lengths"].to_pylist()), *empty]).astype(np.int64)
     ids = np.concatenate([*map(_unpack_numbers, replies["ids"].to_pylist()), *empty]).astype(np.int32)
     starts = np.cumsum(sizes) - sizes
-    doc_ids, bounds, values = [], [np.zeros(1, np.int64)], []
-    for row in documents.to_pylist():
+    id_type = documents.schema.field("ids").type.value_type
+    out = []
+    for row in range(documents.num_rows):
+        get = lambda c: documents[c][row].as_py()  # noqa: B023,E731
         place = np.empty(len(sizes), np.int64)      # of a word in the replies, which come by bucket
-        place[np.argsort(_unpack_numbers(row["word_buckets"]), kind="stable")] = np.arange(len(sizes))
-        word = place[_unpack_numbers(row["payload"])]
-        ends = np.cumsum(_unpack_numbers(row["lengths"]), dtype=np.int64)
-        each = sizes[word]
-        tokens = np.r_[0, np.cumsum(each)]
-        bounds.append(bounds[-1][-1] + tokens[ends])
-        values.append(_ragged_take(starts[word], each, ids))
-        doc_ids += row["ids"]
-    offsets = pa.array(np.concatenate(bounds), pa.int32())
-    return pa.table({id_name: pa.array(doc_ids, documents.schema.field("ids").type.value_type),
-                     "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*values, *empty]).astype(np.int32)))})
+        place[np.argsort(_unpack_numbers(get("word_buckets")), kind="stable")] = np.arange(len(sizes))
+        words = _unpack_numbers(get("payload"))
+        ends = np.r_[0, np.cumsum(_unpack_numbers(get("lengths")), dtype=np.int64)]
+        doc_ids = documents["ids"][row].values
+        a = 0
+        while a < len(doc_ids):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _SLICE_WORDS, "right")) - 1)
+            word = place[words[ends[a]:ends[b]]]
+            each = sizes[word]
+            tokens = _ragged_take(starts[word], each, ids)
+            bounds = np.r_[0, np.cumsum(each)][ends[a:b + 1] - ends[a]]
+            part = {id_name: doc_ids.slice(a, b - a).cast(id_type),
+                    "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens))}
+            if speller:
+                part["decoded"] = pa.array(speller.texts(tokens, bounds), pa.string())
+            out.append(pa.table(part))
+            a = b
+    return pa.concat_tables(out)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS) -> DataFrame:
-    """``(id, ids array<int>)`` per row of ``docs``: the ids of a tokenizers file."""
+           block_chars: int = BLOCK_CHARS, buckets: int = BUCKETS, decoded: bool = False) -> DataFrame:
+    """``(id, ids array<int>)`` per row of ``docs``: the ids of a tokenizers file. With ``decoded``
+    also the text that the ids spell, as ``decode`` gives it, in the same pass."""
     with open(tokenizer_path, encoding="utf-8") as f:
         config = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
     settings = json.loads(config)
     outline = json.dumps({**settings, "model": {k: v for k, v in settings["model"].items() if k not in ("vocab", "merges")}})
-    blocks = written(split_blocks(docs, outline, id_col, text_col, block_chars, buckets), "bpe-blocks")
+    blocks = written_by(split_blocks(docs, outline, id_col, text_col, block_chars, buckets), "bpe-blocks", "block")
     replies = encode_words(blocks.where("bucket is not null").select("block", "bucket", "payload"), config)
     documents = blocks.where("bucket is null").select("block", "ids", "lengths", "word_buckets", "payload")
 
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_bytes(settings)) if decoded else None
+
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _joined(left, right, id_col)
+        return _joined(left, right, id_col, Speller(pieces.value) if pieces else None)
 
     return documents.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        join, f"`{id_col}` {kind}, ids array<int>")
+        join, f"`{id_col}` {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def piece_bytes(config: dict) -> list[bytes]:
@@ -261,19 +296,13 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_co
     at = names.index(ids_col)
 
     def run(batches):
-        spelled = pieces.value
-        sizes = np.array([len(p) for p in spelled])
-        data = np.frombuffer(b"".join(spelled), np.uint8)
-        starts = np.cumsum(sizes) - sizes
+        speller = Speller(pieces.value)
         for batch in batches:
             column = batch.column(at)
             ids = column.flatten().to_numpy(zero_copy_only=False)
-            raw = _ragged_take(starts[ids], sizes[ids], data).tobytes()
-            ends = np.r_[0, np.cumsum(sizes[ids])]
-            tokens = np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
-            bounds = ends[tokens].tolist()
-            out = [raw[a:b].decode("utf-8", "replace") if ok else None
-                   for a, b, ok in zip(bounds, bounds[1:], column.is_valid().to_pylist())]
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            found = speller.texts(ids, np.r_[0, np.cumsum(sizes)])
+            out = [t if ok else None for t, ok in zip(found, column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, out_col])
 
     if out_col in names:

@@ -6,13 +6,14 @@ exactly what ``bytes.split()`` cuts at, and ASCII lower-casing is ``bytes.lower(
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import materialize, ship_package
+from ..session import materialize, scratch_path, ship_package
 from ..sources.tables import read_table
 
 #: Distinct words a task keeps in memory before it starts its table anew.
@@ -28,6 +29,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
+def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``written``, as a table bucketed by ``key`` into ``spark.sql.shuffle.partitions`` buckets,
+    so that a join or grouping by the key reads it where it is. The name leaves the catalog at once,
+    the files stay with the other tables of the run."""
+    spark = df.sparkSession
+    alias = f"llm_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch_path(spark, f"llm-{name}")) \
+        .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(alias)
+    out = spark.table(alias)
+    spark.sql(f"DROP TABLE {alias}")
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
                 schema) -> DataFrame:
     """``mapInArrow`` with this package importable in the Python workers."""

@@ -7,18 +7,20 @@ register about as often as they share shingles, so bands of ``BAND`` registers s
 
 1. Sketches are one narrow pass. Documents with equal word sequences are one class, represented by
    its smallest id, so thousands of exact copies cost one row from here on.
-2. Bands: a bucket's documents are compared with its smallest member only, the centre, and the links
-   that hold are contracted to components. Then the centres leave their buckets, and every bucket
-   that still holds two components gets its next centres, twice as many each round. A bucket ends
-   when its members are one component or all have been centres, so every pair of different
-   components in a bucket is compared, no group is expanded into pairs of itself, and a group of
-   thousands of near copies is a star.
-3. A pair is dropped if its set sizes alone or the likelihood of its registers rule out the
-   threshold: how many registers are greater, smaller and equal has a known distribution given both
-   sizes and the similarity, which is maximised jointly; the pair stays unless the threshold is
-   ``MARGIN`` log units less likely than the best similarity.
-4. The rest is verified on the full sets. The texts of all documents that have any partner are
-   fetched once.
+2. Bands: documents that share a bucket are partners. Their texts are fetched once, and the shingles
+   that a document shares with no other partner are counted. A pair cannot reach the threshold if
+   the shared shingles of either are too few for both sizes, which is exact and rules out the many
+   pairs of independently edited copies.
+3. A bucket's documents are compared with its centre only, the one with the fewest shingles of its
+   own, and the links that hold are contracted to components. Then the centre leaves its buckets, and
+   every bucket that still holds two components and a possible pair gets its next centres, twice as
+   many each round. So every pair of different components in a bucket is compared or ruled out, no
+   group is expanded into pairs of itself, and a group of thousands of near copies is a star.
+4. A pair is dropped if the likelihood of its registers rules out the threshold: how many registers
+   are greater, smaller and equal has a known distribution given both sizes and the similarity, which
+   is maximised jointly; the pair stays unless the threshold is ``MARGIN`` log units less likely than
+   the best similarity.
+5. The rest is verified on the full sets.
 
 Components are found by alternating large and small stars on the links, in written tables. Nothing
 but counts reaches the driver.
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, map_batches, mix, seeds, window_hashes, written
@@ -76,8 +78,8 @@ class Sketcher:
         return mix(key).view(np.int64)
 
 
-def sketch(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles, words_key, registers, bands)`` per row."""
+def sketch(docs: DataFrame, width: int) -> DataFrame:
+    """Of ``docs(_id, _text)``: ``(id, n_shingles, words_key, registers, bands)`` per row."""
 
     def run(batches):
         words, sketcher = Words(lower=True), Sketcher()
@@ -100,9 +102,8 @@ def sketch(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
                  pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["id", "n_shingles", "words_key", "registers", "bands"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run,
-                       f"id {kind}, n_shingles bigint, words_key binary, registers binary, bands array<bigint>")
+    kind = docs.schema["_id"].dataType.simpleString()
+    return map_batches(docs, run, f"id {kind}, n_shingles bigint, words_key binary, registers binary, bands array<bigint>")
 
 
 def _log_likelihood(similarity, share_a, share_b, more, less, same):
@@ -188,7 +189,7 @@ def connected(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         # now every edge points from a node (u) to a smaller one (v)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
@@ -203,62 +204,92 @@ def connected(edges: DataFrame) -> DataFrame:
         .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _centres(buckets: DataFrame, n: int) -> DataFrame:
-    """The ``n`` smallest members of each bucket, the first by a partial minimum."""
+def _own_shingles(known: DataFrame, width: int, kind: str) -> DataFrame:
+    """``(rep, own)``: how many shingles of a document no other one has."""
+
+    def run(batches):
+        words = Words(lower=True)
+        for batch in batches:
+            sets = [shingle_set(ids, width) for ids in words.rows(batch.column("text"))]
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep").take(pa.array(row)), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))],
+                ["rep", "shingle"])
+
+    single = map_batches(known, run, f"rep {kind}, shingle bigint").groupBy("shingle") \
+        .agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _centres(members: DataFrame, n: int) -> DataFrame:
+    """The ``n`` members of each bucket with the fewest shingles of their own."""
+    row = F.struct("own", "rep", "n_shingles", "room", "comp")
     if n == 1:
-        return buckets.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")) \
-            .where("n > 1").select("bucket", "a")
-    from pyspark.sql import Window
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-    return buckets.withColumn("r", rank).where(F.col("r") <= n).select("bucket", F.col("rep").alias("a"),
-                                                                    F.col("comp").alias("comp_a"))
+        best = members.groupBy("bucket").agg(F.min(row).alias("a"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "rep"))
+        best = members.withColumn("r", rank).where(F.col("r") <= n).select("bucket", row.alias("a"))
+    return best.select("bucket", *[F.col(f"a.{c}").alias(f"{c}_a") for c in ("own", "rep", "n_shingles", "room", "comp")])
 
 
-def near_components(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` per row of ``docs``: components of the links between
-    sets of ``width``-word shingles with 100 * intersection >= ``percent`` * union."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    threshold = percent / 100
-    sketches = written(sketch(docs, width, id_col, text_col), "sketches")
+def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
+    """``(words_key, component_id)`` of the classes of equal word sequences."""
     real = sketches.where("n_shingles > 0 and id is not null")
     reps = real.groupBy("words_key").agg(F.min("id").alias("rep"))
     classes = real.join(reps, "words_key").where("id = rep").dropDuplicates(["words_key"]) \
         .select("words_key", "rep", "n_shingles", "registers", "bands")
     classes = written(classes, "classes")
 
-    members = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
-    buckets = written(members.join(crowded, "bucket").select("bucket", "rep", "a"), "buckets")
-    partners = buckets.select("rep").distinct()
-    known = written(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-                    .join(partners, "rep").dropDuplicates(["rep"]), "texts")
-
-    pairs = buckets.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = written(_links(_candidates(pairs, classes, threshold, kind), known, width, percent, kind), "links")
-    parts = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = buckets.where("rep <> a").select("bucket", "rep")
-    n = FIRST_CENTRES
+    members = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = written(members.join(crowded, "bucket"), "buckets")
+    known = written(docs.select(F.col("_id").alias("rep"), F.col("_text").alias("text"))
+                    .join(members.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "texts")
+    # 100 * shared >= percent * (n + n' - shared), that is percent * n' <= room
+    own = F.coalesce("own", F.lit(0))
+    rest = members.join(_own_shingles(known, width, kind), "rep", "left").select(
+        "bucket", "rep", "n_shingles", own.alias("own"),
+        ((100 + percent) * (F.col("n_shingles") - own) - percent * F.col("n_shingles")).alias("room"),
+        F.col("rep").alias("comp"))
+
+    links, parts, n = None, None, 1
     while True:
-        labelled = rest.join(parts, F.col("rep") == F.col("node"), "left") \
-            .select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")) \
-            .where("c < d").select("bucket")
-        rest = written(labelled.join(mixed, "bucket"), "buckets")
+        open_ = rest.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d"),
+                                           F.min("n_shingles").alias("least"), F.max("room").alias("most")) \
+            .where("c < d")
+        rest = rest.join(open_, "bucket").where(
+            (F.col("room") >= percent * F.col("least")) & (percent * F.col("n_shingles") <= F.col("most")))
+        rest = written(rest.select("bucket", "rep", "n_shingles", "own", "room", "comp"), "buckets")
         if rest.isEmpty():
             break
         centres = written(_centres(rest, n), "centres")
-        pairs = rest.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b")).join(centres, "bucket") \
-            .where("a < b and comp_a <> comp_b").select("a", "b").distinct()
-        fresh = written(_links(_candidates(pairs, classes, threshold, kind), known, width, percent, kind), "links")
-        links = links.unionByName(fresh)
-        parts = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rest = rest.join(centres.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti") \
-            .select("bucket", "rep")
-        n *= 2
-
-    label = classes.select("words_key", "rep").join(parts, F.col("rep") == F.col("node"), "left") \
+        possible = (F.struct("own_a", "rep_a") < F.struct("own", "rep")) & (F.col("comp_a") != F.col("comp")) \
+            & (percent * F.col("n_shingles") <= F.col("room_a")) & (percent * F.col("n_shingles_a") <= F.col("room"))
+        pairs = rest.alias("r").join(centres.alias("c"), (F.col("r.bucket") == F.col("c.bucket")) & possible) \
+            .select(F.col("rep_a").alias("a"), F.col("rep").alias("b")).distinct()
+        fresh = written(_links(_candidates(pairs, classes, percent / 100, kind), known, width, percent, kind), "links")
+        rest = rest.join(centres.select("bucket", F.col("rep_a").alias("rep")), ["bucket", "rep"], "left_anti")
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            parts = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            rest = rest.join(parts, F.col("rep") == F.col("node"), "left").select(
+                "bucket", "rep", "n_shingles", "own", "room", F.coalesce("component", "comp").alias("comp"))
+        n = max(FIRST_CENTRES, 2 * n)
+
+    if parts is None:
+        return classes.select("words_key", F.col("rep").alias("component_id"))
+    return classes.select("words_key", "rep").join(parts, F.col("rep") == F.col("node"), "left") \
         .select("words_key", F.coalesce("component", "rep").alias("component_id"))
+
+
+def near_components(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id)`` per row of ``docs``: components of the links between
+    sets of ``width``-word shingles with 100 * intersection >= ``percent`` * union."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    sketches = written(sketch(docs, width), "sketches")
+    label = _components(sketches, docs, width, percent, kind)
     return sketches.select("id", "n_shingles", "words_key").join(label, "words_key", "left") \
         .select(F.col("id").alias(id_col), "n_shingles",
                 F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
@@ -268,7 +299,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
                          text_col: str = "text") -> DataFrame:
     """``docs`` without all but the smallest id of each component; all columns. Of rows with one id
     one stays, rows without an id all do."""
-    from pyspark.sql import Window
     found = near_components(docs, width, percent, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_llm_id")).distinct()
     left = docs.join(gone, F.col(id_col) == F.col("_llm_id"), "left_anti")

@@ -38,9 +38,9 @@ def _count(kind: str) -> F.Column:
 
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BYTE_BPE)
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return bpe.decode(encoded, path).select(
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                         public_tokenizers.path(BYTE_BPE), decoded=True)
+    return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         _sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         _sha("decoded").alias("decoded_sha256"))
