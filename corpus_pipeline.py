@@ -43,11 +43,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, round_trip)``; ``round_trip`` tells whether the decoded ids hash to
     the same text."""
-    path = public_tokenizers.path(TOKENIZER)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.struct("doc_id", F.xxhash64(text).alias("text_hash")).alias("key"), "text")
-    decoded = bpe.decode(bpe.encode(keyed, path, id_col="key"), path)
-    return decoded.select("key.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+    encoded = bpe.encode(keyed, public_tokenizers.path(TOKENIZER), id_col="key", decoded=True)
+    return encoded.select("key.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                           (F.xxhash64("decoded") == F.col("key.text_hash")).alias("round_trip"))
 
 
