@@ -7,20 +7,18 @@ register about as often as they share shingles, so bands of ``BAND`` registers s
 
 1. Sketches are one narrow pass. Documents with equal word sequences are one class, represented by
    its smallest id, so thousands of exact copies cost one row from here on.
-2. Bands: documents that share a bucket are partners. Their texts are fetched once, and the shingles
-   that a document shares with no other partner are counted. A pair cannot reach the threshold if
-   the shared shingles of either are too few for both sizes, which is exact and rules out the many
-   pairs of independently edited copies.
-3. A bucket's documents are compared with its centre only, the one with the fewest shingles of its
-   own, and the links that hold are contracted to components. Then the centre leaves its buckets, and
-   every bucket that still holds two components and a possible pair gets its next centres, twice as
-   many each round. So every pair of different components in a bucket is compared or ruled out, no
-   group is expanded into pairs of itself, and a group of thousands of near copies is a star.
+2. Bands: documents that share a bucket are partners, and their texts are fetched once. A bucket's
+   documents are compared with its centre only, the one with the most company in all its buckets (the
+   original of a group of copies rather than one of its variants). The links that hold are contracted
+   to components, so a group of thousands of near copies is a star.
+3. Buckets that still hold two components are finished by a prefix filter, which is exact: shingles
+   are put in one order, the rarest first, and two sets above the threshold share one of their first
+   ones, behind which enough shingles are left in both. Only pairs of different components are made,
+   and no pair that the two positions rule out, so no group is expanded into pairs of itself.
 4. A pair is dropped if the likelihood of its registers rules out the threshold: how many registers
    are greater, smaller and equal has a known distribution given both sizes and the similarity, which
    is maximised jointly; the pair stays unless the threshold is ``MARGIN`` log units less likely than
-   the best similarity.
-5. The rest is verified on the full sets.
+   the best similarity. The rest is verified on the full sets.
 
 Components are found by alternating large and small stars on the links, in written tables. Nothing
 but counts reaches the driver.
@@ -45,7 +43,6 @@ BAND = 4
 #: SetSketch: base of the scale, rate of the variables, largest register (two bytes).
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 MARGIN = 14.0
-FIRST_CENTRES = 8
 
 
 def shingle_set(ids: np.ndarray, width: int) -> np.ndarray:
@@ -204,32 +201,40 @@ def connected(edges: DataFrame) -> DataFrame:
         .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _own_shingles(known: DataFrame, width: int, kind: str) -> DataFrame:
-    """``(rep, own)``: how many shingles of a document no other one has."""
+def _prefix_pairs(rest: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
+    """Pairs of ``rest(rep, comp, text)`` of different components that may reach the threshold:
+    100 * shared >= percent * (n + n' - shared)."""
 
     def run(batches):
         words = Words(lower=True)
         for batch in batches:
             sets = [shingle_set(ids, width) for ids in words.rows(batch.column("text"))]
-            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            size = np.array([len(s) for s in sets], np.int64)
+            row = pa.array(np.repeat(np.arange(len(sets)), size))
+            shingle = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep").take(pa.array(row)), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))],
-                ["rep", "shingle"])
-
-    single = map_batches(known, run, f"rep {kind}, shingle bigint").groupBy("shingle") \
-        .agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-
-
-def _centres(members: DataFrame, n: int) -> DataFrame:
-    """The ``n`` members of each bucket with the fewest shingles of their own."""
-    row = F.struct("own", "rep", "n_shingles", "room", "comp")
-    if n == 1:
-        best = members.groupBy("bucket").agg(F.min(row).alias("a"))
-    else:
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("own", "rep"))
-        best = members.withColumn("r", rank).where(F.col("r") <= n).select("bucket", row.alias("a"))
-    return best.select("bucket", *[F.col(f"a.{c}").alias(f"{c}_a") for c in ("own", "rep", "n_shingles", "room", "comp")])
+                [batch.column("rep").take(row), batch.column("comp").take(row), pa.array(np.repeat(size, size)),
+                 pa.array(shingle)], ["rep", "comp", "n", "shingle"])
+
+    rows = map_batches(rest, run, f"rep {kind}, comp {kind}, n bigint, shingle bigint")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
+    # shingles from this one on; of the first that two sets share, it bounds what they share
+    first = rows.join(counts, "shingle").withColumn("left", F.col("n") - place + 1) \
+        .where((100 * F.col("left") >= percent * F.col("n")) & (F.col("holders") > 1)) \
+        .select("shingle", "rep", "comp", "n", "left")
+    first = written(first, "prefixes")
+    enough = lambda left, n, other: (100 + percent) * left >= percent * (n + other)
+    met = first.groupBy("shingle").agg(F.min("n").alias("least"), F.min("comp").alias("c"), F.max("comp").alias("d")) \
+        .where("c < d").select("shingle", "least")
+    open_ = first.join(met, "shingle").where(enough(F.col("left"), F.col("n"), F.col("least"))).drop("least")
+    met = open_.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d")
+    open_ = written(open_.join(met.select("shingle"), "shingle"), "prefixes")
+    x, y = open_.alias("x"), open_.alias("y")
+    both = F.least("x.left", "y.left")
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep"))
+                  & (F.col("x.comp") != F.col("y.comp")) & enough(both, F.col("x.n"), F.col("y.n"))) \
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
@@ -240,44 +245,29 @@ def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int,
         .select("words_key", "rep", "n_shingles", "registers", "bands")
     classes = written(classes, "classes")
 
-    members = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = classes.select("rep", F.explode("bands").alias("bucket"))
+    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(members.join(crowded, "bucket"), "buckets")
+    company = members.groupBy("rep").agg(F.sum("size").alias("company"))
+    members = members.drop("size").join(company, "rep")
     known = written(docs.select(F.col("_id").alias("rep"), F.col("_text").alias("text"))
-                    .join(members.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "texts")
-    # 100 * shared >= percent * (n + n' - shared), that is percent * n' <= room
-    own = F.coalesce("own", F.lit(0))
-    rest = members.join(_own_shingles(known, width, kind), "rep", "left").select(
-        "bucket", "rep", "n_shingles", own.alias("own"),
-        ((100 + percent) * (F.col("n_shingles") - own) - percent * F.col("n_shingles")).alias("room"),
-        F.col("rep").alias("comp"))
-
-    links, parts, n = None, None, 1
-    while True:
-        open_ = rest.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d"),
-                                           F.min("n_shingles").alias("least"), F.max("room").alias("most")) \
-            .where("c < d")
-        rest = rest.join(open_, "bucket").where(
-            (F.col("room") >= percent * F.col("least")) & (percent * F.col("n_shingles") <= F.col("most")))
-        rest = written(rest.select("bucket", "rep", "n_shingles", "own", "room", "comp"), "buckets")
-        if rest.isEmpty():
-            break
-        centres = written(_centres(rest, n), "centres")
-        possible = (F.struct("own_a", "rep_a") < F.struct("own", "rep")) & (F.col("comp_a") != F.col("comp")) \
-            & (percent * F.col("n_shingles") <= F.col("room_a")) & (percent * F.col("n_shingles_a") <= F.col("room"))
-        pairs = rest.alias("r").join(centres.alias("c"), (F.col("r.bucket") == F.col("c.bucket")) & possible) \
-            .select(F.col("rep_a").alias("a"), F.col("rep").alias("b")).distinct()
-        fresh = written(_links(_candidates(pairs, classes, percent / 100, kind), known, width, percent, kind), "links")
-        rest = rest.join(centres.select("bucket", F.col("rep_a").alias("rep")), ["bucket", "rep"], "left_anti")
-        if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            parts = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-            rest = rest.join(parts, F.col("rep") == F.col("node"), "left").select(
-                "bucket", "rep", "n_shingles", "own", "room", F.coalesce("component", "comp").alias("comp"))
-        n = max(FIRST_CENTRES, 2 * n)
-
-    if parts is None:
-        return classes.select("words_key", F.col("rep").alias("component_id"))
+                    .join(company.select("rep"), "rep").dropDuplicates(["rep"]), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return written(_links(_candidates(pairs, classes, percent / 100, kind), known, width, percent, kind), "links")
+
+    centres = members.groupBy("bucket").agg(F.max_by("rep", F.struct("company", "rep")).alias("a"))
+    stars = written(members.join(centres, "bucket").where("rep <> a").select("bucket", "rep", "a"), "stars")
+    links = verified(stars.select("a", F.col("rep").alias("b")).distinct())
+    parts = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labelled = stars.select("bucket", "rep").join(parts, F.col("rep") == F.col("node"), "left") \
+        .select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")) \
+        .where("c < d").select("bucket")
+    rest = labelled.join(mixed, "bucket").select("rep", "comp").distinct().join(known, "rep")
+    more = verified(_prefix_pairs(rest, width, percent, kind))
+    if not more.isEmpty():
+        parts = connected(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     return classes.select("words_key", "rep").join(parts, F.col("rep") == F.col("node"), "left") \
         .select("words_key", F.coalesce("component", "rep").alias("component_id"))
 
