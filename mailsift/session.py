@@ -71,8 +71,8 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) a private temporary folder is
-    created and registered, so lineage cuts and stream checkpoints always land in the
+    A cluster names it, and without it this is an error there; only with a local master (tests) a
+    private temporary folder is created and registered, so lineage cuts and stream checkpoints always land in the
     folder the cluster declared.
     """
     sc = spark.sparkContext
@@ -80,6 +80,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         global _LOCAL_ROOT
         if _LOCAL_ROOT is None:
             _LOCAL_ROOT = tempfile.mkdtemp(prefix="mailsift-ckpt-")
