@@ -31,7 +31,7 @@ CapSpec = int | Callable[[dict], dict]
 def _match(pcols: list[str], p: tuple, key: str, prefix: str) -> Column:
     cond = F.substring(F.col(key), 1, len(prefix)) == F.lit(prefix)
     for col, v in zip(pcols, p):
-        cond = cond & (F.col(col) == F.lit(v))
+        cond = cond & F.col(col).eqNullSafe(F.lit(v))
     return cond
 
 
@@ -119,7 +119,7 @@ def flag_first_n(df: DataFrame, key: str, tie: str, cap: CapSpec, flag: str,
             continue
         hit = F.lit(True)
         for col, v in zip(pcols, p):
-            hit = hit & (F.col(col) == F.lit(v))
+            hit = hit & F.col(col).eqNullSafe(F.lit(v))
         if mode == "all":
             kept = F.when(hit, F.lit(True)).otherwise(kept)
         else:
@@ -151,19 +151,20 @@ def global_position(df: DataFrame, key: str, tie: str, out: str = "pos",
     pcols = list(partition_cols)
     spark = df.sparkSession
     width = prefix_len
-    bexpr = F.substring(F.col(key), 1, width)
+    # rows without a key come first, in a bucket of their own
+    bexpr = F.coalesce(F.substring(F.col(key), 1, width), F.lit(""))
     counts: dict[tuple, int] = {}
     for r in df.groupBy(*pcols, bexpr.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect():
         counts[(tuple(r[c] for c in pcols), r["_b"])] = r["n"]
     while True:
-        hot = [k for k, n in counts.items() if n > max_rank_rows and k[1] is not None and len(k[1]) == width]
+        hot = [k for k, n in counts.items() if n > max_rank_rows and len(k[1]) == width]
         if not hot or width >= 32:
             break
         cond = None
         for p, bucket in hot:
             m = bexpr == F.lit(bucket)
             for col, v in zip(pcols, p):
-                m = m & (F.col(col) == F.lit(v))
+                m = m & F.col(col).eqNullSafe(F.lit(v))
             cond = m if cond is None else cond | m
         width += 4
         finer = F.substring(F.col(key), 1, width)
@@ -174,14 +175,17 @@ def global_position(df: DataFrame, key: str, tie: str, out: str = "pos",
             counts[(tuple(r[c] for c in pcols), r["_b"])] = r["n"]
         bexpr = F.when(cond, finer).otherwise(bexpr)
     offsets, running = [], {}
-    for (p, bucket), n in sorted(counts.items(), key=lambda kv: (kv[0][0], kv[0][1] or "")):
+    for (p, bucket), n in sorted(counts.items(), key=lambda kv: ([(v is not None, v) for v in kv[0][0]], kv[0][1])):
         offsets.append((*p, bucket, running.get(p, 0)))
         running[p] = running.get(p, 0) + n
-    schema = T.StructType([df.schema[c] for c in pcols]
-                          + [T.StructField("_gp_bucket", T.StringType()), T.StructField("_gp_before", T.LongType())])
+    schema = T.StructType([T.StructField(f"_gp_{k}", df.schema[c].dataType) for k, c in enumerate(pcols)]
+                          + [T.StructField("_gp_at", T.StringType()), T.StructField("_gp_before", T.LongType())])
     before = spark.createDataFrame(offsets, schema)
     rows = df.withColumn("_gp_bucket", bexpr)
     wb = Window.partitionBy(*pcols, "_gp_bucket").orderBy(F.col(key), F.col(tie))
-    return (rows.join(F.broadcast(before), [*pcols, "_gp_bucket"])
+    at = F.col("_gp_bucket") == F.col("_gp_at")
+    for k, c in enumerate(pcols):
+        at = at & F.col(c).eqNullSafe(F.col(f"_gp_{k}"))
+    return (rows.join(F.broadcast(before), at)
             .withColumn(out, F.col("_gp_before") + F.row_number().over(wb))
-            .drop("_gp_bucket", "_gp_before"))
+            .drop("_gp_bucket", "_gp_at", "_gp_before", *[f"_gp_{k}" for k in range(len(pcols))]))

@@ -109,23 +109,35 @@ def generate(df: DataFrame, id_col: str, out: str = "email_text", stage: str = S
     return staged.withColumn(out, filled).drop("_tmpl", *values.keys())
 
 
+#: Candidates per seed row beyond which no more are drawn.
+MAX_PER_SEED = 1024
+
+
 def generate_distinct(seeds: DataFrame, id_col: str, n: int, per_seed: int = 2,
                       stage: str = SYNTH_STAGE) -> DataFrame:
     """``n`` synthetic e-mails with distinct fingerprints.
 
     Each seed row yields ``per_seed`` candidates (``cand_id = id * per_seed + k``);
     duplicates by fingerprint keep the lowest candidate id; the first ``n`` survivors in
-    the ``synthpick`` hash order are returned. Instead of looping forever when the pool
-    is too small, the job fails with a clear error.
+    the ``synthpick`` hash order are returned. While fewer than ``n`` survive, the candidates
+    are drawn anew with twice as many per seed; with ``MAX_PER_SEED`` the job fails.
     """
     from ..functions.hashing import hash_key
+    from ..session import materialize
     from .ranking import first_n
-    cands = (seeds.select((F.col(id_col) * per_seed).alias("_base"),
-                          F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))).alias("_k"))
-             .select((F.col("_base") + F.col("_k")).alias("cand_id")))
-    texts = generate(cands, "cand_id", "email_text", stage).withColumn("fp", fingerprint("email_text"))
-    uniq = dedup_keep_first(texts, "fp", "cand_id").withColumn("_k", hash_key("synthpick", "cand_id"))
-    picked = first_n(uniq, "_k", "cand_id", n)
+    while True:
+        cands = seeds.select((F.col(id_col) * per_seed).alias("_base"),
+                             F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))).alias("_k")) \
+            .select((F.col("_base") + F.col("_k")).alias("cand_id"))
+        texts = generate(cands, "cand_id", "email_text", stage).withColumn("fp", fingerprint("email_text"))
+        uniq = materialize(dedup_keep_first(texts, "fp", "cand_id"))
+        got = uniq.count()
+        if got >= n:
+            break
+        if per_seed >= MAX_PER_SEED:
+            raise RuntimeError(f"only {got} distinct e-mails could be generated, {n} requested")
+        per_seed *= 2
+    picked = first_n(uniq.withColumn("_k", hash_key("synthpick", "cand_id")), "_k", "cand_id", n)
     return picked.drop("_k")
 
 
