@@ -65,7 +65,7 @@ def doc_term_counts(df: DataFrame, text_col: str, id_col: str = "doc_id", label_
 
 
 def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "label",
-           alpha: float = 1.0, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+           alpha: float = 1.0, id_col: str = "doc_id", max_tokens: int = P.MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Returns ``(token_table, priors)``.
 
     token_table: ``token, lp_0, lp_1`` with add-``alpha`` smoothing over the training
@@ -74,7 +74,7 @@ def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "lab
     eager: the per-token counts are written once to the checkpoint folder and the three
     totals (tokens per class, vocabulary size) come back as scalars.
     """
-    tc = doc_term_counts(train, text_col, id_col, label_col)
+    tc = doc_term_counts(train, text_col, id_col, label_col, max_tokens)
     per_class = materialize(tc.groupBy("token").agg(
         F.sum(F.when(F.col(label_col) == 0, F.col("tf")).otherwise(0)).alias("c0"),
         F.sum(F.when(F.col(label_col) == 1, F.col("tf")).otherwise(0)).alias("c1")))
@@ -84,6 +84,8 @@ def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "lab
     table = per_class.select("token", F.log((F.col("c0") + a) / (t0 + a * v)).alias("lp_0"),
                              F.log((F.col("c1") + a) / (t1 + a * v)).alias("lp_1"))
     counts = {r[0]: r[1] for r in train.groupBy(label_col).agg(F.count(F.lit(1))).collect()}
+    if len(counts) < 2:     # an absent class gets a smoothed prior instead of none
+        counts = {k: counts.get(k, 0) + 1 for k in (0, 1)}
     n_all = float(sum(counts.values()))
     spark = train.sparkSession
     priors = spark.createDataFrame([(int(k), float(n)) for k, n in sorted(counts.items())], "label int, n double") \
@@ -91,24 +93,16 @@ def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "lab
     return table, priors
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to have at most ``max_rows`` rows (a bounded
-    count of the already-materialised table); otherwise leave the join to a shuffle, where
-    AQE's skew handling splits hot keys."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def nb_log_scores(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col: str = "email_text",
-                  id_col: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
+                  id_col: str = "doc_id", max_tokens: int = P.MAX_TOKENS) -> DataFrame:
     """Per document: ``s0, s1`` = log prior + Σ tf · log P(token | class) over known tokens.
 
     One pass: documents are exploded with ``posexplode_outer`` (a document without tokens
     keeps a null-token row), term counts are joined to the model with a left join (unknown
     tokens contribute nothing) and summed per document.
     """
-    tc = doc_term_counts(docs, text_col, id_col, None, outer=True)
-    joined = tc.join(sized_broadcast(table, broadcast_rows), "token", "left")
+    tc = doc_term_counts(docs, text_col, id_col, None, max_tokens, outer=True)
+    joined = tc.join(table, "token", "left")
     sums = joined.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("lp_0")).alias("_s0"),
                                       F.sum(F.col("tf") * F.col("lp_1")).alias("_s1"))
     lp = {r["label"]: r["log_prior"] for r in priors.collect()}  # one row per class
@@ -117,21 +111,21 @@ def nb_log_scores(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col
 
 
 def nb_predict(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col: str = "email_text",
-               id_col: str = "doc_id") -> DataFrame:
+               id_col: str = "doc_id", max_tokens: int = P.MAX_TOKENS) -> DataFrame:
     """I3 over C1: ``p_0, p_1, pred, pred_label, score`` per document."""
-    s = nb_log_scores(docs, table, priors, text_col, id_col)
+    s = nb_log_scores(docs, table, priors, text_col, id_col, max_tokens)
     scored = predict(s.withColumn("logits", F.array("s0", "s1")))
     return scored.select(id_col, F.col("probs")[0].alias("p_0"), F.col("probs")[1].alias("p_1"),
                          "pred", "pred_label", "score")
 
 
 def nb_explain(docs: DataFrame, table: DataFrame, text_col: str = "email_text", id_col: str = "doc_id",
-               top_k: int = P.TOP_K) -> DataFrame:
+               top_k: int = P.TOP_K, max_tokens: int = P.MAX_TOKENS) -> DataFrame:
     """E1 over C1: each token's contribution ``tf · (lp_1 − lp_0)`` toward the positive
     class; the ``top_k`` largest per document (ties: earlier first occurrence first)."""
     from pyspark.sql import Window
-    tc = doc_term_counts(docs, text_col, id_col, None)
-    contrib = tc.join(sized_broadcast(table, 2_000_000), "token").select(
+    tc = doc_term_counts(docs, text_col, id_col, None, max_tokens)
+    contrib = tc.join(table, "token").select(
         id_col, "token", "first_pos", (F.col("tf") * (F.col("lp_1") - F.col("lp_0"))).alias("contribution"))
     w = Window.partitionBy(id_col).orderBy(F.col("contribution").desc(), F.col("first_pos"))
     return (contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

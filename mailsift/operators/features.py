@@ -45,7 +45,7 @@ def doc_token_sets(df: DataFrame, text_col: str, id_cols=("doc_id",), keep=("lab
 
 def vocabulary(token_rows: DataFrame, token_col: str = "token", min_df: int = 1,
                doc_col: str = "doc_id", distinct_rows: bool = False) -> DataFrame:
-    """Token → dense id (0-based, by token order) with document frequency.
+    """Token → dense id (from 1, by token order; 0 stays free for padding) with document frequency.
     ``distinct_rows=True`` when the input already has one row per (document, token), e.g.
     from :func:`doc_token_sets`.
 
@@ -53,14 +53,15 @@ def vocabulary(token_rows: DataFrame, token_col: str = "token", min_df: int = 1,
     with the bucketed global position (no single-partition window).
     """
     from ..operators.ranking import global_position
+    from ..session import materialize
     pairs = token_rows.select(doc_col, token_col)
     df_ = ((pairs if distinct_rows else pairs.distinct())
            .groupBy(token_col).agg(F.count(F.lit(1)).alias("doc_freq"))
            .where(F.col("doc_freq") >= min_df))
-    # position by token text: bucket on the first 4 hex digits of the hex-encoded token
-    keyed = df_.withColumn("_k", F.rpad(F.hex(F.col(token_col)), 4, "0"))
+    # position by token text: buckets are prefixes of the hex-encoded token, as long as it takes
+    keyed = materialize(df_.withColumn("_k", F.hex(F.col(token_col))), "vocabulary")
     pos = global_position(keyed, "_k", token_col, "token_id")
-    return pos.select(token_col, (F.col("token_id") - 1).alias("token_id"), "doc_freq")
+    return pos.select(token_col, "token_id", "doc_freq")
 
 
 def pad_and_mask(arr: Column | str, length: Column | int, pad_value=0) -> tuple[Column, Column]:

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .classify import sized_broadcast
 
 HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
@@ -25,12 +24,11 @@ def host_of(url: Column | str) -> Column:
     return F.lower(F.regexp_extract(u, HOST_PATTERN, 1))
 
 
-def blacklist_match(df: DataFrame, host_col: str, blacklist: DataFrame, list_col: str = "host",
-                    max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """Rows whose sender host is listed (left-semi join; the list is broadcast only
-    when its size is proven small)."""
+def blacklist_match(df: DataFrame, host_col: str, blacklist: DataFrame, list_col: str = "host") -> DataFrame:
+    """Rows whose sender host is listed (left-semi join; AQE broadcasts the list when its
+    measured bytes allow it)."""
     bl = blacklist.select(F.col(list_col).alias(host_col)).distinct()
-    return df.join(sized_broadcast(bl, max_broadcast_rows), host_col, "left_semi")
+    return df.join(bl, host_col, "left_semi")
 
 
 def deletion_variants(s: Column, max_edits: int = 2) -> Column:

@@ -2,9 +2,9 @@
 
 ``prepare_corpus``: documents ⋈ labels → clean (masked) → length filters → fingerprint →
 keep-first dedup inside each class → class balance → train/validation split.
-Shuffles: the dedup aggregation (partial, keyed by class and fingerprint) and two tiny
-count aggregations; the balance and split are threshold predicates after broadcast joins
-with tables of ≤ 65,536 rows per class.
+Shuffles: the labels join unless the labels are small enough to broadcast, the dedup aggregation
+(partial, keyed by class and fingerprint) and two tiny count aggregations; the balance and split are
+literal threshold predicates.
 """
 
 from __future__ import annotations
@@ -21,28 +21,18 @@ from ..operators.sample import class_balance, train_val_split
 from ..sources.tables import documents, labels
 
 
-BROADCAST_LABEL_ROWS = 5_000_000
-
-
 def clean_labelled(spark: SparkSession, base_dir: str, label_col: str = "toxic",
                    min_length: int = P.MIN_TEXT_LENGTH) -> DataFrame:
     """Labelled, cleaned, length-filtered rows with their fingerprint.
 
-    Join order depends on a bounded size check of the labels: a label table of at most
-    ``BROADCAST_LABEL_ROWS`` rows is broadcast and only labelled documents are cleaned (no
-    shuffle at all); a larger one is joined *after* cleaning, so the shuffle carries texts cut
-    to 2,000 characters instead of whole documents.
+    One equi-join on ``doc_id``, before cleaning, so only labelled documents are cleaned; AQE
+    broadcasts the labels when their measured bytes allow it.
     """
     lab = labels(spark, base_dir, "doc_id", label_col).select(
         "doc_id", F.col(label_col).cast("int").alias("label"))
     docs = documents(spark, base_dir, "doc_id", "text", "source")
-    if lab.limit(BROADCAST_LABEL_ROWS + 1).count() <= BROADCAST_LABEL_ROWS:
-        joined = docs.join(F.broadcast(lab), "doc_id")
-        cleaned = with_computed(joined.select("doc_id", "label", "source", "text"),
-                                email_text=clean_masked("text")).drop("text")
-    else:
-        pre = with_computed(docs, email_text=clean_masked("text")).drop("text")
-        cleaned = pre.join(lab, "doc_id").select("doc_id", "label", "source", "email_text")
+    cleaned = with_computed(docs.join(lab, "doc_id").select("doc_id", "label", "source", "text"),
+                            email_text=clean_masked("text")).drop("text")
     kept = cleaned.where((F.length("email_text") >= P.MASKED_MIN_BODY)
                          & (F.length("email_text") >= int(min_length)))
     return kept.withColumn("fp", fingerprint("email_text"))

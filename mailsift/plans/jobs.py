@@ -96,28 +96,32 @@ def prepare_training_data(spark: SparkSession, phishing_dir: str, output_csv: st
 
 
 def train(spark: SparkSession, csv_path: str | None, model_dir: str, val_ratio: float = 0.2,
-          alpha: float = 1.0) -> DataFrame:
+          alpha: float = 1.0, max_length: int = P.MAX_TOKENS) -> DataFrame:
     """Labelled CSV (or the built-in sample when no path is given) → seeded split → fit →
     validation metrics (returned) → model saved under ``model_dir``."""
     data = read_labelled_csv(spark, csv_path) if csv_path else builtin_sample(spark)
-    data = data.withColumn("doc_id", F.xxhash64("email_text", "label"))
+    # equal rows are rows of their own: number the copies, so that ids are unique
+    copies = data.groupBy("email_text", "label").agg(F.count(F.lit(1)).alias("n"))
+    data = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))) \
+        .select("email_text", "label", F.xxhash64("email_text", "label", "copy").alias("doc_id"))
     split = materialize(train_val_split(data, "doc_id", val_ratio))
-    table, priors = nb_fit(split.where(F.col("part") == "train"), "email_text", "label", alpha)
+    table, priors = nb_fit(split.where(F.col("part") == "train"), "email_text", "label", alpha,
+                           max_tokens=max_length)
     save_model(table, priors, model_dir)
     val = split.where(F.col("part") == "val")
-    pred = val.select("doc_id", "label").join(nb_predict(val, table, priors), "doc_id")
+    pred = val.select("doc_id", "label").join(nb_predict(val, table, priors, max_tokens=max_length), "doc_id")
     return V.classification_metrics(pred)
 
 
 def score(spark: SparkSession, model_dir: str, df: DataFrame, text_col: str = "email_text",
-          id_col: str = "doc_id") -> DataFrame:
+          id_col: str = "doc_id", max_length: int = P.MAX_TOKENS) -> DataFrame:
     """Batch scoring with a saved model: label name and winning probability per row."""
     table, priors = load_model(spark, model_dir)
-    return nb_predict(df.withColumnRenamed(text_col, "email_text"), table, priors, "email_text", id_col)
+    return nb_predict(df.withColumnRenamed(text_col, "email_text"), table, priors, "email_text", id_col, max_length)
 
 
 def explain(spark: SparkSession, model_dir: str, df: DataFrame, text_col: str = "email_text",
-            id_col: str = "doc_id", top_k: int = P.TOP_K) -> DataFrame:
+            id_col: str = "doc_id", top_k: int = P.TOP_K, max_length: int = P.MAX_TOKENS) -> DataFrame:
     """Top-k tokens per row pushing it toward the positive class."""
     table, _ = load_model(spark, model_dir)
-    return nb_explain(df.withColumnRenamed(text_col, "email_text"), table, "email_text", id_col, top_k)
+    return nb_explain(df.withColumnRenamed(text_col, "email_text"), table, "email_text", id_col, top_k, max_length)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import evaluate as V
-from ..operators.classify import nb_explain, nb_fit, nb_predict, sized_broadcast
+from ..operators.classify import nb_explain, nb_fit, nb_predict
 from ..operators.compute import with_computed
 from ..operators.explain import explain
 from ..operators.features import (doc_token_sets, explode_tokens, pad_and_mask, tokens, truncation_report,
@@ -34,7 +34,7 @@ def tokenize(spark, base):
 
 
 _VOCAB_SQL = f"""
-vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS token_id, doc_freq FROM
+vocab AS (SELECT token, row_number() OVER (ORDER BY token) AS token_id, doc_freq FROM
           (SELECT token, count(DISTINCT doc_id) AS doc_freq FROM
              (SELECT doc_id, unnest({_TOKS_SQL}) AS token FROM documents) x GROUP BY token) y)"""
 
@@ -51,24 +51,26 @@ def vocab_ids(spark, base):
 WITH {_VOCAB_SQL},
 t AS (SELECT doc_id, lang, unnest({_TOKS_SQL}[1:{P.MAX_TOKENS}]) AS token,
              unnest(range(len({_TOKS_SQL}[1:{P.MAX_TOKENS}]))) AS pos FROM documents),
-ids AS (SELECT t.doc_id, t.lang, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY t.pos) AS ids,
-               count(*) AS n_ids FROM t JOIN vocab v ON t.token = v.token GROUP BY t.doc_id, t.lang),
+found AS (SELECT t.doc_id, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY t.pos) AS ids,
+               count(*) AS n_ids FROM t JOIN vocab v ON t.token = v.token GROUP BY t.doc_id),
+ids AS (SELECT d.doc_id, d.lang, coalesce(f.ids, '') AS ids, coalesce(f.n_ids, 0) AS n_ids
+        FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id),
 mx AS (SELECT lang, max(n_ids) AS batch_len FROM ids GROUP BY lang)
 SELECT ids.doc_id, ids.n_ids, mx.batch_len AS padded_len, ids.n_ids AS mask_sum,
-       ids.ids || repeat(' 0', CAST(mx.batch_len - ids.n_ids AS INTEGER)) AS padded_ids
+       ltrim(ids.ids || repeat(' 0', CAST(mx.batch_len - ids.n_ids AS INTEGER))) AS padded_ids
 FROM ids JOIN mx ON ids.lang = mx.lang""")
 def truncate_pad_mask(spark, base):
-    """Ids of the first 256 tokens, padded with 0 to the longest row of the batch
-    (batch = language), with the 1/0 mask."""
+    """Ids of the first 256 tokens, padded with 0 (no token's id) to the longest row of the
+    batch (batch = language), with the 1/0 mask."""
     d = documents(spark, base, "doc_id", "lang", "text")
-    toks = explode_tokens(d, "text", keep=("lang",), max_tokens=P.MAX_TOKENS)
+    toks = explode_tokens(d, "text", keep=("lang",), max_tokens=P.MAX_TOKENS, outer=True)
     vocab = vocabulary(doc_token_sets(d, "text", keep=()), distinct_rows=True)
-    joined = toks.join(sized_broadcast(vocab.select("token", "token_id"), 5_000_000), "token")
-    per_doc = joined.groupBy("doc_id", "lang").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("_p"))
+    joined = toks.join(vocab.select("token", "token_id"), "token", "left")
+    known = F.when(F.col("token_id").isNotNull(), F.struct("pos", "token_id"))
+    per_doc = joined.groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(known)).alias("_p"))
     per_doc = per_doc.withColumn("ids", F.transform("_p", lambda x: x["token_id"])).drop("_p")
     batch = per_doc.groupBy("lang").agg(F.max(F.size("ids")).alias("batch_len"))
-    out = per_doc.join(sized_broadcast(batch, 100_000), "lang")
+    out = per_doc.join(batch, "lang")
     padded, mask = pad_and_mask("ids", F.col("batch_len"))
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"),
                       F.col("batch_len").cast("bigint").alias("padded_len"),
@@ -205,7 +207,7 @@ def run_comparison(spark, base):
 
 
 @register("best_run_by_recall", f"""
-SELECT arg_max(alpha, recall * 10 - alpha / 1000) AS best_alpha, max(recall) AS recall FROM ({_grid_sql()}) runs""")
+SELECT alpha AS best_alpha, recall FROM ({_grid_sql()}) runs ORDER BY recall DESC, alpha LIMIT 1""")
 def best_run_by_recall(spark, base):
     """The run with the highest validation recall (ties: the first of the grid)."""
     runs = _grid_runs(spark, base)

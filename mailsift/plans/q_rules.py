@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.text import clean_masked
 from ..operators import rules as R
-from ..operators.classify import nb_fit, nb_predict, sized_broadcast
+from ..operators.classify import nb_fit, nb_predict
 from ..operators.compute import with_computed, with_html_text
 from ..session import materialize
 from ..sources.tables import pages, read_table
@@ -100,8 +100,8 @@ def layered_routing(spark, base):
     la = materialize(R.lookalike_pairs(ph, tr).select("host").distinct().withColumn("_la", F.lit(True)))
     blk = materialize(bl.withColumn("_bl", F.lit(True)))
     rows = (ph.join(body, "page_id").join(p, "page_id")
-            .join(sized_broadcast(blk, 5_000_000), "host", "left")
-            .join(sized_broadcast(la, 5_000_000), "host", "left"))
+            .join(blk, "host", "left")
+            .join(la, "host", "left"))
     decision, layer = R.route(F.coalesce(F.col("_bl"), F.lit(False)), R.any_keyword("body"),
                               F.coalesce(F.col("_la"), F.lit(False)), F.col("p_1"))
     return rows.select("page_id", decision.alias("decision"), layer.alias("layer"))

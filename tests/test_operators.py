@@ -170,12 +170,18 @@ def test_first_n_refines_hot_edge_buckets(spark, cap):
     assert got == exp
 
 
-def test_flagship_same_with_shuffled_label_join(spark, monkeypatch):
-    """The large-label path (clean first, then a shuffle join) gives the same corpus."""
+def test_flagship_same_with_shuffled_label_join(spark):
+    """A shuffle join with the labels gives the same corpus as a broadcast."""
     from __spark_entry__ import queries
-    from mailsift.plans import corpus
-    monkeypatch.setattr(corpus, "BROADCAST_LABEL_ROWS", 0)
-    got = {(r.label, r.part, r.n) for r in queries()["prepare_corpus_counts"](spark, SF01).collect()}
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    try:
+        got = {(r.label, r.part, r.n) for r in queries()["prepare_corpus_counts"](spark, SF01).collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
     assert got == {(0, "train", 41), (0, "val", 9), (1, "train", 39), (1, "val", 11)}
 
 
@@ -185,3 +191,46 @@ def test_global_position_refines_hot_buckets(spark):
                                                         max_rank_rows=40).collect()}
     exp = {(r.doc_id, r.rn) for r in df.withColumn("rn", F.row_number().over(Window.orderBy("k", "doc_id"))).collect()}
     assert got == exp
+
+
+def test_first_n_and_positions_keep_null_groups_and_keys(spark):
+    rows = [(i, None if i % 2 else "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string").withColumn("k", hash_key("n", "doc_id"))
+    for cap, want in ((3, 6), (100, 20)):
+        got = first_n(df, "k", "doc_id", cap, ("lang",)).collect()
+        assert len(got) == want and sum(r.lang is None for r in got) == want // 2
+    pos = global_position(df, "k", "doc_id", "pos", ("lang",), prefix_len=1, max_rank_rows=4).collect()
+    assert sorted((r.lang or "", r.pos) for r in pos) == sorted((v, p) for v in ("", "en") for p in range(1, 11))
+    keyless = df.withColumn("k", F.when(F.col("doc_id") % 4 != 0, F.col("k")))
+    pos = global_position(keyless, "k", "doc_id", "pos").collect()
+    assert sorted(r.pos for r in pos) == list(range(1, 21))
+    assert {r.doc_id for r in pos if r.pos <= 5} == {0, 4, 8, 12, 16}
+
+
+def test_generated_rows_are_never_short(spark):
+    from mailsift.operators import synth
+    seeds = spark.range(30).withColumnRenamed("id", "seed")
+    got = synth.generate_distinct(seeds, "seed", 90).collect()
+    assert len(got) == 90 and len({r.fp for r in got}) == 90
+    with pytest.raises(RuntimeError, match="requested"):
+        synth.generate_distinct(spark.range(0).withColumnRenamed("id", "seed"), "seed", 1)
+
+
+def test_train_numbers_repeated_rows(spark, tmp_path):
+    from mailsift.operators.sample import train_val_split
+    from mailsift.plans import jobs
+    rows = [(f"text number {i % 4} word{i % 4}", i % 2) for i in range(100)]
+    path = str(tmp_path / "train")
+    spark.createDataFrame(rows, "email_text string, label int").coalesce(1).write.csv(path, header=True)
+    m = jobs.train(spark, path, str(tmp_path / "model"), val_ratio=0.2).collect()[0]
+    assert m.tn + m.fp + m.fn + m.tp == 20
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from mailsift import session
+    conf = SimpleNamespace(get=lambda *_: None)
+    sc = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(SimpleNamespace(sparkContext=sc))
