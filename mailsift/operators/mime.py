@@ -124,22 +124,23 @@ def choose_body(parts: Column | str, multipart: Column | str | None = None, prof
     """
     arr = F.col(parts) if isinstance(parts, str) else parts
     conv = F.transform(arr, lambda p: F.struct(
-        p["idx"].alias("idx"), p["content_type"].alias("ct"), p["disposition"].alias("disposition"),
+        p["idx"].alias("idx"), p["content_type"].alias("content_type"), p["disposition"].alias("disposition"),
         p["text"].alias("text"),
         F.when(p["content_type"] == "text/html", html_to_text(F.coalesce(p["text"], F.lit("")), profile))
         .otherwise(F.coalesce(p["text"], F.lit(""))).alias("conv")))
     if profile == COMPACT:
         cands = F.filter(conv, lambda p: _not_attachment(p) & _has_payload(p)
-                         & p["ct"].isin("text/plain", "text/html"))
-        taken = F.filter(cands, lambda p, i: (p["ct"] == "text/plain") | (i == 0))
+                         & p["content_type"].isin("text/plain", "text/html"))
+        taken = F.filter(cands, lambda p, i: (p["content_type"] == "text/plain") | (i == 0))
     elif profile == MASKED:
         def plain_ok(p):
-            return (_not_attachment(p) & _has_payload(p) & (p["ct"] == "text/plain")
-                    & (F.length(strip(p["conv"])) > P.SUBSTANTIAL_PART))
+            # a plain part is not converted, so the raw array answers this too
+            return (_not_attachment(p) & _has_payload(p) & (p["content_type"] == "text/plain")
+                    & (F.length(strip(F.coalesce(p["text"], F.lit("")))) > P.SUBSTANTIAL_PART))
 
         def html_ok(p, i):
-            return (_not_attachment(p) & _has_payload(p) & (p["ct"] == "text/html")
-                    & ~F.exists(F.slice(conv, 1, i), plain_ok)
+            return (_not_attachment(p) & _has_payload(p) & (p["content_type"] == "text/html")
+                    & ~F.exists(F.slice(arr, 1, i), plain_ok)
                     & (F.length(strip(p["conv"])) > P.SUBSTANTIAL_PART))
 
         taken = F.filter(conv, lambda p, i: plain_ok(p) | html_ok(p, i))

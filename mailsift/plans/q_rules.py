@@ -88,20 +88,21 @@ SELECT page_id,
             ELSE 'explanation' END AS layer
 FROM fl""")
 def layered_routing(spark, base):
-    """Blacklist / keyword / look-alike rules, then the naive Bayes classifier, and the
-    undecided rest to the explanation queue."""
+    """Blacklist / keyword / look-alike rules, then the naive Bayes classifier for what no rule
+    decides, and the undecided rest to the explanation queue."""
     ph, bl, tr = _lists(spark, base)
     body = with_computed(with_html_text(pages(spark, base, "page_id", "html"), "html", "_text"),
                          body=clean_masked("_text")).select("page_id", "body")
+    la = materialize(R.lookalike_pairs(ph, tr).select("host").distinct().withColumn("_la", F.lit(True)))
+    blk = materialize(bl.withColumn("_bl", F.lit(True)))
+    ruled = materialize(ph.join(body, "page_id").join(blk, "host", "left").join(la, "host", "left").select(
+        "page_id", "body", F.coalesce("_bl", F.lit(False)).alias("blocked"), R.any_keyword("body").alias("flagged"),
+        F.coalesce("_la", F.lit(False)).alias("lookalike")))
     corpus = prepare_corpus(spark, base)
     table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
-    p = nb_predict(body.withColumnRenamed("page_id", "doc_id"), table, priors, "body") \
+    open_ = ruled.where(~(F.col("blocked") | F.col("flagged") | F.col("lookalike")))
+    p = nb_predict(open_.select(F.col("page_id").alias("doc_id"), "body"), table, priors, "body") \
         .select(F.col("doc_id").alias("page_id"), "p_1")
-    la = materialize(R.lookalike_pairs(ph, tr).select("host").distinct().withColumn("_la", F.lit(True)))
-    blk = materialize(bl.withColumn("_bl", F.lit(True)))
-    rows = (ph.join(body, "page_id").join(p, "page_id")
-            .join(blk, "host", "left")
-            .join(la, "host", "left"))
-    decision, layer = R.route(F.coalesce(F.col("_bl"), F.lit(False)), R.any_keyword("body"),
-                              F.coalesce(F.col("_la"), F.lit(False)), F.col("p_1"))
+    rows = ruled.drop("body").join(p, "page_id", "left")
+    decision, layer = R.route(F.col("blocked"), F.col("flagged"), F.col("lookalike"), F.col("p_1"))
     return rows.select("page_id", decision.alias("decision"), layer.alias("layer"))
