@@ -127,9 +127,13 @@ def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: st
             .select("lean", F.col("rank").cast("bigint").alias("rank"), token_col, "df_pos", "df_neg", "score"))
 
 
-def funnel_outcome(body_len: Column, text_len: Column, min_body: int, min_text: int) -> Column:
-    """A2 per row before dedup: the first failing test wins."""
-    return (F.when(body_len < min_body, F.lit("short_body"))
+def funnel_outcome(body_len: Column, text_len: Column, min_body: int, min_text: int,
+                   parsed: Column | None = None) -> Column:
+    """A2 per row before dedup: the first failing test wins; ``parsed`` tells whether the message
+    could be read at all."""
+    readable = F.lit(True) if parsed is None else parsed
+    return (F.when(~readable, F.lit("parse_error"))
+            .when(body_len < min_body, F.lit("short_body"))
             .when(text_len < min_text, F.lit("short_text"))
             .otherwise(F.lit("passed")))
 

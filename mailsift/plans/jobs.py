@@ -21,6 +21,7 @@ from ..functions import patterns as P
 from ..functions.hashing import hash_key
 from ..functions.text import clean_compact, clean_masked, compose, fingerprint
 from ..operators import evaluate as V
+from ..operators.audit import funnel_outcome
 from ..operators import synth as G
 from ..operators.classify import load_model, nb_explain, nb_fit, nb_predict, save_model
 from ..operators.compute import with_computed
@@ -58,23 +59,28 @@ def label_eml_directory(spark: SparkSession, input_dir: str, output_csv: str, la
 
 def clean_positives(spark: SparkSession, phishing_dir: str, glob: str = "*.eml",
                     min_length: int = P.MIN_TEXT_LENGTH) -> DataFrame:
-    """Masked profile per message: subject ≤ 200 and body ≤ 2000 cleaned, body ≥ 30,
-    composed text ≥ ``min_length``, fingerprint; with the message path as id."""
+    """Masked profile per message: subject ≤ 200 and body ≤ 2000 cleaned, composed text,
+    fingerprint and A2 ``outcome`` (body ≥ 30, text ≥ ``min_length``); with the message path as id."""
     msgs = with_computed(_parsed(spark, phishing_dir, glob),
                          body=choose_body("parts", "multipart", "masked"))
     cleaned = with_computed(msgs, subject_c=clean_masked("subject", P.MASKED_SUBJECT_MAX_CHARS),
                             body_c=clean_masked("body", P.MASKED_BODY_MAX_CHARS))
-    text = cleaned.where((F.col("parse_status") == "ok") & (F.length("body_c") >= P.MASKED_MIN_BODY)) \
-        .select("path", compose("subject_c", "body_c").alias("email_text"))
-    return text.where(F.length("email_text") >= int(min_length)).withColumn("fp", fingerprint("email_text"))
+    text = cleaned.withColumn("email_text", compose("subject_c", "body_c"))
+    outcome = funnel_outcome(F.length("body_c"), F.length("email_text"), P.MASKED_MIN_BODY, int(min_length),
+                             F.col("parse_status") == "ok")
+    return text.select("path", "email_text", outcome.alias("outcome"), fingerprint("email_text").alias("fp"))
 
 
 def prepare_training_data(spark: SparkSession, phishing_dir: str, output_csv: str, max_samples: int = 2000,
                           balance_ratio: float = 1.0, glob: str = "*.eml") -> dict:
     """Positives: cleaned, deduplicated (first in the seeded processing order wins), capped;
-    negatives: ``int(positives × balance_ratio)`` distinct synthetic mails; shuffled CSV."""
-    pos = clean_positives(spark, phishing_dir, glob).withColumn("_order", hash_key("process", "path"))
-    unique = dedup_keep_first(pos, "fp", "_order")
+    negatives: ``int(positives × balance_ratio)`` distinct synthetic mails; shuffled CSV. Returns the
+    counts of the file and the funnel of the messages (A2)."""
+    tagged = materialize(clean_positives(spark, phishing_dir, glob))
+    pos = tagged.where(F.col("outcome") == "passed").drop("outcome").withColumn("_order", hash_key("process", "path"))
+    unique = materialize(dedup_keep_first(pos, "fp", "_order"))
+    funnel = {r["outcome"]: r["count"] for r in tagged.groupBy("outcome").count().collect()}
+    collected = unique.count()
     capped = materialize(cap_rows(unique.withColumn("doc_id", F.xxhash64("path")), positive_cap(max_samples, balance_ratio),
                                   "doc_id").select("doc_id", "email_text", F.lit(1).alias("label")))
     n_pos = capped.count()
@@ -92,7 +98,9 @@ def prepare_training_data(spark: SparkSession, phishing_dir: str, output_csv: st
     counts = {r["label"]: r["n"] for r in written.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     return {"total": total, "phishing": counts.get(1, 0), "legitimate": counts.get(0, 0),
-            "est_minutes": total // 200}
+            "est_minutes": total // 200, "found": sum(funnel.values()), "parse_error": funnel.get("parse_error", 0),
+            "too_short": funnel.get("short_body", 0) + funnel.get("short_text", 0),
+            "duplicate": funnel.get("passed", 0) - collected, "collected": collected}
 
 
 def train(spark: SparkSession, csv_path: str | None, model_dir: str, val_ratio: float = 0.2,

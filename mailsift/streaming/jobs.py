@@ -68,9 +68,13 @@ def score_batches(stream: DataFrame, table: DataFrame, priors: DataFrame, name:
     def write_batch(batch: DataFrame, epoch: int) -> None:
         # one folder per micro-batch, overwritten on replay: a batch re-run after a failure
         # replaces its own output instead of appending it twice
-        scored = nb_predict(batch.select(id_col, "email_text"), table, priors, "email_text", id_col)
-        out = batch.join(scored.select(id_col, "p_1", "pred"), id_col)
-        out.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        batch = batch.persist()     # cleaned once, read by the scoring and by the join
+        try:
+            scored = nb_predict(batch.select(id_col, "email_text"), table, priors, "email_text", id_col)
+            out = batch.join(scored.select(id_col, "p_1", "pred"), id_col)
+            out.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        finally:
+            batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

@@ -62,3 +62,16 @@ def test_label_job_agrees_with_ingest_and_subject_flag(spark, eml_dir, tmp_path)
     no_subj = str(tmp_path / "b.csv")
     label_eml_directory(spark, eml_dir, no_subj, label=0, include_subject=False)
     assert read_labelled_csv(spark, no_subj).where(F.col("email_text").startswith("Subject: ")).count() == 0
+
+
+def test_preparation_counts_every_message_and_keeps_the_ratio(spark, tmp_path):
+    from mailsift.plans import jobs
+    folder = tmp_path / "mail"
+    folder.mkdir()
+    for i in range(12):
+        body = f"This is a body of a message that is long enough, number {i % 10}, please read it. " * 2
+        (folder / f"{i}.eml").write_bytes(f"Subject: s\r\n\r\n{body}\r\n".encode())
+    (folder / "short.eml").write_bytes(b"Subject: s\r\n\r\nhi\r\n")
+    stats = jobs.prepare_training_data(spark, str(folder), str(tmp_path / "out.csv"), max_samples=200, balance_ratio=3.0)
+    assert (stats["found"], stats["parse_error"], stats["too_short"], stats["duplicate"], stats["collected"]) == (13, 0, 1, 2, 10)
+    assert stats["legitimate"] == int(stats["phishing"] * 3.0)
