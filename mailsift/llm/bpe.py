@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import map_batches, texts, written_by
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 BUCKETS = 1024
 #: Words joined with their ids at once.
 _SLICE_WORDS = 500_000
