@@ -97,7 +97,7 @@ def refusal_rate(df: DataFrame, text_col: str, generator_col: str = "generator")
 
 
 def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: str = "label",
-                       token_col: str = "token", min_docs: int = 5, top_k: int = 10,
+                       token_col: str = "token", min_docs: int = 1, top_k: int = 10,
                        docs: DataFrame | None = None, distinct_rows: bool = False) -> DataFrame:
     """Tokens whose document frequency leans to one class (smoothed ratio), top-k per class.
 

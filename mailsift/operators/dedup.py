@@ -12,13 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fingerprint
-
-
-def add_fingerprint(df: DataFrame, text_col: str, out: str = "fp") -> DataFrame:
-    """T12 as a column."""
-    return df.withColumn(out, fingerprint(text_col))
-
 
 def dedup_keep_first(df: DataFrame, fp_col: str = "fp", order_col: str = "doc_id",
                      scope: tuple[str, ...] = ()) -> DataFrame:

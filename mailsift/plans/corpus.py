@@ -48,9 +48,3 @@ def prepare_corpus(spark: SparkSession, base_dir: str, label_col: str = "toxic",
     balanced = class_balance(unique, "doc_id", balance_ratio, "label")
     corpus = train_val_split(balanced, "doc_id", val_ratio)
     return materialize(corpus) if materialized else corpus
-
-
-def prepare_corpus_counts(spark: SparkSession, base_dir: str) -> DataFrame:
-    """Flagship: rows per (label, part) of the balanced, deduplicated, split corpus."""
-    corpus = prepare_corpus(spark, base_dir)
-    return corpus.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -230,7 +230,7 @@ n AS (SELECT max(CASE WHEN label = 1 THEN c END) AS n_pos, max(CASE WHEN label =
 dfreq AS (SELECT token, count(*) FILTER (WHERE label = 1) AS df_pos, count(*) FILTER (WHERE label = 0) AS df_neg
           FROM tok GROUP BY token),
 sc AS (SELECT token, df_pos, df_neg, (df_pos + 1) / (n_pos + 2) AS pos_rate, (df_neg + 1) / (n_neg + 2) AS neg_rate
-       FROM dfreq, n WHERE df_pos + df_neg >= 5),
+       FROM dfreq, n WHERE df_pos + df_neg >= 1),
 sc2 AS (SELECT *, CASE WHEN pos_rate >= neg_rate THEN 1 ELSE 0 END AS lean,
                round(greatest(pos_rate / neg_rate, neg_rate / pos_rate), 6) AS score FROM sc)
 SELECT lean, rank, token, df_pos, df_neg, score FROM

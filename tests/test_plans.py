@@ -20,7 +20,7 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    from __spark_entry__ import queries
+    from mailsift.plans.catalogue import queries
     return {n: plan_of(fn(spark, SF001)) for n, fn in queries().items() if n not in SLOW}
 
 
