@@ -50,17 +50,14 @@ def vocabulary(token_rows: DataFrame, token_col: str = "token", min_df: int = 1,
     from :func:`doc_token_sets`.
 
     Frequencies come from a partial aggregation; ids are positions in token order computed
-    with the bucketed global position (no single-partition window).
+    by range partitions (no single-partition window).
     """
     from ..operators.ranking import global_position
-    from ..session import materialize
     pairs = token_rows.select(doc_col, token_col)
     df_ = ((pairs if distinct_rows else pairs.distinct())
            .groupBy(token_col).agg(F.count(F.lit(1)).alias("doc_freq"))
            .where(F.col("doc_freq") >= min_df))
-    # position by token text: buckets are prefixes of the hex-encoded token, as long as it takes
-    keyed = materialize(df_.withColumn("_k", F.hex(F.col(token_col))), "vocabulary")
-    pos = global_position(keyed, "_k", token_col, "token_id")
+    pos = global_position(df_, token_col, token_col, "token_id")
     return pos.select(token_col, "token_id", "doc_freq")
 
 

@@ -136,56 +136,33 @@ def first_n(df: DataFrame, key: str, tie: str, cap: CapSpec,
 
 
 def global_position(df: DataFrame, key: str, tie: str, out: str = "pos",
-                    partition_cols: tuple[str, ...] = (), prefix_len: int = 4,
-                    max_rank_rows: int = 1_000_000) -> DataFrame:
+                    partition_cols: tuple[str, ...] = ()) -> DataFrame:
     """1-based position of every row in ``(key, tie)`` order, per partition, without a
-    single-partition window.
+    single-partition window; null keys come first.
 
-    A histogram of rows per key bucket (first ``prefix_len`` hex digits; ≤ 16^prefix_len rows
-    per partition value) comes to the driver; a bucket with more than ``max_rank_rows`` rows is
-    split by a finer histogram of that bucket only. Rows are ranked inside their (sub-)bucket —
-    so no window partition holds more than ``max_rank_rows`` rows — and offset by the rows of
-    all earlier buckets, from a broadcast table whose size is bounded by the histogram.
+    Rows are range-partitioned by (partition, key, tie) and written with the number of their range,
+    ranked inside their range, and offset by the rows of all earlier ranges. ``(key, tie)`` is
+    unique, so no key makes a range large, and the driver sees one count per range and partition.
     """
     from pyspark.sql import types as T
+
+    from ..session import materialize
     pcols = list(partition_cols)
-    spark = df.sparkSession
-    width = prefix_len
-    # rows without a key come first, in a bucket of their own
-    bexpr = F.coalesce(F.substring(F.col(key), 1, width), F.lit(""))
-    counts: dict[tuple, int] = {}
-    for r in df.groupBy(*pcols, bexpr.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[(tuple(r[c] for c in pcols), r["_b"])] = r["n"]
-    while True:
-        hot = [k for k, n in counts.items() if n > max_rank_rows and len(k[1]) == width]
-        if not hot or width >= 32:
-            break
-        cond = None
-        for p, bucket in hot:
-            m = bexpr == F.lit(bucket)
-            for col, v in zip(pcols, p):
-                m = m & F.col(col).eqNullSafe(F.lit(v))
-            cond = m if cond is None else cond | m
-        width += 4
-        finer = F.substring(F.col(key), 1, width)
-        sub = df.where(cond).groupBy(*pcols, finer.alias("_b")).agg(F.count(F.lit(1)).alias("n")).collect()
-        for k in hot:
-            del counts[k]
-        for r in sub:
-            counts[(tuple(r[c] for c in pcols), r["_b"])] = r["n"]
-        bexpr = F.when(cond, finer).otherwise(bexpr)
+    order = [F.col(c).asc_nulls_first() for c in [*pcols, key, tie]]
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_gp_range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy(*pcols, "_gp_range").agg(F.count(F.lit(1)).alias("n")).collect()
     offsets, running = [], {}
-    for (p, bucket), n in sorted(counts.items(), key=lambda kv: ([(v is not None, v) for v in kv[0][0]], kv[0][1])):
-        offsets.append((*p, bucket, running.get(p, 0)))
-        running[p] = running.get(p, 0) + n
+    for r in sorted(counts, key=lambda r: r["_gp_range"]):
+        p = tuple(r[c] for c in pcols)
+        offsets.append((*p, r["_gp_range"], running.get(p, 0)))
+        running[p] = running.get(p, 0) + r["n"]
     schema = T.StructType([T.StructField(f"_gp_{k}", df.schema[c].dataType) for k, c in enumerate(pcols)]
-                          + [T.StructField("_gp_at", T.StringType()), T.StructField("_gp_before", T.LongType())])
-    before = spark.createDataFrame(offsets, schema)
-    rows = df.withColumn("_gp_bucket", bexpr)
-    wb = Window.partitionBy(*pcols, "_gp_bucket").orderBy(F.col(key), F.col(tie))
-    at = F.col("_gp_bucket") == F.col("_gp_at")
+                          + [T.StructField("_gp_at", T.IntegerType()), T.StructField("_gp_before", T.LongType())])
+    before = df.sparkSession.createDataFrame(offsets, schema)
+    inside = Window.partitionBy(*pcols, "_gp_range").orderBy(F.col(key), F.col(tie))
+    at = F.col("_gp_range") == F.col("_gp_at")
     for k, c in enumerate(pcols):
         at = at & F.col(c).eqNullSafe(F.col(f"_gp_{k}"))
-    return (rows.join(F.broadcast(before), at)
-            .withColumn(out, F.col("_gp_before") + F.row_number().over(wb))
-            .drop("_gp_bucket", "_gp_at", "_gp_before", *[f"_gp_{k}" for k in range(len(pcols))]))
+    return (ranges.join(F.broadcast(before), at)
+            .withColumn(out, F.col("_gp_before") + F.row_number().over(inside))
+            .drop("_gp_range", "_gp_at", "_gp_before", *[f"_gp_{k}" for k in range(len(pcols))]))
