@@ -15,10 +15,11 @@ from .q_model import _nb_sql
 from .registry import register
 
 
-def _staged(spark, base, n_files: int = 8):
+def _staged(spark, base):
+    """The documents as arriving files; a micro-batch takes files for half the task slots."""
     d = documents(spark, base, "doc_id", "text")
-    path = W.stage_files(d, scratch_path(spark, "stream-src"), n_files)
-    return W.read_stream(spark, path, d.schema, max_files_per_trigger=4)
+    path = W.stage_files(d, scratch_path(spark, "stream-src"))
+    return W.read_stream(spark, path, d.schema, max(1, spark.sparkContext.defaultParallelism // 2))
 
 
 @register("stream_score", _nb_sql(1.0) + f""",
@@ -44,13 +45,12 @@ def stream_score(spark, base):
     return out.select("doc_id", "email_text", "fp", "flagged", F.round("p_1", 6).alias("p_1"), "pred")
 
 
-@register("stream_dedup", f"SELECT DISTINCT {S.fingerprint('text')} AS fp FROM documents")
+@register("stream_dedup", f"SELECT min(doc_id) AS doc_id, {S.fingerprint('text')} AS fp FROM documents GROUP BY 2")
 def stream_dedup(spark, base):
-    """Fingerprints surviving cross-batch deduplication (= batch D1's key set)."""
+    """The rows that cross-batch deduplication keeps (= batch D1's)."""
     from ..functions.text import fingerprint
     s = _staged(spark, base).select("doc_id", fingerprint("text").alias("fp"))
-    sink = W.run_to_parquet(W.dedup(s), "stream-dedup")
-    return spark.read.parquet(sink).select("fp")
+    return W.survivors(spark, W.dedup_batches(s, "stream-dedup")).select("doc_id", "fp")
 
 
 @register("stream_funnel", f"""

@@ -1,9 +1,9 @@
 """Structured Streaming jobs (W1–W3): continuous clean + score, continuous dedup and a
 running ingest funnel over a directory of arriving Parquet files.
 
-All three are ordinary streaming plans: stateless projections for W1, the built-in
-deduplication state for W2 (or its watermark-bounded variant when the rows carry an event
-time), and a streaming aggregation in ``complete`` mode for W3. Checkpoints and sinks live
+All three are ordinary streaming plans: stateless projections for W1, for W2 a keyed batch step per
+micro-batch that keeps D1's survivor (or the built-in deduplication state, bounded by a watermark
+when the rows carry an event time), and a streaming aggregation in ``complete`` mode for W3. Checkpoints and sinks live
 under the shared checkpoint folder, so a restarted query resumes where it stopped.
 """
 
@@ -11,18 +11,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.text import clean_masked, fingerprint
 from ..operators.audit import funnel_outcome
 from ..operators.compute import with_computed
+from ..operators.dedup import dedup_keep_first
 from ..operators.rules import any_keyword
 from ..session import scratch_path
 
 
-def stage_files(df: DataFrame, path: str, n_files: int) -> str:
-    """Write ``df`` as ``n_files`` Parquet files — the arriving files of a stream test."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
+def stage_files(df: DataFrame, path: str, n_files: int | None = None) -> str:
+    """Write ``df`` as Parquet files, the arriving files of a stream: one per partition of its plan, so
+    that their number grows with the data, or ``n_files``."""
+    (df.repartition(n_files) if n_files else df).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -82,6 +85,36 @@ def score_batches(stream: DataFrame, table: DataFrame, priors: DataFrame, name:
     return sink
 
 
+def dedup_batches(stream: DataFrame, name: str, fp_col: str = "fp", order_col: str = "doc_id") -> str:
+    """W2 with D1's survivor: per fingerprint the row with the smallest ``order_col``, whatever the order
+    of arrival. A micro-batch is reduced to one row per fingerprint and writes only those that are new or
+    come before the row kept so far, so nothing is held in the state store. Returns the sink folder;
+    ``survivors`` reads it."""
+    spark = stream.sparkSession
+    sink, ckpt = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ckpt")
+    kept = T.StructType(list(stream.schema.fields))
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        first = dedup_keep_first(batch, fp_col, order_col)
+        if epoch > 0:       # replayed batches overwrite their own folder and look at earlier ones only
+            earlier = spark.read.schema(T.StructType([*kept.fields, T.StructField("batch", T.LongType())])) \
+                .parquet(sink).where(F.col("batch") < epoch)
+            so_far = earlier.groupBy(F.col(fp_col).alias("_fp")).agg(F.min(order_col).alias("_kept"))
+            first = first.join(so_far, (F.col(fp_col).eqNullSafe(F.col("_fp")))
+                               & (F.col("_kept") <= F.col(order_col)), "left_anti")
+        first.write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+
+    q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sink
+
+
+def survivors(spark: SparkSession, sink: str, fp_col: str = "fp", order_col: str = "doc_id") -> DataFrame:
+    """The rows that ``dedup_batches`` has kept so far, one per fingerprint."""
+    return dedup_keep_first(spark.read.parquet(sink).drop("batch"), fp_col, order_col)
+
+
 def dedup(stream: DataFrame, fp_col: str = "fp", event_time: str | None = None,
           delay: str = "1 day") -> DataFrame:
     """D1 across micro-batches. Without an event time the state keeps every fingerprint
