@@ -64,9 +64,9 @@ def doc_term_counts(df: DataFrame, text_col: str, id_col: str = "doc_id", label_
     return toks.groupBy(*keys).agg(F.count("token").alias("tf"), F.min("pos").alias("first_pos"))
 
 
-def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "label",
-           alpha: float = 1.0, id_col: str = "doc_id", max_tokens: int = P.MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(token_table, priors)``.
+def nb_grid(train: DataFrame, alphas, text_col: str = "email_text", label_col: str = "label",
+            id_col: str = "doc_id", max_tokens: int = P.MAX_TOKENS) -> list[tuple[DataFrame, DataFrame]]:
+    """C1 for several smoothings over one count of the tokens: ``(token_table, priors)`` per alpha.
 
     token_table: ``token, lp_0, lp_1`` with add-``alpha`` smoothing over the training
     vocabulary; priors: ``label, log_prior``. Token counts per class come from a partial
@@ -79,10 +79,10 @@ def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "lab
         F.sum(F.when(F.col(label_col) == 0, F.col("tf")).otherwise(0)).alias("c0"),
         F.sum(F.when(F.col(label_col) == 1, F.col("tf")).otherwise(0)).alias("c1")))
     t0, t1, v = per_class.agg(F.sum("c0"), F.sum("c1"), F.count(F.lit(1))).collect()[0]
-    a = F.lit(float(alpha))
     t0, t1, v = F.lit(float(t0 or 0)), F.lit(float(t1 or 0)), F.lit(float(v or 0))
-    table = per_class.select("token", F.log((F.col("c0") + a) / (t0 + a * v)).alias("lp_0"),
-                             F.log((F.col("c1") + a) / (t1 + a * v)).alias("lp_1"))
+    tables = [per_class.select("token", F.log((F.col("c0") + a) / (t0 + a * v)).alias("lp_0"),
+                               F.log((F.col("c1") + a) / (t1 + a * v)).alias("lp_1"))
+              for a in (F.lit(float(x)) for x in alphas)]
     counts = {r[0]: r[1] for r in train.groupBy(label_col).agg(F.count(F.lit(1))).collect()}
     if len(counts) < 2:     # an absent class gets a smoothed prior instead of none
         counts = {k: counts.get(k, 0) + 1 for k in (0, 1)}
@@ -90,7 +90,13 @@ def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "lab
     spark = train.sparkSession
     priors = spark.createDataFrame([(int(k), float(n)) for k, n in sorted(counts.items())], "label int, n double") \
         .select("label", F.log(F.col("n") / F.lit(n_all)).alias("log_prior"))
-    return table, priors
+    return [(table, priors) for table in tables]
+
+
+def nb_fit(train: DataFrame, text_col: str = "email_text", label_col: str = "label",
+           alpha: float = 1.0, id_col: str = "doc_id", max_tokens: int = P.MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """``(token_table, priors)`` for one smoothing."""
+    return nb_grid(train, [alpha], text_col, label_col, id_col, max_tokens)[0]
 
 
 def nb_log_scores(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col: str = "email_text",

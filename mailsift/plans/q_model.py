@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import evaluate as V
-from ..operators.classify import nb_explain, nb_fit, nb_predict
+from ..operators.classify import nb_explain, nb_fit, nb_grid, nb_predict
 from ..operators.compute import with_computed
 from ..operators.explain import explain
 from ..operators.features import (doc_token_sets, explode_tokens, pad_and_mask, tokens, truncation_report,
@@ -183,13 +183,11 @@ def _grid_sql() -> str:
 
 
 def _grid_runs(spark, base):
-    val, table, priors = None, None, None
-    corpus = prepare_corpus(spark, base)
+    corpus = prepare_corpus(spark, base, materialized=True)
     train = corpus.where(F.col("part") == "train")
     val = corpus.where(F.col("part") == "val")
     runs = None
-    for a in _GRID:
-        table, priors = nb_fit(train, "email_text", "label", a)
+    for a, (table, priors) in zip(_GRID, nb_grid(train, _GRID)):
         s = val.select("doc_id", "label").join(nb_predict(val, table, priors), "doc_id")
         m = V.classification_metrics(s).select(F.lit(float(a)).alias("alpha"), "recall", "accuracy")
         runs = m if runs is None else runs.unionByName(m)
