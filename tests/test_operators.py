@@ -88,7 +88,7 @@ def test_first_n_equals_global_sort(spark, cap):
 
 def test_global_position_equals_row_number(spark):
     df = spark.range(2000).withColumnRenamed("id", "doc_id").withColumn("k", hash_key("shuffle", "doc_id"))
-    got = {(r.doc_id, r.pos) for r in global_position(df, "k", "doc_id", "pos", prefix_len=2).collect()}
+    got = {(r.doc_id, r.pos) for r in global_position(df, "k", "doc_id", "pos").collect()}
     exp = {(r.doc_id, r.rn) for r in df.withColumn("rn", F.row_number().over(Window.orderBy("k", "doc_id"))).collect()}
     assert got == exp
 
@@ -109,8 +109,11 @@ def test_dedup_idempotent_and_counts(spark):
 
 def test_stream_dedup_equals_batch(spark):
     from __spark_entry__ import queries
-    s = {r.fp for r in queries()["stream_dedup"](spark, SF01).collect()}
-    b = {r.fp for r in queries()["dedup_keep_first"](spark, SF01).collect()}
+    from mailsift.functions.text import fingerprint
+    from mailsift.sources.tables import documents
+    s = {(r.doc_id, r.fp) for r in queries()["stream_dedup"](spark, SF01).collect()}
+    d = documents(spark, SF01, "doc_id", "text").select("doc_id", fingerprint("text").alias("fp"))
+    b = {(r.doc_id, r.fp) for r in dedup_keep_first(d, "fp", "doc_id").collect()}
     assert s == b and len(s) == 927
 
 
@@ -185,10 +188,10 @@ def test_flagship_same_with_shuffled_label_join(spark):
     assert got == {(0, "train", 41), (0, "val", 9), (1, "train", 39), (1, "val", 11)}
 
 
-def test_global_position_refines_hot_buckets(spark):
-    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("k", hash_key("g", "doc_id"))
-    got = {(r.doc_id, r.pos) for r in global_position(df, "k", "doc_id", "pos", prefix_len=1,
-                                                        max_rank_rows=40).collect()}
+def test_global_position_spreads_a_hot_key(spark):
+    df = spark.range(3000).withColumnRenamed("id", "doc_id").withColumn("k", F.when(F.col("doc_id") % 3 == 0, "same")
+                                                                         .otherwise(hash_key("g", "doc_id")))
+    got = {(r.doc_id, r.pos) for r in global_position(df, "k", "doc_id", "pos").collect()}
     exp = {(r.doc_id, r.rn) for r in df.withColumn("rn", F.row_number().over(Window.orderBy("k", "doc_id"))).collect()}
     assert got == exp
 
@@ -199,7 +202,7 @@ def test_first_n_and_positions_keep_null_groups_and_keys(spark):
     for cap, want in ((3, 6), (100, 20)):
         got = first_n(df, "k", "doc_id", cap, ("lang",)).collect()
         assert len(got) == want and sum(r.lang is None for r in got) == want // 2
-    pos = global_position(df, "k", "doc_id", "pos", ("lang",), prefix_len=1, max_rank_rows=4).collect()
+    pos = global_position(df, "k", "doc_id", "pos", ("lang",)).collect()
     assert sorted((r.lang or "", r.pos) for r in pos) == sorted((v, p) for v in ("", "en") for p in range(1, 11))
     keyless = df.withColumn("k", F.when(F.col("doc_id") % 4 != 0, F.col("k")))
     pos = global_position(keyless, "k", "doc_id", "pos").collect()
