@@ -9,19 +9,25 @@ step j it writes the word it stands on and moves on if bit j of that word's hash
 sequences that differ by few edits soon walk in step again, so most coordinates agree. Bit sampling
 takes ``SAMPLES`` coordinates of the first ``STEPS``; ``repetitions`` independent walks make the
 chance that some anchor of a leaked item collides as high as wanted (``repetitions_for`` measures
-it). Windows start at every word of a document, and anchors at every word of an item, so an edit in
-one place leaves the other anchors untouched.
+it, with the item inside other text). Windows start at every word of a document, and anchors at
+every word of an item, so an edit in one place leaves the other anchors untouched.
+
+Whatever the walks miss, equal runs of words find: an item that may have ``e`` edits is cut into
+``e + 1`` pieces, and an edit changes at most one of them, so some piece stands in the document as
+it is. Every run of a piece's length in a document is looked up, so no leak is left to chance.
 
 All windows of a batch are embedded together: the walk from position p at step j is the walk from p
 or p + 1 at step j + 1, so a walk of ``STEPS`` steps for all positions is ``STEPS`` passes over the
 word array from the last step to the first. A collision names an item and an alignment; the
-item-sized window there is verified by exact edit distance (free ends in the document).
+item-sized window there, joined with those it overlaps, is verified by exact edit distance (free
+ends in the document).
 
 Documents are only read: no shuffle. Items are sent to the tasks in blocks of at most
 ``BLOCK_BYTES`` of text; a larger benchmark takes more passes over the documents.
 
-Null or empty texts leak nothing. Items of fewer than ``MIN_ITEM_WORDS`` words, empty or null name
-no leak. Repeated items each give a row. Repeated documents are judged one by one.
+Null or empty texts leak nothing. Items of fewer than ``MIN_ITEM_WORDS`` words leak where their words
+stand unchanged; items without a word, empty or null name no leak. Repeated items each give a row.
+Repeated documents are judged one by one.
 """
 
 from __future__ import annotations
@@ -34,13 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_batches, mix, seeds
+from .common import Words, map_batches, mix, seeds, window_hashes
 
 STEPS = 20
 SAMPLES = 5
 REPETITIONS = 4
 MAX_EDITS = 0.2
+#: Shorter items have to stand in a document unchanged.
 MIN_ITEM_WORDS = 8
+#: Words of a piece that are compared, at most (the verification reads all).
+PIECE_WORDS = 8
 BLOCK_BYTES = 32 << 20
 #: Words at the end of an item where no anchor starts.
 TAIL = 5
@@ -85,79 +94,121 @@ def walk_keys(words: np.ndarray, repetition: int) -> np.ndarray:
     return key[:n]
 
 
+def allowed_edits(n: int, max_edits: float) -> int:
+    return int(max_edits * n) if n >= MIN_ITEM_WORDS else 0
+
+
+def run_keys(words: np.ndarray, width: int) -> np.ndarray:
+    """The runs of ``width`` words, hashed to 32 bits."""
+    return (window_hashes(words, width) >> np.uint64(32)).astype(np.uint32)
+
+
 class Index:
-    """The anchors of a block of items, by repetition: sorted keys with item and offset, and a
-    table of one byte per key prefix that answers most look-ups."""
+    """The anchors of a block of items, by repetition, and their pieces, by width: sorted keys with
+    item and offset, and a table of one byte per key prefix that answers most look-ups."""
 
-    def __init__(self, items: list[Item], repetitions: int):
+    def __init__(self, items: list[Item], repetitions: int, max_edits: float):
         self.items = items
+        self.lengths = np.array([len(i.words) for i in items], np.int64)
+        self.allowed = np.array([allowed_edits(n, max_edits) for n in self.lengths.tolist()], np.int64)
+        self.known = [np.unique(i.words) for i in items]
         self.tables = []
+        anchors = np.maximum(self.lengths - TAIL, 0)
         for r in range(repetitions):
-            anchors = [len(i.words) - TAIL for i in items]
-            keys = np.concatenate([walk_keys(i.words, r)[:n] for i, n in zip(items, anchors)])
-            item = np.repeat(np.arange(len(items)), anchors)
+            keys = [walk_keys(i.words, r)[:n] for i, n in zip(items, anchors.tolist())]
             offset = np.concatenate([np.arange(n) for n in anchors])
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            seen = np.zeros(1 << _TABLE_BITS, bool)
-            seen[keys >> np.uint32(32 - _TABLE_BITS)] = True
-            self.tables.append((keys, item[order], offset[order], seen))
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, position of its first word) of all collisions in ``words``."""
-        found_item, found_start = [], []
-        for r, (keys, item, offset, seen) in enumerate(self.tables):
+            self._add(lambda words, r=r: walk_keys(words, r), STEPS, np.concatenate(keys),
+                      np.repeat(np.arange(len(items)), anchors), offset)
+        widths = np.minimum(self.lengths // (self.allowed + 1), PIECE_WORDS)
+        for width in np.unique(widths).tolist():
+            keys, item, offset = [], [], []
+            for k in np.flatnonzero(widths == width).tolist():
+                n, parts = int(self.lengths[k]), int(self.allowed[k]) + 1
+                at = np.arange(parts) * n // parts
+                keys.append(run_keys(items[k].words, width)[at])
+                item.append(np.full(parts, k)), offset.append(at)
+            self._add(lambda words, width=width: run_keys(words, width), width - 1,
+                      *map(np.concatenate, (keys, item, offset)))
+
+    def _add(self, keys_of, beyond: int, keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+        """A table; ``keys_of`` gives a document's keys and reads ``beyond`` more words."""
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        seen = np.zeros(1 << _TABLE_BITS, bool)
+        seen[keys >> np.uint32(32 - _TABLE_BITS)] = True
+        self.tables.append((keys_of, beyond, keys, item[order], offset[order], seen))
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(Item, position, offset in the item) of all collisions in ``words``."""
+        found = [(np.empty(0, np.int64),) * 3]
+        for keys_of, beyond, keys, item, offset, seen in self.tables:
             for at in range(0, len(words), CHUNK):       # a chunk stays in the cache
-                part = walk_keys(words[at:at + CHUNK + STEPS], r)[:CHUNK]
+                part = keys_of(words[at:at + CHUNK + beyond])[:CHUNK]
                 near = np.flatnonzero(seen[part >> np.uint32(32 - _TABLE_BITS)])
                 first = np.searchsorted(keys, part[near], "left")
                 many = np.searchsorted(keys, part[near], "right") - first
                 near, first, many = near[many > 0], first[many > 0], many[many > 0]
                 each = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                found_item.append(item[each])
-                found_start.append(at + np.repeat(near, many) - offset[each])
-        if not found_item:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(found_item), np.concatenate(found_start)]), axis=1)
-        return pairs[0], pairs[1]
+                found.append((item[each], at + np.repeat(near, many), offset[each]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def edit_distance(item: np.ndarray, part: np.ndarray) -> int:
-    """Least edits between the item and any run of words inside ``part``."""
+def _edits(item: np.ndarray, part: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The last row of the edit distances, from the first: edits of the item up to each word of ``part``."""
     steps = np.arange(len(part) + 1)
-    row = np.zeros(len(part) + 1, np.int64)              # a run may begin anywhere
-    for k, w in enumerate(item.tolist()):
+    for w in item.tolist():
         best = np.minimum(row[1:] + 1, row[:-1] + (part != w))
-        row = np.minimum.accumulate(np.concatenate(([k + 1], best)) - steps) + steps
-    return int(row.min())
+        row = np.minimum.accumulate(np.concatenate(([row[0] + 1], best)) - steps) + steps
+    return row
+
+
+def nearest_run(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
+    """Least edits between the item and any run of words inside ``part``, and where a run with so
+    few begins (of those with one end, the one nearest to the item's length)."""
+    ends = _edits(item, part, np.zeros(len(part) + 1, np.int64))       # a run may begin anywhere
+    end, least = int(ends.argmin()), int(ends.min())
+    lengths = np.flatnonzero(_edits(item[::-1], part[:end][::-1], np.arange(end + 1)) == least)
+    return least, end - int(lengths[np.abs(lengths - len(item)).argmin()])
 
 
-def leaks_in(index: Index, rows: list[np.ndarray], max_edits: float) -> Iterator[Leak]:
-    """For each (row, item) that leaks, the alignment with the fewest edits."""
+def _may_leak(known: np.ndarray, part: np.ndarray, n: int, allowed: int) -> bool:
+    """Whether some ``n + allowed`` words of ``part`` hold enough words of the item."""
+    own = known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part
+    count = np.concatenate(([0], np.cumsum(own)))
+    span = min(len(part), n + allowed)
+    return bool((count[span:] - count[:len(count) - span]).max() >= n - allowed)
+
+
+def leaks_in(index: Index, rows: list[np.ndarray]) -> Iterator[Leak]:
+    """For each (row, item) that leaks, the run with the fewest edits."""
+    if not rows:
+        return
     lengths = [len(r) for r in rows]
     # documents are kept apart by more zero words than a walk can cross
     gap = np.zeros(STEPS + 1, np.uint64)
-    words = np.concatenate([x for r in rows for x in (r, gap)]) if rows else gap
+    words = np.concatenate([x for r in rows for x in (r, gap)])
     begin = np.cumsum([0] + [n + len(gap) for n in lengths])
+    item, at, offset = index.hits(words)
+    row = np.searchsorted(begin, at, "right") - 1
+    start = at - offset - begin[row]                     # the item may begin before the document
+    order = np.lexsort((start, item, row))
+    row, item, start = row[order], item[order], start[order]
+    reach = index.lengths[item] + 2 * index.allowed[item]
+    new = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > reach[1:])
+    first, last = np.flatnonzero(np.r_[True, new][:len(row)]), np.flatnonzero(np.r_[new, True][:len(row)])
     best: dict[tuple[int, int], Leak] = {}
-    items, starts = index.hits(words)
-    # an anchor lies inside the document, but the item may begin before it
-    for k, start in zip(items.tolist(), starts.tolist()):
-        item = index.items[k]
-        n = len(item.words)
-        allowed = int(max_edits * n)
-        for row in {int(np.searchsorted(begin, max(start, 0), "right")) - 1,
-                    int(np.searchsorted(begin, max(start + n - 1, 0), "right")) - 1}:
-            if not 0 <= row < len(rows):
-                continue
-            low = max(0, start - begin[row] - allowed)
-            part = rows[row][low:max(0, start - begin[row] + n + allowed)]
-            if len(part) < n - allowed or np.isin(item.words, part).sum() < n - allowed:
-                continue
-            edits = edit_distance(item.words, part)
-            old = best.get((row, k))
-            if edits <= allowed and (old is None or edits < old.edits):
-                best[row, k] = Leak(row, item.item_id, edits, n, int(max(0, start - begin[row])))
+    for r, k, low, high in zip(row[first].tolist(), item[first].tolist(), start[first].tolist(), start[last].tolist()):
+        old = best.get((r, k))
+        if old is not None and not old.edits:
+            continue
+        n, allowed = int(index.lengths[k]), int(index.allowed[k])
+        low = max(0, low - allowed)
+        part = rows[r][low:max(0, high + n + allowed)]
+        if len(part) < n - allowed or not _may_leak(index.known[k], part, n, allowed):
+            continue
+        edits, place = nearest_run(index.items[k].words, part)
+        if edits <= allowed and (old is None or edits < old.edits):
+            best[r, k] = Leak(r, index.items[k].item_id, edits, n, low + place)
     yield from (best[key] for key in sorted(best))
 
 
@@ -166,7 +217,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
     words, block, size = Words(lower=True, letters=True), [], 0
     for r in benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col).toLocalIterator():
         sequence = words.of(pa.array([r[1]]))[0]
-        if len(sequence) < MIN_ITEM_WORDS:
+        if not len(sequence):
             continue
         if block and size + len(r[1]) > BLOCK_BYTES:
             yield block
@@ -191,9 +242,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         sent = sc.broadcast(block)
 
         def run(batches, sent=sent):
-            index, words = Index(sent.value, repetitions), Words(lower=True, letters=True)
+            index, words = Index(sent.value, repetitions, max_edits), Words(lower=True, letters=True)
             for batch in batches:
-                found = list(leaks_in(index, words.rows(batch.column("_text")), max_edits))
+                found = list(leaks_in(index, words.rows(batch.column("_text"))))
                 item_type = pa.int64() if item_kind == "bigint" else None
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").take(pa.array([f.row for f in found], pa.int64())),
@@ -218,11 +269,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         sent = sc.broadcast(block)
 
         def run(batches, sent=sent):
-            index, words = Index(sent.value, repetitions), Words(lower=True, letters=True)
+            index, words = Index(sent.value, repetitions, max_edits), Words(lower=True, letters=True)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 rows = words.rows(batch.column(text_at))
-                keep[[f.row for f in leaks_in(index, rows, max_edits)]] = False
+                keep[[f.row for f in leaks_in(index, rows)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = map_batches(docs, run, docs.schema)
@@ -230,7 +281,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 
 def repetitions_for(recall: float, items: list[Item], edit_rate: float, trials: int = 200, most: int = 32) -> int:
-    """The fewest repetitions with which ``recall`` of randomly edited items collide at some anchor."""
+    """The fewest repetitions with which ``recall`` of randomly edited items collide at some anchor;
+    words before and after the item go on as in a document. The walks alone: pieces do not count."""
     rng = np.random.Generator(np.random.PCG64(5))
     first = []
     for _ in range(trials):
@@ -243,7 +295,8 @@ def repetitions_for(recall: float, items: list[Item], edit_rate: float, trials:
             edited.append(int(rng.integers(2**63)) if kind < 2 * edit_rate / 3 else w)
             if 2 * edit_rate / 3 <= kind < edit_rate:
                 edited.append(int(rng.integers(2**63)))
-        other = np.array(edited, np.uint64)
+        around = rng.integers(1, 2**63, 2 * STEPS, dtype=np.uint64)
+        other = np.concatenate([around[:STEPS], np.array(edited, np.uint64), around[STEPS:]])
         first.append(next((r + 1 for r in range(most)
                            if np.intersect1d(walk_keys(item.words, r)[:-TAIL], walk_keys(other, r)).size), most + 1))
     return int(np.sort(first)[min(trials - 1, int(np.ceil(recall * trials)) - 1)])

@@ -279,6 +279,31 @@ def test_leaks_equal_brute_force(spark, docs):
     assert decontam.find_leaks(table, bench.limit(0)).count() == 0 and decontam.drop_leaks(table, bench.limit(0)).count() == 63
 
 
+def test_every_leak_inside_other_text_is_found(spark):
+    rng = random.Random(8)
+    new = iter(range(10**6))
+    items = [(n * 100 + k, [f"i{next(new)}" for _ in range(n)]) for n in (1, 2, 5, 7, 8, 9, 10, 12, 15, 20) for k in range(20)]
+    items += [(9001, ["again"] * 12), (9002, "to be or not to be".split())]
+    rows, want = [], set()
+    for k, words in items:
+        part = list(words)
+        for _ in range(int(decontam.MAX_EDITS * len(words)) if len(words) >= decontam.MIN_ITEM_WORDS else 0):
+            at = rng.randrange(len(part))
+            part[at:at + 1] = rng.choice([[], [f"z{next(new)}"], [part[at], f"z{next(new)}"]])
+        rows.append((k, [f"a{next(new)}" for _ in range(25)] + part + [f"b{next(new)}" for _ in range(25)]))
+    rows += [(9010, ["again"] * 300), (9011, "to be or to not be".split()), (9012, items[0][1])]
+    for d, own in rows:
+        for k, words in items:
+            if B.edits(words, own) <= (int(decontam.MAX_EDITS * len(words)) if len(words) >= decontam.MIN_ITEM_WORDS else 0):
+                want.add((d, k, B.edits(words, own)))
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = decontam.find_leaks(table, bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found} == want and len(found) == len(want) >= len(items)
+    assert all(r["start_word"] == 25 for r in found if r["edits"] == 0 and r["doc_id"] == r["item_id"])
+    assert {r["doc_id"] for r in decontam.drop_leaks(table, bench).collect()} == {9011}
+
+
 def test_repetitions_reach_the_recall():
     import pyarrow as pa
 
