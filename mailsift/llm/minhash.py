@@ -5,8 +5,8 @@ as exponential variables; a register keeps the set's minimum on an exponential s
 ``floor(1 - log_b(min))`` cut to 16 bits. Registers merge by maximum, and two documents agree in a
 register about as often as they share shingles, so bands of ``BAND`` registers serve as keys.
 
-1. Sketches are one narrow pass. Documents with equal word sequences are one class, represented by
-   its smallest id, so thousands of exact copies cost one row from here on.
+1. Sketches are one narrow pass. Documents with equal word sequences are one class with a number of
+   its own, so thousands of exact copies cost one row from here on, and no id is needed to be unique.
 2. Bands: documents that share a bucket are partners, and their texts are fetched once. A bucket's
    documents are compared with its centre only, the one with the most company in all its buckets (the
    original of a group of copies rather than one of its variants). The links that hold are contracted
@@ -25,15 +25,15 @@ but counts reaches the driver.
 
 A text without words (or null) has an empty set, links with nothing, and is its own component. Fewer
 words than a shingle make one shingle of them all. A null id cannot be linked or dropped: its
-component is null and it is kept. Rows with a repeated id are linked by that id; equal texts under
-different ids are one component. An empty table gives an empty result.
+component is null and it is kept. Rows are linked by their words alone: a repeated id links nothing,
+equal texts under different ids are one component. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, map_batches, mix, seeds, window_hashes, written
@@ -76,7 +76,7 @@ class Sketcher:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """Of ``docs(_id, _text)``: ``(id, n_shingles, words_key, registers, bands)`` per row."""
+    """Of ``docs(_id, _text, _hash)``: ``(id, text_hash, n_shingles, words_key, registers, bands)`` per row."""
 
     def run(batches):
         words, sketcher = Words(lower=True), Sketcher()
@@ -95,12 +95,13 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 registers.append(r.tobytes())
                 bands.append(sketcher.bands(r))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
+                [batch.column("_id"), batch.column("_hash"), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
                  pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "words_key", "registers", "bands"])
+                ["id", "text_hash", "n_shingles", "words_key", "registers", "bands"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return map_batches(docs, run, f"id {kind}, n_shingles bigint, words_key binary, registers binary, bands array<bigint>")
+    return map_batches(docs, run, f"id {kind}, text_hash bigint, n_shingles bigint, words_key binary, registers binary, "
+                                  "bands array<bigint>")
 
 
 def _log_likelihood(similarity, share_a, share_b, more, less, same):
@@ -237,12 +238,14 @@ def _prefix_pairs(rest: DataFrame, width: int, percent: int, kind: str) -> DataF
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
-def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int, kind: str) -> DataFrame:
-    """``(words_key, component_id)`` of the classes of equal word sequences."""
+def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(words_key, component_id, keeper)`` of the classes of equal word sequences: the smallest id of
+    the component, and the smallest class that has this id."""
+    kind = "bigint"
     real = sketches.where("n_shingles > 0 and id is not null")
-    reps = real.groupBy("words_key").agg(F.min("id").alias("rep"))
-    classes = real.join(reps, "words_key").where("id = rep").dropDuplicates(["words_key"]) \
-        .select("words_key", "rep", "n_shingles", "registers", "bands")
+    least = real.groupBy("words_key").agg(F.min("id").alias("least"))
+    classes = real.join(least, "words_key").where("id = least").dropDuplicates(["words_key"]) \
+        .select("words_key", F.monotonically_increasing_id().alias("rep"), "id", "text_hash", "n_shingles", "registers", "bands")
     classes = written(classes, "classes")
 
     members = classes.select("rep", F.explode("bands").alias("bucket"))
@@ -250,8 +253,9 @@ def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int,
     members = written(members.join(crowded, "bucket"), "buckets")
     company = members.groupBy("rep").agg(F.sum("size").alias("company"))
     members = members.drop("size").join(company, "rep")
-    known = written(docs.select(F.col("_id").alias("rep"), F.col("_text").alias("text"))
-                    .join(company.select("rep"), "rep").dropDuplicates(["rep"]), "texts")
+    wanted = classes.join(company.select("rep"), "rep").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "rep")
+    known = written(docs.join(wanted, ["_id", "_hash"]).select("rep", F.col("_text").alias("text"))
+                    .dropDuplicates(["rep"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return written(_links(_candidates(pairs, classes, percent / 100, kind), known, width, percent, kind), "links")
@@ -268,30 +272,49 @@ def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int,
     more = verified(_prefix_pairs(rest, width, percent, kind))
     if not more.isEmpty():
         parts = connected(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return classes.select("words_key", "rep").join(parts, F.col("rep") == F.col("node"), "left") \
-        .select("words_key", F.coalesce("component", "rep").alias("component_id"))
+    # the numbers of classes say nothing about their ids
+    own = F.struct("id", "words_key")
+    parts = parts.join(classes.select("rep", "id", "words_key"), F.col("rep") == F.col("node"))
+    first = parts.groupBy("component").agg(F.min(own).alias("first"))
+    first = parts.join(first, "component").select("rep", "first")
+    return classes.select("words_key", "rep", "id").join(first, "rep", "left") \
+        .select("words_key", F.coalesce("first", own).alias("first")) \
+        .select("words_key", F.col("first.id").alias("component_id"), F.col("first.words_key").alias("keeper"))
+
+
+def _hash(text_col: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text_hash, n_shingles, words_key, component_id, keeper)`` per row of ``docs``."""
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _hash(text_col).alias("_hash"))
+    sketches = written(sketch(docs, width), "sketches")
+    label = _components(sketches, docs, width, percent)
+    return sketches.select("id", "text_hash", "n_shingles", "words_key").join(label, "words_key", "left")
 
 
 def near_components(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` per row of ``docs``: components of the links between
     sets of ``width``-word shingles with 100 * intersection >= ``percent`` * union."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sketches = written(sketch(docs, width), "sketches")
-    label = _components(sketches, docs, width, percent, kind)
-    return sketches.select("id", "n_shingles", "words_key").join(label, "words_key", "left") \
+    return _labelled(docs, width, percent, id_col, text_col) \
         .select(F.col("id").alias(id_col), "n_shingles",
                 F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
                          text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the smallest id of each component; all columns. Of rows with one id
-    one stays, rows without an id all do."""
-    found = near_components(docs, width, percent, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_llm_id")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_llm_id"), "left_anti")
-    again = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return left.withColumn("_llm_row", F.when(F.col(id_col).isNull(), 1).otherwise(again)) \
-        .where("_llm_row = 1").drop("_llm_row")
+    """``docs`` without all but one row of each component, of its smallest id; all columns. Rows of one
+    id with other words stay, of those with equal words (or none) one does. Rows without an id all stay."""
+    found = written(_labelled(docs.where(F.col(id_col).isNotNull()), width, percent, id_col, text_col), "labels")
+    keeps = F.col("words_key").isNull() | ((F.col("id") == F.col("component_id")) & (F.col("words_key") == F.col("keeper")))
+    stays = found.where(keeps).groupBy("id", "words_key").agg(F.min("text_hash").alias("text_hash"))
+    gone = found.select("id", "text_hash").distinct().join(stays.select("id", "text_hash"), ["id", "text_hash"], "left_anti") \
+        .select(F.col("id").alias("_llm_id"), F.col("text_hash").alias("_llm_gone"))
+    left = docs.where(F.col(id_col).isNotNull()).withColumn("_llm_hash", _hash(text_col))
+    left = left.join(gone, (F.col(id_col) == F.col("_llm_id")) & (F.col("_llm_hash") == F.col("_llm_gone")), "left_anti")
+    again = F.row_number().over(Window.partitionBy(id_col, "_llm_hash").orderBy("_llm_hash"))
+    left = left.withColumn("_llm_row", again).where("_llm_row = 1").drop("_llm_hash", "_llm_row")
+    return left.unionByName(docs.where(F.col(id_col).isNull()))

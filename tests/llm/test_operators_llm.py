@@ -126,6 +126,21 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
 
 
+def test_near_duplicates_of_clashing_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (_prose(rng, 60, 4000) for _ in range(4))
+    near_c = " ".join(c.split()[:-1])
+    rows = [(1, a), (1, b), (2, a), (3, b), (1, a.upper()), (1, a), (4, c), (4, near_c), (5, near_c), (5, d), (6, ""), (6, None),
+            (None, a), (None, a), (None, d)]
+    got = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = _by((r["doc_id"], (r["text"] or "").lower()) for r in got if (r["text"] or "").lower() not in (c, near_c))
+    assert left == _by([(1, a), (1, b), (5, d), (6, ""), (None, a), (None, a), (None, d)])
+    assert [r["doc_id"] for r in got if (r["text"] or "").lower() in (c, near_c)] == [4]
+    parts = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80).collect()
+    assert _by((r["doc_id"], r["component_id"]) for r in parts) == _by(
+        [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (5, 5), (6, 6), (6, 6)] + [(None, None)] * 3)
+
+
 def test_registers_estimate_and_merge():
     import numpy as np
     rng = np.random.default_rng(1)
