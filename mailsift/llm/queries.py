@@ -101,7 +101,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
     return found.select("doc_id", *map(_count, secret_scan.BASE_KINDS), _sha(_listed(base)).alias("base_sha256"),
-                        _listed("spans").alias("spans"), "n_live", "n_shared")
+                        _listed("spans").alias("spans"), "n_live", "n_shared",
+                        _listed("spans", "n_owners:n_repositories").alias("span_counts"))
 
 
 @query

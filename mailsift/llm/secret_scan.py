@@ -3,8 +3,9 @@
 Candidates come from one leftmost, non-overlapping scan per kind; their positions are running sums
 over the text between matches. Every candidate value is hashed, and over the whole corpus the
 distinct repositories (by default the documents) and distinct owners (by default the sources) that
-show the hash are counted. A value that many owners show is an example that was copied around; a
-value of few owners looks live.
+show the hash are counted. A value that many owners or many repositories show is an example that was
+copied around, be it by a single owner; a value of few owners and few repositories looks live. Each
+span tells both counts of its value.
 
 The kinds ``assign``, ``access`` and ``hex`` are the base. ``vendor`` (tokens with a provider's
 prefix) and ``pem`` (private key headers) are added by the method.
@@ -33,6 +34,11 @@ BASE_KINDS = ("assign", "access", "hex")
 MIN_ASSIGNED = 6
 #: Owners from which on a value counts as a copied example.
 SHARED_OWNERS = 3
+#: Repositories from which on it does, whoever owns them.
+SHARED_REPOSITORIES = 10
+
+
+_COUNTS = "array<struct<start:bigint,kind_order:int,n_owners:bigint,n_repositories:bigint>>"
 
 
 def _value(kind: str, hit: Column) -> Column:
@@ -74,7 +80,7 @@ def candidates(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per distinct (id, text, span), with the hash of its value."""
     return scanned.select(id_col, "owner", "text_hash", F.explode("spans").alias("s")) \
         .select(id_col, "owner", "text_hash", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"),
-                F.sha2("s.value", 256).alias("value_sha256")).distinct()
+                F.col("s.kind_order").alias("kind_order"), F.sha2("s.value", 256).alias("value_sha256")).distinct()
 
 
 def ownership(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -87,16 +93,20 @@ def ownership(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """``(id, spans, n_live, n_shared)``, one row per row of ``docs``: how many of its secrets look
-    live and how many are widely copied."""
+                 shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+    """``(id, spans, n_live, n_shared)``, one row per row of ``docs``: its secrets with the owners and
+    repositories of each value, how many look live and how many are widely copied."""
     scanned = written(scan(docs, id_col, text_col, owner_col), "secret-spans")
     found = candidates(scanned, id_col)
-    live = F.col("n_owners") < shared_owners
+    # a span's start and kind tell it from the others of its text, and sort it like ``spans``
     judged = found.join(ownership(found, id_col), "value_sha256") \
         .groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text_hash")) \
-        .agg(F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_shared"))
-    return scanned.join(judged, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text_hash")),
-                        "left") \
-        .select(id_col, "spans", F.coalesce("n_live", F.lit(0)).alias("n_live"),
-                F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+        .agg(F.array_sort(F.collect_set(F.struct("start", "kind_order", "n_owners", "n_repositories"))).alias("_counts"))
+    spans = F.zip_with("spans", F.coalesce("_counts", F.array().cast(_COUNTS)), lambda s, c: F.struct(
+        *[s[x].alias(x) for x in ("start", "kind_order", "end", "kind", "value")],
+        c["n_owners"].alias("n_owners"), c["n_repositories"].alias("n_repositories")))
+    shared = lambda s: (s["n_owners"] >= shared_owners) | (s["n_repositories"] >= shared_repositories)
+    out = scanned.join(judged, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text_hash")),
+                       "left").select(id_col, spans.alias("spans"))
+    return out.select(id_col, "spans", F.size(F.filter("spans", lambda s: ~shared(s))).cast("bigint").alias("n_live"),
+                      F.size(F.filter("spans", shared)).cast("bigint").alias("n_shared"))

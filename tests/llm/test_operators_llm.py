@@ -180,6 +180,16 @@ def test_secret_ownership(spark):
     assert len(got) == 8
 
 
+def test_a_secret_of_many_repositories_is_shared(spark):
+    sample, own = 'secret = "samplevalue1"', 'token = "ownvalue123"'
+    rows = [(i, sample, "hot") for i in range(secret_scan.SHARED_REPOSITORIES)] + [(90, f"{own} {sample}", "hot"), (91, own, "o2"), (92, "", "o2")]
+    got = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    n = secret_scan.SHARED_REPOSITORIES + 1
+    assert {(r["doc_id"], r["n_live"], r["n_shared"]) for r in got} == {(i, 0, 1) for i in range(n - 1)} | {(90, 1, 1), (91, 1, 0), (92, 0, 0)}
+    assert {r["doc_id"]: [(s["n_owners"], s["n_repositories"]) for s in r["spans"]] for r in got if r["doc_id"] >= 90} == {
+        90: [(2, 2), (1, n)], 91: [(2, 2)], 92: []}
+
+
 def test_pii_equals_plain(docs, rows):
     want = [(r[0], B.pii(r[1])[1]) for r in rows]
     found = pii.find_pii(docs).collect()
