@@ -88,8 +88,9 @@ def learn_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "la
     counts = map_batches(rows, count, "lang string, gram bigint, n bigint")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return total.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < size) \
-        .select("lang", "gram", "rank")
+    # only a limit on the row number itself is applied before the shuffle as well
+    return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size) \
+        .select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class _Profiles:

@@ -274,6 +274,13 @@ def test_language_profiles(spark, empty):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_profiles_are_cut_before_the_ranking_shuffle(docs):
+    profiles = langid.learn_profiles(docs, size=5)
+    plan = profiles._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert sorted(r["rank"] for r in profiles.where("lang = 'en'").collect()) == list(range(5))
+
+
 def test_leaks_equal_brute_force(spark, docs):
     rng = random.Random(4)
     items = [(k, _prose(rng, rng.randrange(15, 50), 3000)) for k in range(12)] + \
