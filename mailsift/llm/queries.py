@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lines, minhash, pii, quality, secret_scan, shards, token_counts
-from .common import table
+from . import (bpe, decontam, langid, lines, minhash, pii, quality, runs, secret_scan, shards,
+               token_counts, trie, winnow)
+from .common import table, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -137,7 +138,69 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import written
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(written(quality.quality_stats(docs), "quality-stats"))
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "p_good")
+
+
+@query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def listed(prints):
+        return F.array_join(F.transform(prints, lambda p: F.concat_ws(
+            ":", F.lower(F.lpad(F.hex(p["hash"]), 16, "0")), p["position"].cast("string"))), ",")
+    return found.select("doc_id", "n_chars", _sha("edited").alias("edited_sha256"), listed("prints").alias("fingerprint"),
+                        listed("edited_prints").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Of documents with crc32(doc_id) % 10 = 0, the words from the a-th on repeat the p words that stand there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        unit = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        tail = F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int"))), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bound = F.element_at(F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, repeated(ws)).otherwise("")), 1)
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), bound).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # strictly greater by cross-multiplication: of equal ones the first, by start, then period, stays
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)),
+                       lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines_ = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        _sha(lines_).alias("runs_sha256"), _sha("collapsed").alias("collapsed_sha256"))
+
+
+#: Conversations of a family begin with turns of its first; a family has so many ids.
+FAMILY = 5
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.identified(table(spark, sf_dir, "conversations"))
+    own = written(trie.numbered(turns, [F.col("turn").asc_nulls_first()], "number")
+                  .select("conv", "number", "role", "h1", "h2", "n_bytes"), "trie-turns")
+    convs = written(own.select("conv").distinct(), "trie-conversations")
+    head = F.crc32(F.col("conv").cast("string")) % 9
+    first = F.col("conv") - F.pmod("conv", F.lit(FAMILY))
+    given = convs.where((first != F.col("conv")) & (head > 0)).select(F.col("conv").alias("to"), head.alias("h"), first.alias("conv")) \
+        .join(own.where((F.pmod("conv", F.lit(FAMILY)) == 0) & (F.col("number") < 9)), "conv").where("number <= h") \
+        .select(F.col("to").alias("conv"), F.lit(0).alias("part"), "number", "role", "h1", "h2", "n_bytes")
+    rest = own.where((first == F.col("conv")) | (F.col("number") > head)) \
+        .select("conv", F.lit(1).alias("part"), "number", "role", "h1", "h2", "n_bytes")
+    return trie.prefix_trie(given.unionByName(rest), [F.col("part"), F.col("number")], convs)

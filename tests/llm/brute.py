@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,3 +136,78 @@ def minimax(sizes, n):
     for _ in range(n):
         best = [min(max(best[j], sums[i] - sums[j]) for j in range(i + 1)) for i in range(len(sizes) + 1)]
     return best[-1]
+
+
+def winnow(text, k, window):
+    """Places of the fingerprints of a text, given a hash of its k-grams: ``(position, hash)``."""
+    grams = [text[i:i + k] for i in range(max(1, len(text) - k + 1))] if text else []
+
+    def pick(rank):
+        out = set()
+        for a in range(max(1, len(grams) - window + 1) if grams else 0):
+            part = range(a, min(len(grams), a + window))
+            least = min(rank[grams[i]] for i in part)
+            out.add(max(i for i in part if rank[grams[i]] == least))
+        return sorted(out)
+    return grams, pick
+
+
+def runs(words, least=24, exponent=3):
+    """All maximal stretches (start, length, smallest period)."""
+    n, found = len(words), {}
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i < n - q:
+            start = i
+            while i < n - q and words[i] == words[i + q]:
+                i += 1
+            if i > start and i + q - start >= max(least, exponent * q):
+                found.setdefault((start, i + q), q)
+            i += i == start
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def with_periods(doc_id, text):
+    words = WORD.findall(text or "")
+    n = len(words)
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def runs_row(doc_id, text):
+    words = with_periods(doc_id, text)
+    found = runs(words)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2])) if found else (None,) * 3
+    return (doc_id, len(found), *best, 1000 * best[1] // best[2] if found else None,
+            sha("".join(f"{s},{n},{q}\n" for s, n, q in found)),
+            sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def trie(rows, rebuild=True):
+    """The nodes of (conv_id, turn, role, text) rows, as the operator's columns."""
+    own = defaultdict(list)
+    for c, _, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own[c].append((role or "", text or ""))
+    whole = dict(own)
+    for c, turns in own.items() if rebuild else ():
+        h = zlib.crc32(str(c).encode()) % 9
+        whole[c] = own.get(c - c % 5, [])[:h] + turns[h:]
+    members, kids = defaultdict(list), defaultdict(list)
+    for c in sorted(whole):
+        for d in range(len(whole[c]) + 1):
+            members[tuple(whole[c][:d])].append(c)
+    for k in members:
+        if k:
+            kids[k[:-1]].append(k)
+    leaves, saved = {}, {}
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] = sum(leaves[x] for x in kids[k]) or 1
+        saved[k] = sum(saved[x] for x in kids[k]) + ((len(members[k]) - 1) * len(k[-1][1].encode()) if k else 0)
+    return [(m[0], len(k), members[k[:-1]][0] if k else None, len(m), len(kids[k]), leaves[k], saved[k],
+             sha(",".join(str(c) for c in m if len(whole[c]) == len(k)))) for k, m in members.items()]
