@@ -212,7 +212,8 @@ def collapsed(words: list[bytes], runs: list[tuple[int, int, int]]) -> bytes:
     return b" ".join(words)
 
 
-def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              batch_words: int = BATCH_WORDS) -> DataFrame:
     """``(id, n_words, runs array<struct<start, length, period>>, collapsed)``, one row per row of
     ``docs``: the runs by start, then period, and the text without the repetitions."""
 
@@ -222,7 +223,7 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             at = 0
             while at < len(rows):
                 end, size = at, 0
-                while end < len(rows) and (end == at or size + len(rows[end]) <= BATCH_WORDS):
+                while end < len(rows) and (end == at or size + len(rows[end]) <= batch_words):
                     size += len(rows[end])
                     end += 1
                 part = rows[at:end]

@@ -104,10 +104,10 @@ def prefixes(turns: DataFrame, order: list[Column]) -> DataFrame:
     without its last turn, and that turn's bytes. ``turns`` are ``identified``."""
     rows = numbered(turns, order, "depth")
     rows = rows.withColumn("t1", F.xxhash64("depth", "h1", "h2")).withColumn("t2", F.xxhash64("h2", "depth", "h1"))
-    rows = _carried(rows, {"x1": F.bitF.bit_xor("t1"), "x2": F.bitF.bit_xor("t2")}, lambda a, b: (a[0] ^ b[0], a[1] ^ b[1]))
+    rows = _carried(rows, {"x1": F.bit_xor("t1"), "x2": F.bit_xor("t2")}, lambda a, b: (a[0] ^ b[0], a[1] ^ b[1]))
     inside = Window.partitionBy("_range", "conv").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
     for n in "12":
-        rows = rows.withColumn(f"k{n}", F.bitF.bit_xor(f"t{n}").over(inside).bitwiseXOR(F.coalesce(f"_before_x{n}", F.lit(0)))) \
+        rows = rows.withColumn(f"k{n}", F.bit_xor(f"t{n}").over(inside).bitwiseXOR(F.coalesce(f"_before_x{n}", F.lit(0)))) \
             .withColumn(f"p{n}", F.col(f"k{n}").bitwiseXOR(F.col(f"t{n}")))
     return rows.select("conv", "depth", "k1", "k2", "p1", "p2", "n_bytes")
 

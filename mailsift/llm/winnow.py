@@ -137,13 +137,13 @@ def _print_array(bounds: np.ndarray, hashes: np.ndarray, positions: np.ndarray)
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), cells)
 
 
-def _blocks(rows: Iterator, size) -> Iterator[list]:
-    """Consecutive rows in lists of about ``BLOCK_CHARS`` characters."""
+def _blocks(rows: Iterator, size, limit: int = BLOCK_CHARS) -> Iterator[list]:
+    """Consecutive rows in lists of about ``limit`` characters."""
     block, chars = [], 0
     for r in rows:
         block.append(r)
         chars += size(r)
-        if chars >= BLOCK_CHARS:
+        if chars >= limit:
             yield block
             block, chars = [], 0
     if block:
@@ -183,7 +183,7 @@ def _range_of(key: Column, heads: Column, n: int) -> Column:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
-                        window: int = WINDOW) -> DataFrame:
+                        window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(id, n_chars, edited, prints, edited_prints, near_edited, near_next)``, one row per row of ``docs``."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -242,7 +242,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                batch.column("_guest").to_pylist(), texts(batch, "_text"))
 
         last = []
-        for block in _blocks(rows(), lambda r: len(r[3])):
+        for block in _blocks(rows(), lambda r: len(r[3]), block_chars):
             block = last + block
             last = block[-1:]
             yield compared(block)

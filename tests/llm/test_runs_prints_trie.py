@@ -77,8 +77,7 @@ def test_a_shared_passage_is_found():
         assert set(hashes[:bounds[1]].tolist()) & set(hashes[bounds[1]:].tolist())
 
 
-def test_op11_query(spark, folder, monkeypatch):
-    monkeypatch.setattr(winnow, "BLOCK_CHARS", 500)
+def test_op11_query(spark, folder):
     got = _by(queries.QUERIES["op11_fingerprints"](spark, folder).collect())
     rows = [(r["doc_id"], r["text"] or "", r["h"]) for r in spark.read.parquet(f"{folder}/documents.parquet")
             .selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS h").collect()]
@@ -98,6 +97,8 @@ def test_op11_query(spark, folder, monkeypatch):
         (own, a), (changed, b), (_, c) = prints(text), prints(edited), prints(after)
         want.append((i, len(text), B.sha(edited), own, changed, alike(a, b), alike(a, c)))
     assert got == _by(want)
+    small = winnow.edited_fingerprints(spark.read.parquet(f"{folder}/documents.parquet"), block_chars=500).collect()
+    assert _by((r["doc_id"], r["n_chars"], r["near_edited"], r["near_next"]) for r in small) == _by((*r[:2], *r[5:]) for r in want)
 
 
 def test_prints_table(spark, folder):
@@ -140,10 +141,9 @@ def test_op12_query(spark, folder):
     assert _by(queries.QUERIES["op12_periodic_runs"](spark, folder).collect()) == _by(want)
 
 
-def test_runs_of_a_batch_stay_in_their_documents(spark, monkeypatch):
-    monkeypatch.setattr(runs, "BATCH_WORDS", 60)
+def test_runs_of_a_batch_stay_in_their_documents(spark):
     df = spark.createDataFrame(_docs(), SCHEMA).coalesce(1)
-    got = runs.find_runs(df).collect()
+    got = runs.find_runs(df, batch_words=60).collect()
     want = [(i, len(B.WORD.findall(t or "")), B.runs(B.WORD.findall(t or ""))) for i, t, _ in _docs()]
     assert _by((r[0], r[1], [tuple(x) for x in r[2]]) for r in got) == _by(want)
 
