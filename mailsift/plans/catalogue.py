@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (q_corpus, q_dataset, q_io, q_mime, q_mllib, q_model, q_rules, q_score, q_stream,  # noqa: F401
+from . import (q_corpus, q_dataset, q_epochs, q_io, q_mime, q_mllib, q_model, q_rules, q_score, q_stream,  # noqa: F401
                q_synth, q_text)
 from .registry import ORACLES, QUERIES
 

@@ -26,6 +26,7 @@ from ..operators import synth as G
 from ..operators.classify import load_model, nb_explain, nb_fit, nb_predict, save_model
 from ..operators.compute import with_computed
 from ..operators.dedup import dedup_keep_first
+from ..operators.epochs import fit_epochs, predict_weights
 from ..operators.mime import choose_body, parse_messages
 from ..operators.sample import cap_rows, positive_cap, seeded_shuffle, train_val_split
 from ..session import materialize
@@ -103,16 +104,20 @@ def prepare_training_data(spark: SparkSession, phishing_dir: str, output_csv: st
             "duplicate": funnel.get("passed", 0) - collected, "collected": collected}
 
 
+def _split_rows(data: DataFrame, val_ratio: float) -> DataFrame:
+    """Labelled rows with a ``doc_id`` and their seeded ``part``. Equal rows are rows of their own: the
+    copies are numbered, so that ids are unique."""
+    copies = data.groupBy("email_text", "label").agg(F.count(F.lit(1)).alias("n"))
+    data = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))) \
+        .select("email_text", "label", F.xxhash64("email_text", "label", "copy").alias("doc_id"))
+    return materialize(train_val_split(data, "doc_id", val_ratio))
+
+
 def train(spark: SparkSession, csv_path: str | None, model_dir: str, val_ratio: float = 0.2,
           alpha: float = 1.0, max_length: int = P.MAX_TOKENS) -> DataFrame:
     """Labelled CSV (or the built-in sample when no path is given) → seeded split → fit →
     validation metrics (returned) → model saved under ``model_dir``."""
-    data = read_labelled_csv(spark, csv_path) if csv_path else builtin_sample(spark)
-    # equal rows are rows of their own: number the copies, so that ids are unique
-    copies = data.groupBy("email_text", "label").agg(F.count(F.lit(1)).alias("n"))
-    data = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))) \
-        .select("email_text", "label", F.xxhash64("email_text", "label", "copy").alias("doc_id"))
-    split = materialize(train_val_split(data, "doc_id", val_ratio))
+    split = _split_rows(read_labelled_csv(spark, csv_path) if csv_path else builtin_sample(spark), val_ratio)
     table, priors = nb_fit(split.where(F.col("part") == "train"), "email_text", "label", alpha,
                            max_tokens=max_length)
     save_model(table, priors, model_dir)
@@ -121,6 +126,25 @@ def train(spark: SparkSession, csv_path: str | None, model_dir: str, val_ratio:
     return V.classification_metrics(pred)
 
 
+def train_in_epochs(spark: SparkSession, csv_path: str | None, model_dir: str, epochs: int = 3,
+                    batch_size: int | None = None, learning_rate: float = 1.0, val_ratio: float = 0.2,
+                    max_length: int = P.MAX_TOKENS, weight_decay: float = 0.01) -> DataFrame:
+    """Like :func:`train`, by gradient descent: ``epochs`` passes in steps of ``batch_size`` rows (null: all).
+    Returns the history, a row per epoch; the weights of every epoch stay under ``model_dir`` and those
+    of the epoch with the highest recall become its ``best``."""
+    split = _split_rows(read_labelled_csv(spark, csv_path) if csv_path else builtin_sample(spark), val_ratio)
+    fit = fit_epochs(split.where(F.col("part") == "train"), split.where(F.col("part") == "val"), model_dir, epochs,
+                     batch_size, learning_rate, weight_decay, max_tokens=max_length)
+    fit.weights(spark).write.mode("overwrite").parquet(f"{model_dir}/best")
+    return fit.table(spark)
+
+
+def score_epochs(spark: SparkSession, model_dir: str, df: DataFrame, text_col: str = "email_text",
+                 id_col: str = "doc_id", max_length: int = P.MAX_TOKENS) -> DataFrame:
+    """``(id, p_1, pred)`` with the best weights that :func:`train_in_epochs` left."""
+    return predict_weights(df, spark.read.parquet(f"{model_dir}/best"), text_col, id_col, max_tokens=max_length)
+
+
 def score(spark: SparkSession, model_dir: str, df: DataFrame, text_col: str = "email_text",
           id_col: str = "doc_id", max_length: int = P.MAX_TOKENS) -> DataFrame:
     """Batch scoring with a saved model: label name and winning probability per row."""
