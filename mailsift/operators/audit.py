@@ -110,7 +110,7 @@ def label_proxy_tokens(tokens: DataFrame, doc_col: str = "doc_id", label_col: st
     if docs is None:  # documents with at least one token, per class
         docs = tokens.select(doc_col, label_col).distinct()
     n_cls = {r[0]: r[1] for r in docs.groupBy(label_col).agg(F.count(F.lit(1))).collect()}  # per class
-    n_pos, n_neg = F.lit(n_cls.get(1)), F.lit(n_cls.get(0))
+    n_pos, n_neg = F.lit(n_cls.get(1, 0)), F.lit(n_cls.get(0, 0))
     pairs = tokens.select(doc_col, label_col, token_col)
     pairs = pairs if distinct_rows else pairs.distinct()
     dfreq = pairs.groupBy(token_col).agg(

@@ -53,11 +53,15 @@ def _charset(part) -> str:
 
 def _leaf(idx: int, part, wanted: bool) -> dict:
     """One part of the array. The transfer encoding is undone only for parts that can become body
-    text, so attachments are neither decoded nor shipped."""
+    text, so attachments are neither decoded nor shipped. A part that cannot be decoded has no text;
+    the message keeps its others."""
     text = None
     if wanted:
-        raw = part.get_payload(decode=True)
-        text = str(raw, _charset(part), "replace") if raw else None
+        try:
+            raw = part.get_payload(decode=True)
+            text = str(raw, _charset(part), "replace") if raw else None
+        except Exception:  # noqa: BLE001 — codecs that refuse to decode (idna, undefined), broken payloads
+            text = None
     return {"idx": idx, "content_type": part.get_content_type(), "disposition": _header(part, "Content-Disposition"),
             "charset": part.get_content_charset(), "text": text}
 
@@ -150,7 +154,7 @@ def choose_body(parts: Column | str, multipart: Column | str | None = None, prof
     if multipart is None:
         return body
     mp = F.col(multipart) if isinstance(multipart, str) else multipart
-    single = F.element_at(conv, 1)
+    single = F.get(conv, F.lit(0))        # a message that could not be parsed has no part
     single_body = strip(F.when(_has_payload(single), single["conv"]).otherwise(F.lit("")))
     return F.when(mp, body).otherwise(F.coalesce(single_body, F.lit("")))
 

@@ -47,11 +47,14 @@ t AS (SELECT *, CASE WHEN length(body) < 30 THEN 'short_body' WHEN length(body)
                      ELSE 'passed' END AS o, {S.fingerprint('body')} AS fp FROM b)"""
 
 
-@register("ingest_funnel", _FUNNEL_BASE + """
+FUNNEL_SQL = _FUNNEL_BASE + """
 SELECT 'found' AS outcome, count(*) AS n FROM t
 UNION ALL SELECT o AS outcome, count(*) AS n FROM t WHERE o <> 'passed' GROUP BY o
 UNION ALL SELECT 'collected' AS outcome, count(DISTINCT fp) AS n FROM t WHERE o = 'passed'
-UNION ALL SELECT 'duplicate' AS outcome, count(*) - count(DISTINCT fp) AS n FROM t WHERE o = 'passed'""")
+UNION ALL SELECT 'duplicate' AS outcome, count(*) - count(DISTINCT fp) AS n FROM t WHERE o = 'passed'"""
+
+
+@register("ingest_funnel", FUNNEL_SQL)
 def ingest_funnel(spark, base):
     """A2 F1 F2 over every document (masked profile, no subject)."""
     d = with_computed(documents(spark, base, "doc_id", "text"), body=clean_masked("text"))

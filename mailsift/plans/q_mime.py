@@ -11,7 +11,7 @@ from ..operators.compute import with_computed
 from ..operators.mime import choose_body, header_field, parse_messages, parts_by_message
 from ..session import scratch_path
 from ..sources.eml import compose_message, scan_messages, write_messages
-from ..sources.tables import documents, pages
+from ..sources.tables import documents, pages, read_table
 from . import sqltext as S
 from .registry import register
 
@@ -54,16 +54,18 @@ def header_fields(spark, base):
 
 
 # part table: per document, parts in an order that depends on its language
-#   en: html, plain · es: plain, html · fr: short plain, html · de: attachment, html, plain
+#   en: html, plain · es: plain, html · fr: short plain, plain, html · de: attachment, html, plain
 # and an upper-case ATTACHMENT disposition (which is *not* skipped) for source src1.
 def part_table(spark, base):
     d = documents(spark, base, "doc_id", "lang", "source", "text")
     p = pages(spark, base, "page_id", "html")
-    plain_text = F.when(F.col("lang") == "fr", F.substring("text", 1, 15)).otherwise(F.col("text"))
     plain_idx = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).otherwise(0)
     plain_disp = F.when(F.col("source") == "src1", F.lit("ATTACHMENT; filename=b.txt")).otherwise(F.lit(""))
     plain = d.select(F.col("doc_id").alias("msg_id"), plain_idx.alias("idx"), F.lit("text/plain").alias("content_type"),
-                     plain_disp.alias("disposition"), F.lit("utf-8").alias("charset"), plain_text.alias("text"))
+                     plain_disp.alias("disposition"), F.lit("utf-8").alias("charset"), F.col("text"))
+    short = (d.where(F.col("lang") == "fr")
+             .select(F.col("doc_id").alias("msg_id"), F.lit(-1).alias("idx"), F.lit("text/plain").alias("content_type"),
+                     F.lit("").alias("disposition"), F.lit("utf-8").alias("charset"), F.substring("text", 1, 15).alias("text")))
     html = (d.join(p, d.doc_id == p.page_id)
             .select(F.col("doc_id").alias("msg_id"), F.when(F.col("lang") == "en", 0).otherwise(1).alias("idx"),
                     F.lit("text/html").alias("content_type"), F.lit("").alias("disposition"),
@@ -72,13 +74,15 @@ def part_table(spark, base):
            .select(F.col("doc_id").alias("msg_id"), F.lit(0).alias("idx"), F.lit("text/plain").alias("content_type"),
                    F.lit("attachment; filename=notes.txt").alias("disposition"), F.lit("utf-8").alias("charset"),
                    F.col("text")))
-    return plain.unionByName(html).unionByName(att)
+    return plain.unionByName(short).unionByName(html).unionByName(att)
 
 
 _PARTS_SQL = """(
 SELECT doc_id AS msg_id, CASE WHEN lang = 'en' THEN 1 WHEN lang = 'de' THEN 2 ELSE 0 END AS idx,
        'text/plain' AS content_type, CASE WHEN source = 'src1' THEN 'ATTACHMENT; filename=b.txt' ELSE '' END AS disposition,
-       CASE WHEN lang = 'fr' THEN substring(text, 1, 15) ELSE text END AS text FROM documents
+       text FROM documents
+UNION ALL
+SELECT doc_id, -1, 'text/plain', '', substring(text, 1, 15) FROM documents WHERE lang = 'fr'
 UNION ALL
 SELECT d.doc_id, CASE WHEN d.lang = 'en' THEN 0 ELSE 1 END, 'text/html', '', p.html
 FROM documents d JOIN pages p ON d.doc_id = p.page_id
@@ -122,6 +126,10 @@ def part_choice_compact(spark, base):
     return msgs.select("msg_id", choose_body("parts", profile="compact").alias("body"))
 
 
+#: Layouts of the messages made of the benchmark's items, and the numbers from which these are named.
+ODD_LAYOUTS = {"pdf_b64": 10**12, "bad_part": 2 * 10**12, "broken": 3 * 10**12}
+
+
 def message_fixture(spark, base):
     """Raw messages composed from documents (+ their page as the HTML part)."""
     d = documents(spark, base, "doc_id", "lang", "source", "text")
@@ -129,13 +137,28 @@ def message_fixture(spark, base):
     m = d.join(p, d.doc_id == p.page_id, "left")
     layout = (F.when(F.col("lang") == "de", F.lit("single_b64")).when(F.col("lang") == "en", F.lit("html_plain"))
               .when(F.col("lang") == "fr", F.lit("attach_html")).otherwise(F.lit("plain_html")))
-    msg = compose_message(F.col("doc_id"), F.col("source"), _subject(), F.col("text"), F.col("html"), layout)
-    return m.select("doc_id", msg.alias("message"))
-
-
-def ingest(spark, root: str, glob: str = "*.eml"):
-    """S1 → M1 → M3/M4 → M5/M7 → T11 → M8 → F1/F2 for both profiles."""
-    parsed = parse_messages(scan_messages(spark, root, glob))
+    sent = m.select("doc_id", "source", "text", "html", layout.alias("layout"))
+    # every benchmark item as one part that is no text, behind two undecodable parts, and in a broken message
+    odd = read_table(spark, base, "benchmark", "item_id", "text").withColumn("kind", F.explode(F.array(*map(F.lit, ODD_LAYOUTS))))
+    first = F.element_at(F.create_map(*[F.lit(x) for k, v in ODD_LAYOUTS.items() for x in (k, v)]), F.col("kind"))
+    odd = odd.select((first + F.col("item_id")).alias("doc_id"), F.lit("bench").alias("source"), "text",
+                     F.lit(None).cast("string").alias("html"), F.col("kind").alias("layout"))
+    every = sent.unionByName(odd)
+    msg = compose_message(F.col("doc_id"), F.col("source"), _subject(), F.col("text"), F.col("html"), F.col("layout"))
+    return every.select("doc_id", msg.alias("message"))
+
+
+def clean_messages(messages):
+    """The masked profile of scanned or arriving messages: parsed, ``body_m`` and the composed ``email_text``."""
+    bodies = with_computed(parse_messages(messages), body_masked=choose_body("parts", "multipart", "masked"))
+    staged = with_computed(bodies, subject_m=clean_masked("subject", P.MASKED_SUBJECT_MAX_CHARS),
+                           body_m=clean_masked("body_masked", P.MASKED_BODY_MAX_CHARS))
+    return staged.withColumn("email_text", compose("subject_m", "body_m"))
+
+
+def ingest(messages):
+    """M1 → M3/M4 → M5/M7 → T11 → M8 → F1/F2 for both profiles, of scanned or arriving messages."""
+    parsed = parse_messages(messages)
     bodies = with_computed(parsed, body_masked=choose_body("parts", "multipart", "masked"),
                            body_compact=choose_body("parts", "multipart", "compact"))
     subj_m = clean_masked("subject", P.MASKED_SUBJECT_MAX_CHARS)
@@ -151,7 +174,7 @@ def ingest(spark, root: str, glob: str = "*.eml"):
                       .when(F.length("body_compact") < P.COMPACT_MIN_BODY, F.lit("short_body"))
                       .when(F.length(compact_text) < P.MIN_TEXT_LENGTH, F.lit("short_text"))
                       .otherwise(F.lit("ok")))
-    return staged.select(F.regexp_extract("message_id", r"<(\d+)@", 1).cast("bigint").alias("doc_id"),
+    return staged.select(F.regexp_extract("message_id", r"<(\d+)@", 1).try_cast("bigint").alias("doc_id"),
                          "subject", "from_addr", "to_addr", "date", "return_path",
                          status.alias("masked_status"), masked_text.alias("email_text_masked"),
                          compact_status.alias("compact_status"), compact_text.alias("email_text_compact"))
@@ -179,8 +202,11 @@ b AS (SELECT d.doc_id, d.source, {_SUBJ_SQL.replace("text", "d.text")} AS subjec
              CASE WHEN d.lang = 'de' THEN {S.strip("d.text")} ELSE coalesce(m.body, '') END AS body_masked,
              CASE WHEN d.lang = 'de' THEN {S.strip("d.text")} ELSE coalesce(k.body, '') END AS body_compact
       FROM documents d LEFT JOIN m ON m.msg_id = d.doc_id LEFT JOIN k ON k.msg_id = d.doc_id),
+o AS (SELECT * FROM b UNION ALL
+      SELECT first + item_id, 'bench', {_SUBJ_SQL}, {S.strip("text")}, {S.strip("text")} FROM benchmark,
+             (VALUES ({ODD_LAYOUTS["pdf_b64"]}), ({ODD_LAYOUTS["bad_part"]})) x(first)),
 c AS (SELECT *, {S.clean_masked("subject", P.MASKED_SUBJECT_MAX_CHARS)} AS subject_m,
-             {S.clean_masked("body_masked", P.MASKED_BODY_MAX_CHARS)} AS body_m FROM b),
+             {S.clean_masked("body_masked", P.MASKED_BODY_MAX_CHARS)} AS body_m FROM o),
 t AS (SELECT *, {S.compose("subject_m", "body_m")} AS masked_text,
              {S.clean_compact("(" + S.compose("subject", "body_compact") + ")")} AS compact_text FROM c)
 SELECT doc_id, subject, source || '@example.org' AS from_addr, 'inbox@example.com' AS to_addr,
@@ -188,13 +214,18 @@ SELECT doc_id, subject, source || '@example.org' AS from_addr, 'inbox@example.co
        {status("body_m", P.MASKED_MIN_BODY, "masked_text")} AS masked_status, masked_text AS email_text_masked,
        {status("body_compact", P.COMPACT_MIN_BODY, "compact_text")} AS compact_status,
        compact_text AS email_text_compact
-FROM t"""
+FROM t
+UNION ALL
+SELECT NULL, '', '', '', '', '', 'error: IndexError', '', 'error: IndexError', '' FROM benchmark"""
+
+
+INGEST_SQL = _ingest_sql()
 
 
-@register("mime_ingest", _ingest_sql())
+@register("mime_ingest", INGEST_SQL)
 def mime_ingest(spark, base):
     """Compose messages from the tables, write one file each, scan the
     tree, parse, choose the body and clean it. The SQL says from the tables what must come out."""
     root = scratch_path(spark, "messages")
     write_messages(message_fixture(spark, base), root)
-    return ingest(spark, root, "*.eml")
+    return ingest(scan_messages(spark, root))

@@ -4,13 +4,18 @@ Each is checked against the batch answer of the same operator."""
 from __future__ import annotations
 
 from ..functions import patterns as P
+from ..functions.text import clean_masked, fingerprint
 from ..operators.classify import nb_fit
+from ..operators.compute import with_computed
 from ..operators.rules import KEYWORD_RULES
 from ..session import scratch_path
+from ..sources.eml import stream_messages, write_messages
 from ..sources.tables import documents
 from ..streaming import jobs as W
 from . import sqltext as S
 from .corpus import prepare_corpus
+from .q_dataset import FUNNEL_SQL
+from .q_mime import INGEST_SQL, clean_messages, ingest, message_fixture
 from .q_model import _nb_sql
 from .registry import register
 
@@ -48,16 +53,44 @@ def stream_score(spark, base):
 @register("stream_dedup", f"SELECT min(doc_id) AS doc_id, {S.fingerprint('text')} AS fp FROM documents GROUP BY 2")
 def stream_dedup(spark, base):
     """The rows that cross-batch deduplication keeps (= batch D1's)."""
-    from ..functions.text import fingerprint
     s = _staged(spark, base).select("doc_id", fingerprint("text").alias("fp"))
     return W.survivors(spark, W.dedup_batches(s, "stream-dedup")).select("doc_id", "fp")
 
 
-@register("stream_funnel", f"""
-SELECT CASE WHEN length(body) < 30 THEN 'short_body' WHEN length(body) < 50 THEN 'short_text' ELSE 'passed' END
-       AS outcome, count(*) AS n
-FROM (SELECT {S.clean_masked('text')} AS body FROM documents) b GROUP BY 1""")
+@register("stream_funnel", FUNNEL_SQL)
 def stream_funnel(spark, base):
-    """Running outcome counts (complete mode), final state after all files."""
-    sink = W.run_to_parquet(W.running_funnel(_staged(spark, base)), "stream-funnel", "complete")
-    return spark.read.parquet(sink)
+    """The funnel after all files, duplicates included (= batch A2's)."""
+    from pyspark.sql import functions as F
+    staged = with_computed(_staged(spark, base), body=clean_masked("text"))
+    rows = staged.select("body", fingerprint("body").alias("fp"))
+    return W.funnel_so_far(spark, W.running_funnel(rows, "stream-funnel", "body", "body", "fp")).select(
+        "outcome", F.col("n").cast("bigint").alias("n"))
+
+
+@register("stream_ingest", INGEST_SQL)
+def stream_ingest(spark, base):
+    """W1 from message files: the files arrive, are parsed, chosen and cleaned (= batch ingest's rows)."""
+    root = scratch_path(spark, "stream-messages")
+    n = write_messages(message_fixture(spark, base), root)
+    arriving = stream_messages(spark, root, max_files_per_trigger=max(1, -(-n // 4)))
+    sink, _ = W.append_batches(ingest(arriving), "stream-ingest")
+    return spark.read.parquet(sink).drop("batch")
+
+
+@register("stream_message_funnel", f"""
+WITH r AS ({INGEST_SQL}),
+f AS (SELECT CASE WHEN masked_status LIKE 'error%' THEN 'parse_error' WHEN masked_status = 'ok' THEN 'passed' ELSE masked_status END AS o,
+             email_text_masked AS t FROM r)
+SELECT 'found' AS outcome, count(*) AS n FROM f
+UNION ALL SELECT o, count(*) FROM f WHERE o <> 'passed' GROUP BY o
+UNION ALL SELECT 'collected', count(DISTINCT t) FROM f WHERE o = 'passed'
+UNION ALL SELECT 'duplicate', count(*) - count(DISTINCT t) FROM f WHERE o = 'passed'""")
+def stream_message_funnel(spark, base):
+    """The funnel of arriving message files, with those that cannot be parsed."""
+    from pyspark.sql import functions as F
+    root = scratch_path(spark, "stream-messages")
+    n = write_messages(message_fixture(spark, base), root)
+    arriving = clean_messages(stream_messages(spark, root, max_files_per_trigger=max(1, -(-n // 4)))).select(
+        F.col("body_m").alias("body"), "email_text", fingerprint("email_text").alias("fp"), (F.col("parse_status") == "ok").alias("parsed"))
+    sink = W.running_funnel(arriving, "message-funnel", "body", "email_text", "fp", parsed_col="parsed")
+    return W.funnel_so_far(spark, sink).select("outcome", F.col("n").cast("bigint").alias("n"))

@@ -23,6 +23,16 @@ def scan_messages(spark: SparkSession, root: str, glob: str = "*.eml") -> DataFr
             .load(root))
 
 
+MESSAGE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def stream_messages(spark: SparkSession, root: str, glob: str = "*.eml", max_files_per_trigger: int = 1000) -> DataFrame:
+    """S1 as a stream: files matching ``glob`` that arrive below ``root``."""
+    return (spark.readStream.format("binaryFile").schema(MESSAGE_SCHEMA)
+            .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            .option("maxFilesPerTrigger", max_files_per_trigger).load(root))
+
+
 def _enc_word(s: Column) -> Column:
     """RFC 2047 base64 encoded word for a UTF-8 header value."""
     one_line = F.regexp_replace(F.base64(F.encode(s, "UTF-8")), r"[\r\n]", "")
@@ -31,19 +41,21 @@ def _enc_word(s: Column) -> Column:
 
 def compose_message(doc_id: Column, source: Column, subject: Column, text: Column, html: Column,
                     layout: Column) -> Column:
-    """A raw message. ``layout``: 'plain_html', 'html_plain', 'attach_html', 'single_b64'."""
+    """A raw message. ``layout``: 'plain_html', 'html_plain', 'attach_html', 'single_b64', 'pdf_b64' (one
+    part that is no text), 'bad_part' (a part in a character set that cannot be decoded before the
+    plain one), 'broken' (an address that the parser refuses)."""
     b = F.concat(F.lit("=_b_"), doc_id.cast("string"))
     head = F.concat(
         F.lit("Message-ID: <"), doc_id.cast("string"), F.lit("@mailsift.example>" + CRLF),
-        F.lit("From: "), source, F.lit("@example.org" + CRLF),
+        F.lit("From: "), F.when(layout == "broken", F.lit('"')).otherwise(F.concat(source, F.lit("@example.org"))), F.lit(CRLF),
         F.lit("To: inbox@example.com" + CRLF),
         F.lit("Subject: "), _enc_word(subject), F.lit(CRLF),
         F.lit("Date: Mon, 01 Jan 2024 00:00:00 +0000" + CRLF),
         F.lit("Return-Path: <"), source, F.lit("@example.org>" + CRLF),
         F.lit("MIME-Version: 1.0" + CRLF))
 
-    def part(ctype: str, body: Column, extra: str = "") -> Column:
-        return F.concat(F.lit("--"), b, F.lit(CRLF + f"Content-Type: {ctype}; charset=utf-8" + CRLF + extra
+    def part(ctype: str, body: Column, extra: str = "", charset: str = "utf-8") -> Column:
+        return F.concat(F.lit("--"), b, F.lit(CRLF + f"Content-Type: {ctype}; charset={charset}" + CRLF + extra
                                                + "Content-Transfer-Encoding: 8bit" + CRLF + CRLF),
                         body, F.lit(CRLF))
 
@@ -52,13 +64,15 @@ def compose_message(doc_id: Column, source: Column, subject: Column, text: Colum
     att = part("text/plain", text, "Content-Disposition: attachment; filename=notes.txt" + CRLF)
     multipart_head = F.concat(F.lit('Content-Type: multipart/mixed; boundary="'), b, F.lit('"' + CRLF + CRLF))
     end = F.concat(F.lit("--"), b, F.lit("--" + CRLF))
-    single = F.concat(F.lit("Content-Type: text/plain; charset=utf-8" + CRLF
-                            + "Content-Transfer-Encoding: base64" + CRLF + CRLF),
+    bad = F.concat(part("text/plain", text, charset="idna"), part("text/plain", text, charset="undefined"))
+    ctype = F.when(layout == "pdf_b64", F.lit("application/pdf")).otherwise(F.lit("text/plain; charset=utf-8"))
+    single = F.concat(F.lit("Content-Type: "), ctype, F.lit(CRLF + "Content-Transfer-Encoding: base64" + CRLF + CRLF),
                       F.base64(F.encode(text, "UTF-8")), F.lit(CRLF))
-    return F.concat(head, F.when(layout == "single_b64", single).otherwise(F.concat(
+    return F.concat(head, F.when(layout.isin("single_b64", "pdf_b64"), single).otherwise(F.concat(
         multipart_head,
-        F.when(layout == "plain_html", F.concat(plain, htm))
+        F.when(layout.isin("plain_html", "broken"), F.concat(plain, htm))
         .when(layout == "html_plain", F.concat(htm, plain))
+        .when(layout == "bad_part", F.concat(bad, plain))
         .otherwise(F.concat(att, htm, plain)),
         end)))
 

@@ -55,8 +55,9 @@ def test_train_on_builtin_sample(spark, tmp_path):
 def test_label_job_agrees_with_ingest_and_subject_flag(spark, eml_dir, tmp_path):
     from mailsift.plans.jobs import label_eml_directory
     from mailsift.plans.q_mime import ingest
+    from mailsift.sources.eml import scan_messages
     from mailsift.sources.labelled import read_labelled_csv
-    ok = ingest(spark, eml_dir).where(F.col("compact_status") == "ok")
+    ok = ingest(scan_messages(spark, eml_dir)).where(F.col("compact_status") == "ok")
     stats = label_eml_directory(spark, eml_dir, str(tmp_path / "a.csv"), label=0)
     assert stats["processed"] == ok.count()
     no_subj = str(tmp_path / "b.csv")

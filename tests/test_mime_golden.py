@@ -50,6 +50,10 @@ CASES = [
      "Contraseña caduca hoy", "Contraseña caduca hoy"),
     ("unknown_charset", single("text/plain", "plain ascii text", None, "x-none"), "plain ascii text", "plain ascii text"),
     ("pdf", single("application/pdf", "%PDF-1.4 raw"), "%PDF-1.4 raw", "%PDF-1.4 raw"),
+    ("bad_part", multipart([("text/plain; charset=idna; x", PL, None), ("text/plain; charset=undefined; x", PL, None),
+                            ("text/plain", "the good part of this message", None)]),
+     "the good part of this message", "the good part of this message"),
+    ("bad_single", single("text/plain", "whatever is in here", None, "undefined"), "", ""),
     ("qp_residue_html", single("text/html", '<a href=3D"x">go=20now</a> a=\r\nb', "7bit"), "go=20now a= b", "go now ab"),
 ]
 
@@ -94,7 +98,9 @@ def test_ingest_matches_tables(spark):
     from mailsift.sources.tables import documents
     out = queries()["mime_ingest"](spark, "/root/testdata/sf0.001")
     docs = documents(spark, "/root/testdata/sf0.001", "doc_id", "lang", "text")
-    assert out.count() == docs.count()
+    odd = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    assert out.count() == docs.count() + 3 * odd          # each item as no text, behind bad parts, and broken
+    assert out.where(F.col("masked_status").startswith("error")).count() == odd
     # Spanish messages: plain part first and long enough, so the masked body is the cleaned text
     es = docs.where(F.col("lang") == "es").select("doc_id", clean_masked("text").alias("exp"))
     j = out.join(es, "doc_id").where(F.col("masked_status") == "ok")
