@@ -77,6 +77,58 @@ def boilerplate_rate(df: DataFrame, text_col: str, group_cols=("label",)) -> Dat
     return df.groupBy(*group_cols).agg(*aggs)
 
 
+FRAMES = ("opening", "addressee", "closing", "signature")
+#: Values of a frame that the sketch of frequent items follows, and those it may name.
+FRAME_COUNTERS, FRAME_CANDIDATES = 20_000, 1_000
+
+
+def frame_values(text: Column | str) -> dict[str, Column]:
+    """The places of a message where formulas stand: the first word of its first line (lower case) and
+    the capitalised word after it, its last line but one and its last line. Blank lines and a subject
+    line at the top do not count; a message of fewer than three lines has no closing and no signature."""
+    t = F.col(text) if isinstance(text, str) else text
+    rows = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = F.filter(rows, lambda x, i: (i > 0) | ~x.startswith("Subject:"))
+    first = F.get(rows, F.lit(0))
+    from_end = lambda k: F.when(F.size(rows) >= 3, F.get(rows, F.size(rows) - k))
+    return {"opening": F.lower(F.regexp_extract(first, r"^(\p{L}+)", 1)),
+            "addressee": F.regexp_extract(first, r"^\p{L}+ (\p{Lu}\p{L}+)", 1),
+            "closing": from_end(2), "signature": from_end(1)}
+
+
+def frequent_frames(df: DataFrame, text_col: str, min_share: float = 0.02) -> DataFrame:
+    """A5: ``(frame, value, n)``, the values that stand in one frame of at least ``min_share`` of all rows.
+
+    Candidates come from a mergeable sketch of frequent items per frame: with ``FRAME_COUNTERS``
+    counters it misses no value of the share asked for. The candidates, at most
+    ``FRAME_CANDIDATES`` per frame, are then counted exactly."""
+    if min_share * FRAME_CANDIDATES < 1:
+        raise ValueError(f"min_share below 1/{FRAME_CANDIDATES} needs more candidates")
+    total = df.count()
+    values = _frame_rows(df, text_col)
+    found = values.groupBy("frame").agg(F.expr(f"approx_top_k(value, {FRAME_CANDIDATES}, {FRAME_COUNTERS})").alias("top")) \
+        .select("frame", F.explode("top").alias("e")).select("frame", F.col("e.item").alias("value"))
+    exact = values.join(F.broadcast(found), ["frame", "value"]).groupBy("frame", "value").agg(F.count(F.lit(1)).alias("n"))
+    return exact.where(F.col("n") >= F.lit(float(min_share)) * total)
+
+
+def _frame_rows(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(k).alias("frame"), v.alias("value")) for k, v in frame_values(text_col).items()])
+    return df.select(*keep, F.inline(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")))
+
+
+def found_boilerplate_rate(df: DataFrame, text_col: str, group_cols=("label",), min_share: float = 0.02) -> DataFrame:
+    """A5: share of rows per group with a frequent value in each frame, and in any, the frequent values being
+    those found in ``df`` itself (:func:`frequent_frames`). Values are matched in the row, against
+    the found ones as one small list per frame."""
+    found = frequent_frames(df, text_col, min_share).select("frame", "value").collect()      # at most 1 / min_share a frame
+    values = frame_values(text_col)
+    flags = {k: F.coalesce(values[k].isin([r["value"] for r in found if r["frame"] == k]), F.lit(False)) for k in FRAMES}
+    any_flag = flags["opening"] | flags["addressee"] | flags["closing"] | flags["signature"]
+    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n"),
+                                       *[F.round(F.avg(c.cast("double")), 6).alias(f"{k}_rate") for k, c in {**flags, "any": any_flag}.items()])
+
+
 def refusal_flag(text: Column | str) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     return t.rlike(REFUSAL_PATTERN)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..session import materialize
 from .features import explode_tokens
+from .joins import heavy_of_counts, heavy_of_shares, split_join
+
 
 def _label_map() -> Column:
     return F.create_map(*[x for k, v in P.LABEL_NAMES for x in (F.lit(k), F.lit(v))])
@@ -103,12 +105,14 @@ def nb_log_scores(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col
                   id_col: str = "doc_id", max_tokens: int = P.MAX_TOKENS) -> DataFrame:
     """Per document: ``s0, s1`` = log prior + Σ tf · log P(token | class) over known tokens.
 
-    One pass: documents are exploded with ``posexplode_outer`` (a document without tokens
-    keeps a null-token row), term counts are joined to the model with a left join (unknown
-    tokens contribute nothing) and summed per document.
+    Documents are exploded with ``posexplode_outer`` (a document without tokens keeps a null-token
+    row), term counts are joined to the model with a left join (unknown tokens contribute nothing),
+    the frequent tokens cut into pieces, and summed per document.
     """
     tc = doc_term_counts(docs, text_col, id_col, None, max_tokens, outer=True)
-    joined = tc.join(table, "token", "left")
+    # a token's probability under the model is its share of the rows to expect
+    heavy = heavy_of_shares(table.select("token", F.exp(F.greatest("lp_0", "lp_1")).alias("share")), ["token"], "share")
+    joined = split_join(tc, table, ["token"], heavy, [id_col])
     sums = joined.groupBy(id_col).agg(F.sum(F.col("tf") * F.col("lp_0")).alias("_s0"),
                                       F.sum(F.col("tf") * F.col("lp_1")).alias("_s1"))
     lp = {r["label"]: r["log_prior"] for r in priors.collect()}  # one row per class
@@ -125,6 +129,45 @@ def nb_predict(docs: DataFrame, table: DataFrame, priors: DataFrame, text_col: s
                          "pred", "pred_label", "score")
 
 
+def nb_leave_one_out(docs: DataFrame, group_col: str = "source", text_col: str = "email_text", label_col: str = "label",
+                     id_col: str = "doc_id", alpha: float = 1.0, max_tokens: int = P.MAX_TOKENS) -> DataFrame:
+    """P5 + C1: every document scored by the model of all *other* groups: ``(id, group, label, p_1, pred)``.
+
+    The tokens are counted once per (group, token, class). A group's model is the total less its own
+    counts, so no group is counted again and no model is fitted twice; a token that only the group
+    has is unknown to it, as it would be to a model that never saw the group.
+    """
+    toks = explode_tokens(docs, text_col, (id_col, group_col, label_col), (), max_tokens, outer=True)
+    tc = materialize(toks.groupBy(id_col, group_col, label_col, "token").agg(F.count("token").alias("tf")), "loo-counts")
+    of = lambda y: F.sum(F.when(F.col(label_col) == y, F.col("tf")).otherwise(0))
+    own = materialize(tc.where(F.col("token").isNotNull()).groupBy(group_col, "token").agg(
+        of(0).alias("c0"), of(1).alias("c1"), F.count(F.lit(1)).alias("n_docs")), "loo-own")
+    total = own.groupBy("token").agg(F.sum("c0").alias("a0"), F.sum("c1").alias("a1"), F.count(F.lit(1)).alias("n_groups"))
+    heavy = heavy_of_counts(total.select("token", "n_groups"), ["token"], "n_groups")
+    rest = materialize(split_join(own, total, ["token"], heavy, [group_col], "inner").select(
+        group_col, "token", "n_docs", "c0", "c1", (F.col("a0") - F.col("c0")).alias("r0"), (F.col("a1") - F.col("c1")).alias("r1")), "loo-rest")
+    all0, all1, v = total.agg(F.sum("a0"), F.sum("a1"), F.count(F.lit(1))).first()
+    n_of = {y: n for y, n in docs.groupBy(label_col).count().collect()}         # one row per class
+    rows_per = docs.groupBy(group_col).agg(F.count_if(F.col(label_col) == 0).alias("n0"), F.count_if(F.col(label_col) == 1).alias("n1"))
+    sums = rest.groupBy(group_col).agg(F.sum("c0").alias("g0"), F.sum("c1").alias("g1"),
+                                       F.count_if(F.col("r0") + F.col("r1") == 0).alias("only_here"))
+    left0, left1 = F.lit(n_of.get(0, 0)) - F.col("n0"), F.lit(n_of.get(1, 0)) - F.col("n1")
+    gap = F.when((left0 == 0) | (left1 == 0), 1).otherwise(0)           # an absent class gets a smoothed prior
+    groups = rows_per.join(sums, group_col, "left").select(
+        group_col, *[F.log((left + gap) / (left0 + left1 + 2 * gap)).alias(f"prior{y}") for y, left in ((0, left0), (1, left1))],
+        *[(F.lit(float(a or 0)) - F.coalesce(f"g{y}", F.lit(0)) + alpha * (F.lit(float(v)) - F.coalesce("only_here", F.lit(0)))).alias(f"t{y}")
+          for y, a in ((0, all0), (1, all1))])
+    heavy = heavy_of_counts(rest, [group_col, "token"], "n_docs")
+    known = rest.where(F.col("r0") + F.col("r1") > 0).select(group_col, "token", "r0", "r1", F.lit(True).alias("known"))
+    joined = split_join(tc, known, [group_col, "token"], heavy, [id_col])
+    per_doc = joined.groupBy(id_col, group_col, label_col).agg(
+        *[F.sum(F.when(F.col("known"), F.col("tf") * F.log(F.col(f"r{y}") + alpha))).alias(f"l{y}") for y in (0, 1)],
+        F.sum(F.when(F.col("known"), F.col("tf")).otherwise(0)).alias("n_known"))
+    scored = per_doc.join(groups, group_col).withColumn("logits", F.array(*[
+        F.col(f"prior{y}") + F.coalesce(f"l{y}", F.lit(0.0)) - F.col("n_known") * F.log(F.col(f"t{y}")) for y in (0, 1)]))
+    return predict(scored).select(id_col, group_col, label_col, F.col("p_positive").alias("p_1"), "pred")
+
+
 def nb_explain(docs: DataFrame, table: DataFrame, text_col: str = "email_text", id_col: str = "doc_id",
                top_k: int = P.TOP_K, max_tokens: int = P.MAX_TOKENS) -> DataFrame:
     """E1 over C1: each token's contribution ``tf · (lp_1 − lp_0)`` toward the positive

@@ -81,6 +81,28 @@ def truncation_report(df: DataFrame, text_col: str, max_tokens: int = P.MAX_TOKE
                  F.max(n).cast("bigint").alias("max_tokens")))
 
 
+def tfidf_weights(df: DataFrame, text_col: str, id_col: str = "doc_id", min_df: int = 1) -> DataFrame:
+    """``(id, token_id, token, weight)``, the sparse vectors of whole texts by rows: term frequency times
+    ``ln((N + 1) / (df + 1))``, at the token's position in the vocabulary (from 1). Frequent tokens
+    are cut into pieces for the join with the vocabulary."""
+    from .joins import heavy_of_counts, split_join
+    n = df.count()
+    vocab = vocabulary(doc_token_sets(df, text_col, (id_col,), ()), "token", min_df, id_col, distinct_rows=True)
+    idf = vocab.withColumn("idf", F.log((F.lit(float(n)) + 1) / (F.col("doc_freq") + 1)))
+    counts = explode_tokens(df, text_col, (id_col,), ()).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    heavy = heavy_of_counts(vocab, ["token"], "doc_freq")
+    return split_join(counts, idf, ["token"], heavy, [id_col], "inner") \
+        .select(id_col, "token_id", "token", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def sparse_vectors(weights: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, indices array<bigint>, values array<double>)`` by ascending position, from ``tfidf_weights``;
+    a document without tokens has no row."""
+    pairs = F.array_sort(F.collect_list(F.struct("token_id", "weight")))
+    return weights.groupBy(id_col).agg(pairs.alias("_p")).select(
+        id_col, F.transform("_p", lambda p: p["token_id"]).alias("indices"), F.transform("_p", lambda p: p["weight"]).alias("values"))
+
+
 def tfidf_stages(text_col: str = "email_text", num_features: int = 1 << 18):
     """MLlib stages text → tokens → hashed term frequencies → IDF."""
     from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer

@@ -104,6 +104,49 @@ def boilerplate_rate(spark, base):
     return A.boilerplate_rate(neg, "email_text", ("label",))
 
 
+# synthetic negatives and the cleaned positives they are to be told from
+_AUDITED_SQL = CLEAN_LABELLED_SQL + f""",
+audited AS (SELECT 0 AS label, email_text FROM ({synth_sql(_POS_SQL + ' p', 'doc_id')}) g
+            UNION ALL SELECT label, email_text FROM uniq WHERE label = 1),
+ls AS (SELECT row_number() OVER () AS rid, label, list_filter(list_filter(
+         list_transform(string_split(email_text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''),
+         lambda x, i: i > 1 OR NOT starts_with(x, 'Subject:')) AS rows FROM audited),
+fr AS (SELECT rid, label, lower(regexp_extract(rows[1], '^(\\p{{L}}+)', 1)) AS opening,
+         regexp_extract(rows[1], '^\\p{{L}}+ (\\p{{Lu}}\\p{{L}}+)', 1) AS addressee,
+         CASE WHEN len(rows) >= 3 THEN rows[len(rows) - 1] END AS closing, CASE WHEN len(rows) >= 3 THEN rows[len(rows)] END AS signature
+       FROM ls),
+fv AS (SELECT rid, label, unnest(['opening', 'addressee', 'closing', 'signature']) AS frame,
+         unnest([opening, addressee, closing, signature]) AS value FROM fr),
+found AS (SELECT frame, value, count(*) AS n FROM fv WHERE coalesce(value, '') <> '' GROUP BY ALL
+          HAVING count(*) >= CAST(0.02 AS DOUBLE) * (SELECT count(*) FROM fr)),
+hit AS (SELECT rid, fv.label, frame, found.value IS NOT NULL AS hit FROM fv LEFT JOIN found USING (frame, value))"""
+
+
+def audited_mail(spark, base):
+    neg = synthetic_emails(spark, base).select("email_text", F.lit(0).alias("label"))
+    rows = dedup_keep_first(clean_labelled(spark, base), "fp", "doc_id", scope=("label",))
+    return neg.unionByName(rows.where(F.col("label") == 1).select("email_text", "label"))
+
+
+@register("frequent_frames", _AUDITED_SQL + " SELECT frame, value, n FROM found")
+def frequent_frames(spark, base):
+    """A5: the openings, addressees, closings and signatures that repeat, as found in the mails."""
+    return A.frequent_frames(audited_mail(spark, base), "email_text")
+
+
+@register("found_boilerplate_rate", _AUDITED_SQL + """,
+rowhit AS (SELECT rid, label, max(hit) AS any_hit FROM hit GROUP BY ALL),
+per AS (SELECT label, frame, round(avg(CAST(hit AS INTEGER)), 6) AS rate FROM hit GROUP BY ALL)
+SELECT label, count(*) AS n, (SELECT rate FROM per p WHERE p.label = r.label AND frame = 'opening') AS opening_rate,
+       (SELECT rate FROM per p WHERE p.label = r.label AND frame = 'addressee') AS addressee_rate,
+       (SELECT rate FROM per p WHERE p.label = r.label AND frame = 'closing') AS closing_rate,
+       (SELECT rate FROM per p WHERE p.label = r.label AND frame = 'signature') AS signature_rate,
+       round(avg(CAST(any_hit AS INTEGER)), 6) AS any_rate FROM rowhit r GROUP BY label""")
+def found_boilerplate_rate(spark, base):
+    """A5: how many mails of each class carry a frame that was found to repeat."""
+    return A.found_boilerplate_rate(materialize(audited_mail(spark, base)), "email_text")
+
+
 @register("balanced_corpus_job", CLEAN_LABELLED_SQL + f""",
 pos AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {S.hash_key('cap:42:', 'doc_id')}, doc_id) AS rn
         FROM uniq WHERE label = 1) c WHERE rn <= {positive_cap(2000, 1.0)})
