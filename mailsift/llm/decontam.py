@@ -7,52 +7,63 @@ word insertions, deletions and substitutions. A document leaks an item when a pa
 The CGK random walk embeds a sequence into a longer one in which edits become substitutions: at
 step j it writes the word it stands on and moves on if bit j of that word's hash is set. Two
 sequences that differ by few edits soon walk in step again, so most coordinates agree. Bit sampling
-takes ``SAMPLES`` coordinates of the first ``STEPS``; ``repetitions`` independent walks make the
-chance that some anchor of a leaked item collides as high as wanted (``repetitions_for`` measures
-it, with the item inside other text). Windows start at every word of a document, and anchors at
-every word of an item, so an edit in one place leaves the other anchors untouched.
+takes some coordinates of a walk, one from each of equal parts; repeated walks make the chance that
+some anchor of a leaked item collides as high as wanted. Windows start at every word of a document,
+and anchors at every word of an item, so an edit in one place leaves the other anchors untouched.
 
-Whatever the walks miss, equal runs of words find: an item that may have ``e`` edits is cut into
-``e + 1`` pieces, and an edit changes at most one of them, so some piece stands in the document as
-it is. Every run of a piece's length in a document is looked up, so no leak is left to chance.
+Walks are shorter for shorter items (``WALKS``), so that they stay inside the item. How many are
+taken follows from ``recall``: ``repetitions_for`` measures, for each length among the items, how many
+walks find that share of items with all allowed edits inside other text, and a kind of walk is
+repeated as often as its worst length needs. At 0.95 the walks alone find 0.9 or more at every length
+from 8 words on (two or three walks of 8 steps, one or two of 12, two of 20).
+
+What the walks leave is found by equal runs of words: an item that may have ``e`` edits is cut into
+``e + 1`` pieces, and an edit changes at most one of them, so some piece stands in the document as it
+is. Every run of a piece's length in a document is looked up, so no leak is left to chance.
+``by_walk`` tells which leaks the walks found. Items too short for an edit are one piece.
 
 All windows of a batch are embedded together: the walk from position p at step j is the walk from p
-or p + 1 at step j + 1, so a walk of ``STEPS`` steps for all positions is ``STEPS`` passes over the
-word array from the last step to the first. A collision names an item and an alignment; the
+or p + 1 at step j + 1, so a walk of n steps for all positions is n passes over the word array from the last step to the first. A collision names an item and an alignment; the
 item-sized window there, joined with those it overlaps, is verified by exact edit distance (free
 ends in the document).
 
 Documents are only read: no shuffle. Items are sent to the tasks in blocks of at most
 ``BLOCK_BYTES`` of text; a larger benchmark takes more passes over the documents.
 
-Null or empty texts leak nothing. Items of fewer than ``MIN_ITEM_WORDS`` words leak where their words
-stand unchanged; items without a word, empty or null name no leak. Repeated items each give a row.
-Repeated documents are judged one by one.
+Null or empty texts leak nothing. Items without a word, empty or null name no leak. Repeated items each
+give a row. Repeated documents are judged one by one. Ids are of any type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Words, map_batches, mix, seeds, window_hashes
 
-STEPS = 20
-SAMPLES = 5
-REPETITIONS = 4
+
+class Walk(NamedTuple):
+    steps: int
+    samples: int
+
+
+#: Kinds of walk by the least words of an item; each step moves on by half a word on average.
+WALKS = ((25, Walk(20, 5)), (14, Walk(12, 4)), (0, Walk(8, 4)))
+LONGEST_WALK = 20
+RECALL = 0.95
+#: Walks of a kind, at most, and trials per length, when their number is measured.
+MOST_WALKS, TRIALS = 12, 300
 MAX_EDITS = 0.2
-#: Shorter items have to stand in a document unchanged.
-MIN_ITEM_WORDS = 8
 #: Words of a piece that are compared, at most (the verification reads all).
 PIECE_WORDS = 8
 BLOCK_BYTES = 32 << 20
-#: Words at the end of an item where no anchor starts.
-TAIL = 5
 CHUNK = 1 << 15
 _TABLE_BITS = 22
 
@@ -68,22 +79,33 @@ class Leak(NamedTuple):
     edits: int
     n_words: int
     start: int
+    by_walk: bool
+
+
+def walk_of(n: int) -> Walk:
+    """The kind of walk for items of ``n`` words."""
+    return next(walk for least, walk in WALKS if n >= least)
 
 
-def coordinates(repetition: int) -> list[int]:
-    """The sampled steps of a walk: one in each of ``SAMPLES`` equal parts."""
-    rng = np.random.Generator(np.random.PCG64(900 + repetition))
-    width = STEPS // SAMPLES
-    return [int(k * width + rng.integers(width)) for k in range(SAMPLES)]
+def anchors_of(n: int) -> int:
+    """The words of an item where anchors start: not so near its end that most walks leave it."""
+    return max(n - walk_of(n).steps // 4, 0)
 
 
-def walk_keys(words: np.ndarray, repetition: int) -> np.ndarray:
+def coordinates(walk: Walk, repetition: int) -> list[int]:
+    """The sampled steps of a walk: one in each of equal parts."""
+    rng = np.random.Generator(np.random.PCG64(900 + 100 * walk.steps + repetition))
+    width = walk.steps // walk.samples
+    return [int(k * width + rng.integers(width)) for k in range(walk.samples)]
+
+
+def walk_keys(words: np.ndarray, walk: Walk, repetition: int) -> np.ndarray:
     """The sampled coordinates of the walks from every position, hashed to 32 bits. Word 0 (a gap,
     or what lies behind the last word) stops a walk."""
     n = len(words)
-    factor = dict(zip(coordinates(repetition), seeds(SAMPLES, 800 + repetition, odd=True).astype(np.uint32)))
+    factor = dict(zip(coordinates(walk, repetition), seeds(walk.samples, 800 + repetition, odd=True).astype(np.uint32)))
     with np.errstate(over="ignore"):
-        x = np.zeros(n + STEPS + 1, np.uint32)
+        x = np.zeros(n + walk.steps + 1, np.uint32)
         x[:n] = (mix(words ^ seeds(1, 700 + repetition)[0]) >> np.uint64(32)) * (words != 0)
         key = np.zeros(len(x), np.uint32)
         for j in range(max(factor), -1, -1):
@@ -95,7 +117,50 @@ def walk_keys(words: np.ndarray, repetition: int) -> np.ndarray:
 
 
 def allowed_edits(n: int, max_edits: float) -> int:
-    return int(max_edits * n) if n >= MIN_ITEM_WORDS else 0
+    return int(max_edits * n)
+
+
+def _embedded_trials(n: int, edits: int, trials: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of random items, and rows with the same items under ``edits`` random edits inside other text;
+    zeros fill both."""
+    rng = np.random.default_rng(1000 * n + edits)
+    around = LONGEST_WALK
+    items = rng.integers(1, 2**63, (trials, n), dtype=np.uint64)
+    texts_ = np.zeros((trials, n + edits + 2 * around), np.uint64)
+    for t in range(trials):
+        part = items[t].tolist()
+        for _ in range(edits):
+            at, new = int(rng.integers(len(part))), int(rng.integers(1, 2**63))
+            part[at:at + 1] = ([], [new], [part[at], new])[int(rng.integers(3))]
+        row = [*rng.integers(1, 2**63, around).tolist(), *part, *rng.integers(1, 2**63, around).tolist()]
+        texts_[t, :len(row)] = row
+    return items, texts_
+
+
+@lru_cache(maxsize=4096)
+def repetitions_for(recall: float, n: int, edits: int, trials: int = TRIALS, most: int = MOST_WALKS) -> int:
+    """The fewest walks with which ``recall`` of the items of ``n`` words collide at some anchor when they
+    stand in a document with ``edits`` random edits (``most`` if they do not suffice)."""
+    walk, anchors = walk_of(n), anchors_of(n)
+    items, others = (np.pad(x, ((0, 0), (0, LONGEST_WALK + 1))) for x in _embedded_trials(n, edits, trials))
+    hit = np.zeros(trials, bool)
+    place = np.arange(trials, dtype=np.uint64)[:, None] << np.uint64(32)
+    for r in range(most):
+        own = walk_keys(items.ravel(), walk, r).reshape(items.shape)[:, :anchors]
+        seen = (walk_keys(others.ravel(), walk, r).reshape(others.shape) | place)[others != 0]
+        hit |= np.isin(own | place, seen).any(axis=1)
+        if hit.mean() >= recall:
+            return r + 1
+    return most
+
+
+def plan_walks(lengths: list[int], max_edits: float, recall: float) -> dict[Walk, int]:
+    """How often each kind of walk is repeated, for items of these lengths; longer ones than 64 words
+    are measured at 64, where the recall is higher already. No walk for items that may have no edit."""
+    plan: dict[Walk, int] = {}
+    for n in {min(n, 64) for n in lengths if allowed_edits(n, max_edits)}:
+        plan[walk_of(n)] = max(plan.get(walk_of(n), 0), repetitions_for(recall, n, allowed_edits(n, max_edits)))
+    return plan
 
 
 def run_keys(words: np.ndarray, width: int) -> np.ndarray:
@@ -104,21 +169,26 @@ def run_keys(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """The anchors of a block of items, by repetition, and their pieces, by width: sorted keys with
-    item and offset, and a table of one byte per key prefix that answers most look-ups."""
+    """The anchors of a block of items, by walk, and their pieces, by width: sorted keys with item and
+    offset, and a table of one byte per key prefix that answers most look-ups."""
 
-    def __init__(self, items: list[Item], repetitions: int, max_edits: float):
+    def __init__(self, items: list[Item], plan: dict[Walk, int], max_edits: float, pieces: bool = True):
         self.items = items
         self.lengths = np.array([len(i.words) for i in items], np.int64)
         self.allowed = np.array([allowed_edits(n, max_edits) for n in self.lengths.tolist()], np.int64)
         self.known = [np.unique(i.words) for i in items]
         self.tables = []
-        anchors = np.maximum(self.lengths - TAIL, 0)
-        for r in range(repetitions):
-            keys = [walk_keys(i.words, r)[:n] for i, n in zip(items, anchors.tolist())]
-            offset = np.concatenate([np.arange(n) for n in anchors])
-            self._add(lambda words, r=r: walk_keys(words, r), STEPS, np.concatenate(keys),
-                      np.repeat(np.arange(len(items)), anchors), offset)
+        for walk, repetitions in plan.items():
+            own = [k for k, n in enumerate(self.lengths.tolist()) if self.allowed[k] and walk_of(n) == walk]
+            if not own:
+                continue
+            anchors = [anchors_of(int(self.lengths[k])) for k in own]
+            for r in range(repetitions):
+                keys = [walk_keys(items[k].words, walk, r)[:n] for k, n in zip(own, anchors)]
+                self._add(lambda words, walk=walk, r=r: walk_keys(words, walk, r), walk.steps, np.concatenate(keys),
+                          np.repeat(own, anchors), np.concatenate([np.arange(n) for n in anchors]), True)
+        if not pieces:
+            return
         widths = np.minimum(self.lengths // (self.allowed + 1), PIECE_WORDS)
         for width in np.unique(widths).tolist():
             keys, item, offset = [], [], []
@@ -128,20 +198,20 @@ class Index:
                 keys.append(run_keys(items[k].words, width)[at])
                 item.append(np.full(parts, k)), offset.append(at)
             self._add(lambda words, width=width: run_keys(words, width), width - 1,
-                      *map(np.concatenate, (keys, item, offset)))
+                      *map(np.concatenate, (keys, item, offset)), False)
 
-    def _add(self, keys_of, beyond: int, keys: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
+    def _add(self, keys_of, beyond: int, keys: np.ndarray, item: np.ndarray, offset: np.ndarray, is_walk: bool) -> None:
         """A table; ``keys_of`` gives a document's keys and reads ``beyond`` more words."""
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         seen = np.zeros(1 << _TABLE_BITS, bool)
         seen[keys >> np.uint32(32 - _TABLE_BITS)] = True
-        self.tables.append((keys_of, beyond, keys, item[order], offset[order], seen))
+        self.tables.append((keys_of, beyond, keys, item[order], offset[order], seen, is_walk))
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(Item, position, offset in the item) of all collisions in ``words``."""
-        found = [(np.empty(0, np.int64),) * 3]
-        for keys_of, beyond, keys, item, offset, seen in self.tables:
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(Item, position, offset in the item, whether of a walk) of all collisions in ``words``."""
+        found = [(*(np.empty(0, np.int64),) * 3, np.empty(0, bool))]
+        for keys_of, beyond, keys, item, offset, seen, is_walk in self.tables:
             for at in range(0, len(words), CHUNK):       # a chunk stays in the cache
                 part = keys_of(words[at:at + CHUNK + beyond])[:CHUNK]
                 near = np.flatnonzero(seen[part >> np.uint32(32 - _TABLE_BITS)])
@@ -149,7 +219,7 @@ class Index:
                 many = np.searchsorted(keys, part[near], "right") - first
                 near, first, many = near[many > 0], first[many > 0], many[many > 0]
                 each = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                found.append((item[each], at + np.repeat(near, many), offset[each]))
+                found.append((item[each], at + np.repeat(near, many), offset[each], np.full(len(each), is_walk)))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -185,19 +255,21 @@ def leaks_in(index: Index, rows: list[np.ndarray]) -> Iterator[Leak]:
         return
     lengths = [len(r) for r in rows]
     # documents are kept apart by more zero words than a walk can cross
-    gap = np.zeros(STEPS + 1, np.uint64)
+    gap = np.zeros(LONGEST_WALK + 1, np.uint64)
     words = np.concatenate([x for r in rows for x in (r, gap)])
     begin = np.cumsum([0] + [n + len(gap) for n in lengths])
-    item, at, offset = index.hits(words)
+    item, at, offset, walked = index.hits(words)
     row = np.searchsorted(begin, at, "right") - 1
     start = at - offset - begin[row]                     # the item may begin before the document
     order = np.lexsort((start, item, row))
-    row, item, start = row[order], item[order], start[order]
+    row, item, start, walked = row[order], item[order], start[order], walked[order]
     reach = index.lengths[item] + 2 * index.allowed[item]
     new = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > reach[1:])
     first, last = np.flatnonzero(np.r_[True, new][:len(row)]), np.flatnonzero(np.r_[new, True][:len(row)])
+    any_walk = np.logical_or.reduceat(walked, first) if len(first) else walked
     best: dict[tuple[int, int], Leak] = {}
-    for r, k, low, high in zip(row[first].tolist(), item[first].tolist(), start[first].tolist(), start[last].tolist()):
+    for r, k, low, high, by_walk in zip(row[first].tolist(), item[first].tolist(), start[first].tolist(),
+                                        start[last].tolist(), any_walk.tolist()):
         old = best.get((r, k))
         if old is not None and not old.edits:
             continue
@@ -208,7 +280,7 @@ def leaks_in(index: Index, rows: list[np.ndarray]) -> Iterator[Leak]:
             continue
         edits, place = nearest_run(index.items[k].words, part)
         if edits <= allowed and (old is None or edits < old.edits):
-            best[r, k] = Leak(r, index.items[k].item_id, edits, n, low + place)
+            best[r, k] = Leak(r, index.items[k].item_id, edits, n, low + place, by_walk)
     yield from (best[key] for key in sorted(best))
 
 
@@ -230,27 +302,29 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", max_edits: float = MAX_EDITS,
-               repetitions: int = REPETITIONS) -> DataFrame:
-    """``(id, item_id, edits, n_words, start_word)``: each item that a row of ``docs`` leaks."""
+               recall: float = RECALL) -> DataFrame:
+    """``(id, item_id, edits, n_words, start_word, by_walk)``: each item that a row of ``docs`` leaks.
+    ``recall`` is what the walks alone reach."""
     sc = docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    item_kind = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"_id {kind}, item_id {item_kind}, edits int, n_words int, start_word bigint"
+    item_kind, item_type = benchmark.schema[item_col].dataType.simpleString(), to_arrow_type(benchmark.schema[item_col].dataType)
+    schema = f"_id {kind}, item_id {item_kind}, edits int, n_words int, start_word bigint, by_walk boolean"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
     for block in item_blocks(benchmark, item_col, item_text_col):
         sent = sc.broadcast(block)
+        plan = plan_walks([len(i.words) for i in block], max_edits, recall)
 
-        def run(batches, sent=sent):
-            index, words = Index(sent.value, repetitions, max_edits), Words(lower=True, letters=True)
+        def run(batches, sent=sent, plan=plan):
+            index, words = Index(sent.value, plan, max_edits), Words(lower=True, letters=True)
             for batch in batches:
                 found = list(leaks_in(index, words.rows(batch.column("_text"))))
-                item_type = pa.int64() if item_kind == "bigint" else None
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id").take(pa.array([f.row for f in found], pa.int64())),
                      pa.array([f.item_id for f in found], item_type), pa.array([f.edits for f in found], pa.int32()),
-                     pa.array([f.n_words for f in found], pa.int32()), pa.array([f.start for f in found], pa.int64())],
-                    ["_id", "item_id", "edits", "n_words", "start_word"])
+                     pa.array([f.n_words for f in found], pa.int32()), pa.array([f.start for f in found], pa.int64()),
+                     pa.array([f.by_walk for f in found], pa.bool_())],
+                    ["_id", "item_id", "edits", "n_words", "start_word", "by_walk"])
 
         part = map_batches(rows, run, schema)
         out = part if out is None else out.unionByName(part)
@@ -260,16 +334,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-               item_text_col: str = "text", max_edits: float = MAX_EDITS,
-               repetitions: int = REPETITIONS) -> DataFrame:
+               item_text_col: str = "text", max_edits: float = MAX_EDITS, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns."""
     sc = docs.sparkSession.sparkContext
     text_at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, item_col, item_text_col):
         sent = sc.broadcast(block)
+        plan = plan_walks([len(i.words) for i in block], max_edits, recall)
 
-        def run(batches, sent=sent):
-            index, words = Index(sent.value, repetitions, max_edits), Words(lower=True, letters=True)
+        def run(batches, sent=sent, plan=plan):
+            index, words = Index(sent.value, plan, max_edits), Words(lower=True, letters=True)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 rows = words.rows(batch.column(text_at))
@@ -278,25 +352,3 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         docs = map_batches(docs, run, docs.schema)
     return docs
-
-
-def repetitions_for(recall: float, items: list[Item], edit_rate: float, trials: int = 200, most: int = 32) -> int:
-    """The fewest repetitions with which ``recall`` of randomly edited items collide at some anchor;
-    words before and after the item go on as in a document. The walks alone: pieces do not count."""
-    rng = np.random.Generator(np.random.PCG64(5))
-    first = []
-    for _ in range(trials):
-        item = items[int(rng.integers(len(items)))]
-        edited = []
-        for w in item.words.tolist():
-            kind = rng.random()
-            if kind < edit_rate / 3:
-                continue
-            edited.append(int(rng.integers(2**63)) if kind < 2 * edit_rate / 3 else w)
-            if 2 * edit_rate / 3 <= kind < edit_rate:
-                edited.append(int(rng.integers(2**63)))
-        around = rng.integers(1, 2**63, 2 * STEPS, dtype=np.uint64)
-        other = np.concatenate([around[:STEPS], np.array(edited, np.uint64), around[STEPS:]])
-        first.append(next((r + 1 for r in range(most)
-                           if np.intersect1d(walk_keys(item.words, r)[:-TAIL], walk_keys(other, r)).size), most + 1))
-    return int(np.sort(first)[min(trials - 1, int(np.ceil(recall * trials)) - 1)])
