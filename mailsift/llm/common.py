@@ -42,6 +42,18 @@ def written_by(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
                 schema) -> DataFrame:
     """``mapInArrow`` with this package importable in the Python workers."""

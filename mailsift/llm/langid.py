@@ -17,11 +17,11 @@ training rows are predicted but not learned from. With nothing to learn from, al
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +31,8 @@ PROFILE_SIZE = 300
 UNDETERMINED = "und"
 #: Words counted at once.
 _PIECE_WORDS = 50_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters are the Unicode category L: numerals such as ² or Ⅷ are none.
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def _words(text: str | None) -> list[str]:

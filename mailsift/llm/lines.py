@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, texts
+from .common import map_batches, texts, unused, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -145,21 +145,24 @@ def suspects(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                 min_docs: int = MIN_DOCS, bits: int = FILTER_BITS, counts: bool = True) -> DataFrame:
     """``docs`` with the repeated lines cut from ``text_col``; with ``counts`` also ``n_lines``
-    (before) and ``n_dropped``."""
-    found = suspects(docs, id_col, text_col, min_chars, bits)
+    (before) and ``n_dropped``, and an error if ``docs`` has a column of such a name."""
+    if counts and {"n_lines", "n_dropped"} & {c.lower() for c in docs.columns}:
+        raise ValueError("n_lines or n_dropped is a column already")
+    of, dropped = unused(docs, "_llm_id", "_llm_drop")
+    found = written(suspects(docs, id_col, text_col, min_chars, bits), "suspects")      # counted, then judged
     confirmed = found.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")) \
         .where(F.col("n") >= min_docs)
     salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     drops = found.join(salted, ["key", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper"))) \
-        .groupBy(F.col("id").alias("_llm_id")).agg(F.collect_set("key").alias("_llm_drop"))
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("_llm_id")), "left").drop("_llm_id")
+        .groupBy(F.col("id").alias(of)).agg(F.collect_set("key").alias(dropped))
+    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col(of)), "left").drop(of)
     width, at = len(docs.columns), docs.columns.index(text_col)
 
     def cut(batches):
         for batch in batches:
             kept, n_lines, n_dropped = [], [], []
-            for t, drop in zip(batch.column(at).to_pylist(), batch.column("_llm_drop").to_pylist()):
+            for t, drop in zip(batch.column(at).to_pylist(), batch.column(dropped).to_pylist()):
                 lines = (t or "").split("\n")
                 n_lines.append(len(lines))
                 if drop:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, map_batches, mix, seeds, window_hashes, written
+from .common import Words, map_batches, mix, seeds, unused, window_hashes, written
 
 REGISTERS = 96
 BAND = 4
@@ -311,10 +311,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     found = written(_labelled(docs.where(F.col(id_col).isNotNull()), width, percent, id_col, text_col), "labels")
     keeps = F.col("words_key").isNull() | ((F.col("id") == F.col("component_id")) & (F.col("words_key") == F.col("keeper")))
     stays = found.where(keeps).groupBy("id", "words_key").agg(F.min("text_hash").alias("text_hash"))
+    of, text_hash, gone_hash, row = unused(docs, "_llm_id", "_llm_hash", "_llm_gone", "_llm_row")
     gone = found.select("id", "text_hash").distinct().join(stays.select("id", "text_hash"), ["id", "text_hash"], "left_anti") \
-        .select(F.col("id").alias("_llm_id"), F.col("text_hash").alias("_llm_gone"))
-    left = docs.where(F.col(id_col).isNotNull()).withColumn("_llm_hash", _hash(text_col))
-    left = left.join(gone, (F.col(id_col) == F.col("_llm_id")) & (F.col("_llm_hash") == F.col("_llm_gone")), "left_anti")
-    again = F.row_number().over(Window.partitionBy(id_col, "_llm_hash").orderBy("_llm_hash"))
-    left = left.withColumn("_llm_row", again).where("_llm_row = 1").drop("_llm_hash", "_llm_row")
+        .select(F.col("id").alias(of), F.col("text_hash").alias(gone_hash))
+    left = docs.where(F.col(id_col).isNotNull()).withColumn(text_hash, _hash(text_col))
+    left = left.join(gone, (F.col(id_col) == F.col(of)) & (F.col(text_hash) == F.col(gone_hash)), "left_anti")
+    again = F.row_number().over(Window.partitionBy(id_col, text_hash).orderBy(text_hash))
+    left = left.withColumn(row, again).where(F.col(row) == 1).drop(text_hash, row)
     return left.unionByName(docs.where(F.col(id_col).isNull()))

@@ -45,6 +45,9 @@ CONTEXT = {
 }
 CONTEXT_CHARS = 40
 
+#: A context word stands alone: no letter on either side.
+_NEARBY = {k: re.compile(rf"(?<![^\W\d_])(?:{'|'.join(words)})(?![^\W\d_])") for k, words in CONTEXT.items()}
+
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                                  ("score", pa.float64())]))
@@ -96,7 +99,7 @@ def _valid(kind: str, found: str) -> bool:
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = (text[max(0, start - CONTEXT_CHARS):start] + " " + text[end:end + CONTEXT_CHARS]).lower()
     prior = PRIOR[kind]
-    return round(prior + (1 - prior) / 2, 4) if any(w in near for w in CONTEXT[kind]) else prior
+    return round(prior + (1 - prior) / 2, 4) if _NEARBY[kind].search(near) else prior
 
 
 def spans_of(text: str) -> list[tuple[str, int, int, float]]:

@@ -36,6 +36,8 @@ MIN_ASSIGNED = 6
 SHARED_OWNERS = 3
 #: Repositories from which on it does, whoever owns them.
 SHARED_REPOSITORIES = 10
+#: Tasks over which the documents that hold one value are dealt.
+SALTS = 16
 
 
 _COUNTS = "array<struct<start:bigint,kind_order:int,n_owners:bigint,n_repositories:bigint>>"
@@ -99,7 +101,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = written(scan(docs, id_col, text_col, owner_col), "secret-spans")
     found = candidates(scanned, id_col)
     # a span's start and kind tell it from the others of its text, and sort it like ``spans``
-    judged = found.join(ownership(found, id_col), "value_sha256") \
+    # a value that stands in many documents is dealt over salts, so that its rows do not meet in one task
+    owned = ownership(found, id_col).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = found.withColumn("salt", F.pmod(F.xxhash64(id_col, "text_hash"), F.lit(SALTS)).cast("int"))
+    judged = found.join(owned, ["value_sha256", "salt"]) \
         .groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text_hash")) \
         .agg(F.array_sort(F.collect_set(F.struct("start", "kind_order", "n_owners", "n_repositories"))).alias("_counts"))
     spans = F.zip_with("spans", F.coalesce("_counts", F.array().cast(_COUNTS)), lambda s, c: F.struct(

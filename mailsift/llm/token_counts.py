@@ -71,7 +71,6 @@ class PieceModel:
         self.opens = np.zeros(len(score), bool)
         for side in (left, right):
             self.opens[side[made <= self.rank[side]]] = True
-        self.unknown: dict[int, int] = {}
 
     def pre_tokens(self, text: str) -> list[str]:
         if not text:

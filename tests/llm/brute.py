@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import combinations
 
+import regex
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -211,3 +213,34 @@ def trie(rows, rebuild=True):
         saved[k] = sum(saved[x] for x in kids[k]) + ((len(members[k]) - 1) * len(k[-1][1].encode()) if k else 0)
     return [(m[0], len(k), members[k[:-1]][0] if k else None, len(m), len(kids[k]), leaves[k], saved[k],
              sha(",".join(str(c) for c in m if len(whole[c]) == len(k)))) for k, m in members.items()]
+
+
+def language(rows, size=300):
+    """``(lang, score)`` per (doc_id, text, lang) row by out-of-place distance to profiles of the rows not held out."""
+    def grams(text):
+        count = Counter()
+        for w in regex.findall(r"\p{L}+", (text or "").lower()):
+            padded = f" {w} "
+            for n in (1, 2, 3):
+                count.update(g for g in (padded[k:k + n] for k in range(len(padded) - n + 1)) if g != " ")
+        return count
+
+    def ranked(count):
+        # ties by the packed code of the n-gram
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+        return [g for g, _ in sorted(count.items(), key=lambda e: (-e[1], code(e[0])))[:size]]
+    total = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and i is not None and not held_out(i):
+            total[lang] += grams(text)
+    profiles = {v: {g: k for k, g in enumerate(ranked(c))} for v, c in sorted(total.items()) if c}
+    out = []
+    for _, text, _ in rows:
+        mine = ranked(grams(text))
+        if not mine or not profiles:
+            out.append(("und", 0.0))
+            continue
+        far = {v: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(mine)) for v, p in profiles.items()}
+        best = min(far, key=lambda v: (far[v], v))
+        out.append((best, 1 - far[best] / (size * len(mine))))
+    return out

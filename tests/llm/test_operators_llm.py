@@ -274,6 +274,41 @@ def test_language_profiles(spark, empty):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_language_equals_plain_distances(spark):
+    rng = random.Random(12)
+    say = {"en": "the and of with that this there house", "de": "der und die nicht ein mit auch Häuser", "fr": "le et les dans une avec aussi maison"}
+    rows = [(i, " ".join(rng.choices(say[v].split(), k=rng.randrange(1, 40))), v if i % 9 else None) for i, v in enumerate(["en", "de", "fr"] * 25)]
+    rows += [(90, None, "en"), (91, "", "de"), (92, "½ ② ² Ⅷ 12", "en"), (93, "Ω ß x²y", None), (None, "der und die", "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for size in (300, 7):
+        profiles = langid.learn_profiles(df.where(~langid.held_out()), size=size)
+        got = langid.predict_language(df, profiles, size=size).collect()
+        want = [(r[0], *x) for r, x in zip(rows, B.language(rows, size))]
+        assert _by((r[0], r[1], round(r[2], 9)) for r in got) == _by((i, v, round(x, 9)) for i, v, x in want)
+
+
+def test_context_words_stand_alone():
+    for kind, text, near, far in (("ip", "{} 10.0.0.1", "address", "recipe"), ("phone", "{} +1 555 010 9999", "tel", "hotel"),
+                                  ("email", "{} a@b.co", "mail", "mailbox"), ("card", "{} 4111 1111 1111 1111", "card", "discard"),
+                                  ("iban", "{} DE89 3704 0044 0532 0130 00", "bank", "embankment")):
+        raised, plain = ([s for s in pii.spans_of(text.format(w)) if s[0] == kind][0][3] for w in (near, far))
+        assert plain == pii.PRIOR[kind] < raised
+
+
+def test_clashing_columns(spark, docs):
+    clash = docs.select("doc_id", "text").toDF("doc_id", "text").selectExpr(
+        "doc_id", "text", "1 AS _llm_id", "2 AS _LLM_DROP", "3 AS _llm_hash", "4 AS _llm_row", "5 AS _llm_gone", "6 AS id", "7 AS key")
+    cut = lines.dedup_lines(clash)
+    assert cut.columns == clash.columns + ["n_lines", "n_dropped"]
+    plain = lines.dedup_lines(docs.select("doc_id", "text")).collect()
+    assert _by((r["doc_id"], r["text"], r["n_lines"]) for r in cut.collect()) == _by((r["doc_id"], r["text"], r["n_lines"]) for r in plain)
+    left = minhash.drop_near_duplicates(clash)
+    assert left.columns == clash.columns
+    assert _by(r[:2] for r in left.collect()) == _by(minhash.drop_near_duplicates(docs.select("doc_id", "text")).collect())
+    with pytest.raises(ValueError):
+        lines.dedup_lines(docs.withColumnRenamed("kept", "n_lines"))
+
+
 def test_profiles_are_cut_before_the_ranking_shuffle(docs):
     profiles = langid.learn_profiles(docs, size=5)
     plan = profiles._jdf.queryExecution().sparkPlan().toString()
@@ -380,6 +415,100 @@ def test_empty_tables(spark, empty):
         assert df.count() == 0
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory, docs, rows):
+    path = str(tmp_path_factory.mktemp("tables"))
+    docs.write.parquet(f"{path}/documents.parquet")
+    items = [(1, _texts()[10]), (2, " ".join(_texts()[-3].split()[:9])), (3, None), (4, "two words")]
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def _rows_of(spark, folder, name):
+    return _by(queries.QUERIES[name](spark, folder).collect())
+
+
+def test_op1_op4_queries(spark, folder, rows):
+    import sentencepiece
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
+    want = []
+    for r in rows:
+        ids = tok.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((r[0], len(ids), B.sha(",".join(map(str, ids))), B.sha(tok.decode(ids, skip_special_tokens=False))))
+    assert _rows_of(spark, folder, "op1_bpe") == _by(want)
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_BPE))
+    n = [(r[0], len((r[1] or "").encode()), len(model.encode(r[1] or ""))) for r in rows]
+    assert _rows_of(spark, folder, "op4_token_counts") == _by((*x, x[2] > 4096) for x in n)
+
+
+def test_op2_query(spark, folder, rows):
+    want = []
+    for k, item in ((1, _texts()[10]), (2, " ".join(_texts()[-3].split()[:9])), (4, "two words")):
+        w = B.plain_words(item)
+        want += [(r[0], k, e, len(w)) for r in rows if (e := B.edits(w, B.plain_words(r[1]))) <= int(decontam.MAX_EDITS * len(w))]
+    assert _by(r[:4] for r in _rows_of(spark, folder, "op2_decontaminate")) == _by(want) and len(want) > 5
+
+
+def test_op5_op9_queries(spark, folder, rows):
+    for name, plain, kinds in (("op5_secrets", B.secrets, secret_scan.BASE_KINDS), ("op9_pii", B.pii, pii.BASE_KINDS)):
+        want = []
+        for r in rows:
+            n, spans = plain(r[1])
+            want.append((r[0], *(n[k] for k in kinds), B.sha(spans)))
+        found = queries.QUERIES[name](spark, folder).collect()
+        assert _by(tuple(r)[:len(kinds) + 2] for r in found) == _by(want)
+        listed = [[s.split(":") for s in r["spans"].split(",") if s] for r in found]
+        base = [",".join(":".join(s) for s in x if s[0] in kinds) for x in listed]
+        assert [B.sha(x) for x in base] == [r["base_sha256"] for r in found]
+
+
+def test_op6_query(spark, folder, rows):
+    got = queries.QUERIES["op6_shards"](spark, folder).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    want = [(r[0], size(r[1]), zlib.crc32((r[1] or "").encode()), "bytes", None) for r in rows]
+    assert _by((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in got) == _by(want)
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(16))
+
+
+def test_op7_query(spark, folder, rows):
+    want = B.language([(r[0], r[1], r[2]) for r in rows])
+    got = queries.QUERIES["op7_language"](spark, folder).collect()
+    assert _by((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in got) == \
+        _by((r[0], r[0] is None or B.held_out(r[0]), v, round(x, 9)) for r, (v, x) in zip(rows, want))
+
+
+def test_op10_query(spark, folder, rows):
+    got = queries.QUERIES["op10_quality"](spark, folder).collect()
+    want = [(r[0], *B.quality(r[1])) for r in rows]
+    assert _by((r["doc_id"], *(r[c] for c in quality.STATS), r["base_failed"]) for r in got) == _by(want)
+    assert not any(r["kept"] for r in got if r["base_failed"])
+
+
+def test_pipeline_rows(spark, folder):
+    """Each stage against the plain version of what its predecessor kept."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    data = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id"])
+    stage = dict(corpus_pipeline.STAGES)
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    kept = stage["quality"](spark, data, folder)
+    good = {r["doc_id"] for r in quality.judge(quality.quality_stats(data)).where("kept").collect()}
+    assert set(texts(kept)) == good and not any(B.quality(t)[-1] for t in texts(kept).values())
+    cut = stage["line_dedup"](spark, kept, folder)
+    assert texts(cut) == {i: t for i, _, _, t in B.lines(list(texts(kept).items()))}
+    single = stage["near_dedup"](spark, cut, folder)
+    groups = B.near(list(texts(cut).items()), 5, 80)
+    assert set(texts(single)) == {c for _, c in groups.values()}
+    clean = stage["decontaminate"](spark, single, folder)
+    items = [B.plain_words(r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    leaks = {i for i, t in texts(single).items() if any(w and B.edits(w, B.plain_words(t)) <= int(0.2 * len(w)) for w in items)}
+    assert set(texts(clean)) == set(texts(single)) - leaks
+    tok = Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
+    ids = {r["doc_id"]: list(r["ids"]) for r in stage["bpe"](spark, clean, folder).collect()}
+    assert ids == {i: tok.encode(t, add_special_tokens=False).ids for i, t in texts(clean).items()}
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
     docs.write.parquet(f"{tmp_path}/documents.parquet")
