@@ -11,6 +11,8 @@ needed to reassemble a message.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,11 +68,19 @@ def _leaf(idx: int, part, wanted: bool) -> dict:
             "charset": part.get_content_charset(), "text": text}
 
 
+@lru_cache(maxsize=1)
+def _policy():
+    """The modern policy, which parses a header each time it is read; here a header line that was seen before, such as
+    the content type of most parts, is not parsed again."""
+    from email import policy
+    from email.headerregistry import HeaderRegistry
+    return policy.default.clone(header_factory=lru_cache(maxsize=4096)(HeaderRegistry()))
+
+
 def parse_message(raw: bytes) -> dict:
     """One message → header fields + ordered leaf parts (small per-row helper)."""
-    from email import policy
     from email.parser import BytesParser
-    msg = BytesParser(policy=policy.default).parsebytes(raw)
+    msg = BytesParser(policy=_policy()).parsebytes(raw)
     if msg.is_multipart():
         leaves = [(i, p) for i, p in enumerate(msg.walk()) if not p.is_multipart()]
         parts = [_leaf(i, p, p.get_content_type() in BODY_TYPES

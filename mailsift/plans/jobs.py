@@ -82,17 +82,17 @@ def prepare_training_data(spark: SparkSession, phishing_dir: str, output_csv: st
     unique = materialize(dedup_keep_first(pos, "fp", "_order"))
     funnel = {r["outcome"]: r["count"] for r in tagged.groupBy("outcome").count().collect()}
     collected = unique.count()
-    capped = materialize(cap_rows(unique.withColumn("doc_id", F.xxhash64("path")), positive_cap(max_samples, balance_ratio),
-                                  "doc_id").select("doc_id", "email_text", F.lit(1).alias("label")))
+    capped = materialize(cap_rows(unique, positive_cap(max_samples, balance_ratio), "path")
+                         .select(F.concat(F.lit("mail "), "path").alias("doc_id"), "email_text", F.lit(1).alias("label")))
     n_pos = capped.count()
     if n_pos == 0:
         raise RuntimeError("no phishing e-mails could be processed")
     n_neg = int(n_pos * balance_ratio)
-    seeds = capped.select(F.abs(F.col("doc_id") % F.lit(1 << 40)).alias("seed"))
+    seeds = spark.range(n_pos).select(F.col("id").alias("seed"))
     negatives = G.generate_distinct(seeds, "seed", n_neg) if n_neg > 0 else None
     corpus = capped
     if negatives is not None:
-        corpus = corpus.unionByName(negatives.select(F.col("cand_id").alias("doc_id"), "email_text",
+        corpus = corpus.unionByName(negatives.select(F.concat(F.lit("synthetic "), F.col("cand_id")).alias("doc_id"), "email_text",
                                                      F.lit(0).alias("label")))
     write_labelled_csv(seeded_shuffle(corpus, "doc_id"), output_csv)
     written = read_labelled_csv(spark, output_csv)

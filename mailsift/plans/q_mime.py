@@ -10,7 +10,7 @@ from ..functions.text import clean_compact, clean_masked, compose
 from ..operators.compute import with_computed
 from ..operators.mime import choose_body, header_field, parse_messages, parts_by_message
 from ..session import scratch_path
-from ..sources.eml import compose_message, scan_messages, write_messages
+from ..sources.eml import compose_message, pack_messages, packed_messages, scan_messages, write_messages
 from ..sources.tables import documents, pages, read_table
 from . import sqltext as S
 from .registry import register
@@ -229,3 +229,12 @@ def mime_ingest(spark, base):
     root = scratch_path(spark, "messages")
     write_messages(message_fixture(spark, base), root)
     return ingest(scan_messages(spark, root))
+
+
+@register("packed_ingest", INGEST_SQL)
+def packed_ingest(spark, base):
+    """S1 from containers: message files in sub-folders, listed in tasks and packed, then ingested."""
+    root, out = scratch_path(spark, "folders"), scratch_path(spark, "containers")
+    write_messages(message_fixture(spark, base), root, folders=16)
+    pack_messages(spark, root, out, target_bytes=1 << 20)
+    return ingest(packed_messages(spark, out))

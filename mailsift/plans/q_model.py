@@ -328,12 +328,14 @@ dsc AS (SELECT d.doc_id, pr0 + coalesce(s0, 0.0) AS s0, pr1 + coalesce(s1, 0.0)
 dp AS (SELECT doc_id, exp(s1 - greatest(s0, s1)) / (exp(s0 - greatest(s0, s1)) + exp(s1 - greatest(s0, s1))) AS p1
        FROM dsc)
 SELECT doc_id, round(p1, 6) AS p_1, CASE WHEN p1 > 1 - p1 THEN 1 ELSE 0 END AS pred FROM dp""")
-def nb_score_documents(spark, base):
-    """I3 at corpus scale: the fitted model scores every document (cleaned, masked)."""
+def nb_score_documents(spark, base, model=None):
+    """I3 at corpus scale: the fitted model scores every document (cleaned, masked). ``model`` is a fitted
+    (token table, priors); without it one is fitted."""
     from ..functions.text import clean_masked
     from ..operators.compute import with_computed
-    corpus = prepare_corpus(spark, base)
-    table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
+    if model is None:
+        corpus = prepare_corpus(spark, base)
+        model = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
     docs = with_computed(documents(spark, base, "doc_id", "text"), email_text=clean_masked("text"))
-    s = nb_predict(docs.select("doc_id", "email_text"), table, priors)
+    s = nb_predict(docs.select("doc_id", "email_text"), *model)
     return s.select("doc_id", F.round("p_1", 6).alias("p_1"), "pred")

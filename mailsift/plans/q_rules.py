@@ -87,22 +87,26 @@ SELECT page_id,
        CASE WHEN blocked OR flagged OR lookalike THEN 'rules' WHEN p1 >= 0.9 OR p1 <= 0.1 THEN 'classifier'
             ELSE 'explanation' END AS layer
 FROM fl""")
-def layered_routing(spark, base):
+def layered_routing(spark, base, model=None):
     """Blacklist / keyword / look-alike rules, then the naive Bayes classifier for what no rule
-    decides, and the undecided rest to the explanation queue."""
+    decides, and the undecided rest to the explanation queue. The host rules come first: a page they
+    decide is never converted. ``model`` is a fitted (token table, priors); without it one is fitted."""
     ph, bl, tr = _lists(spark, base)
-    body = with_computed(with_html_text(pages(spark, base, "page_id", "html"), "html", "_text"),
-                         body=clean_masked("_text")).select("page_id", "body")
     la = materialize(R.lookalike_pairs(ph, tr).select("host").distinct().withColumn("_la", F.lit(True)))
     blk = materialize(bl.withColumn("_bl", F.lit(True)))
-    ruled = materialize(ph.join(body, "page_id").join(blk, "host", "left").join(la, "host", "left").select(
-        "page_id", "body", F.coalesce("_bl", F.lit(False)).alias("blocked"), R.any_keyword("body").alias("flagged"),
-        F.coalesce("_la", F.lit(False)).alias("lookalike")))
-    corpus = prepare_corpus(spark, base)
-    table, priors = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
-    open_ = ruled.where(~(F.col("blocked") | F.col("flagged") | F.col("lookalike")))
-    p = nb_predict(open_.select(F.col("page_id").alias("doc_id"), "body"), table, priors, "body") \
+    hosts = materialize(ph.join(blk, "host", "left").join(la, "host", "left").select(
+        "page_id", F.coalesce("_bl", F.lit(False)).alias("blocked"), F.coalesce("_la", F.lit(False)).alias("lookalike")))
+    undecided = hosts.where(~(F.col("blocked") | F.col("lookalike"))).select("page_id")
+    body = with_computed(with_html_text(pages(spark, base, "page_id", "html").join(undecided, "page_id"), "html", "_text"),
+                         body=clean_masked("_text"))
+    read = materialize(body.select("page_id", "body", R.any_keyword("body").alias("flagged")))
+    if model is None:
+        corpus = prepare_corpus(spark, base)
+        model = nb_fit(corpus.where(F.col("part") == "train"), "email_text", "label", 1.0)
+    open_ = read.where(~F.col("flagged"))
+    p = nb_predict(open_.select(F.col("page_id").alias("doc_id"), "body"), *model, "body") \
         .select(F.col("doc_id").alias("page_id"), "p_1")
-    rows = ruled.drop("body").join(p, "page_id", "left")
+    rows = hosts.join(read.drop("body"), "page_id", "left").join(p, "page_id", "left") \
+        .withColumn("flagged", F.coalesce("flagged", F.lit(False)))
     decision, layer = R.route(F.col("blocked"), F.col("flagged"), F.col("lookalike"), F.col("p_1"))
     return rows.select("page_id", decision.alias("decision"), layer.alias("layer"))

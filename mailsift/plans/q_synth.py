@@ -147,14 +147,33 @@ def found_boilerplate_rate(spark, base):
     return A.found_boilerplate_rate(materialize(audited_mail(spark, base)), "email_text")
 
 
+@register("balanced_corpus_rows", CLEAN_LABELLED_SQL + f""",
+pos AS (SELECT doc_id, email_text FROM (SELECT doc_id, email_text, row_number() OVER (ORDER BY {S.hash_key('cap:42:', 'doc_id')}, doc_id) AS rn
+        FROM uniq WHERE label = 1) c WHERE rn <= {positive_cap(2000, 1.0)}),
+g AS ({synth_sql(_CANDS_SQL + ' c', 'cand_id')}),
+f AS (SELECT cand_id, email_text, {S.fingerprint('email_text')} AS fp FROM g),
+u AS (SELECT cand_id, email_text FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY cand_id) AS rn FROM f) x WHERE rn = 1),
+neg AS (SELECT email_text, row_number() OVER (ORDER BY {S.hash_key('synthpick:42:', 'cand_id')}, cand_id) AS rn FROM u)
+SELECT CAST(1 AS INTEGER) AS label, email_text FROM pos
+UNION ALL SELECT 0, email_text FROM neg WHERE rn <= (SELECT count(*) FROM pos)""")
+def balanced_corpus_rows(spark, base):
+    """The labelled file itself, row by row, as it is read back."""
+    return _balanced_file(spark, base).select("label", "email_text")
+
+
 @register("balanced_corpus_job", CLEAN_LABELLED_SQL + f""",
 pos AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {S.hash_key('cap:42:', 'doc_id')}, doc_id) AS rn
         FROM uniq WHERE label = 1) c WHERE rn <= {positive_cap(2000, 1.0)})
 SELECT 1 AS label, count(*) AS n FROM pos
 UNION ALL SELECT 0 AS label, count(*) AS n FROM pos""")
 def balanced_corpus_job(spark, base):
-    """Cleaned, deduplicated, capped positives + as many distinct synthetic negatives,
-    shuffled, written as the labelled CSV and read back; class counts of the file (A1)."""
+    """Class counts (A1) of the labelled file."""
+    return _balanced_file(spark, base).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _balanced_file(spark, base):
+    """Cleaned, deduplicated, capped positives + as many distinct synthetic negatives, shuffled, written as
+    the labelled CSV and read back."""
     rows = clean_labelled(spark, base).where(F.col("label") == 1)
     unique = dedup_keep_first(rows, "fp", "doc_id", scope=("label",))
     positives = materialize(cap_rows(unique, positive_cap(2000, 1.0), "doc_id")
@@ -167,5 +186,4 @@ def balanced_corpus_job(spark, base):
     corpus = seeded_shuffle(positives.unionByName(negatives), "doc_id")
     path = scratch_path(spark, "labelled-csv")
     write_labelled_csv(corpus, path)
-    back = read_labelled_csv(spark, path)
-    return back.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return read_labelled_csv(spark, path)

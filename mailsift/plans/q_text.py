@@ -38,6 +38,19 @@ _text_query("collapse_blank_lines", T.collapse_blank_lines, S.collapse_blank_lin
 _text_query("collapse_whitespace", T.collapse_whitespace, S.collapse_whitespace)
 _text_query("strip_controls", T.strip_controls, S.strip_controls)
 _text_query("quote_normalise", T.normalise_quotes, lambda x: x)
+# quotes set the way a word processor does, so that there is something to undo
+_CURLY_SQL = "translate('“' || text || '”', '''\"', '’“')"
+
+
+@register("quote_typographic", f"""
+SELECT doc_id, replace(replace(replace(replace({_CURLY_SQL}, '“', '"'), '”', '"'), '‘', ''''), '’', '''') AS text_out FROM documents""")
+def quote_typographic(spark, base):
+    """T7 with ``typographic=True``: curly quotes become plain ones."""
+    curly = F.translate(F.concat(F.lit("“"), F.col("text"), F.lit("”")), "'\"", "’“")
+    d = documents(spark, base, "doc_id", "text")
+    return d.select("doc_id", T.normalise_quotes(curly, typographic=True).alias("text_out"))
+
+
 _text_query("truncate_strip", lambda c: T.strip(T.truncate(c, P.MASKED_SUBJECT_MAX_CHARS)),
             lambda x: S.strip(S.truncate(x, P.MASKED_SUBJECT_MAX_CHARS)))
 _text_query("mask_long_words", lambda c: T.mask_long_words(c, 20), lambda x: S.mask_long_words(x, 20))

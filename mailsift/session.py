@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows are whole e-mails: keep Arrow batches small for the MIME job
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # a message file is some 20 KB: a task should take hundreds of them, not 32
+    "spark.sql.files.openCostInBytes": "524288",
     "spark.ui.enabled": "false",
 }
 

@@ -23,6 +23,78 @@ def scan_messages(spark: SparkSession, root: str, glob: str = "*.eml") -> DataFr
             .load(root))
 
 
+def _file_system(root: str):
+    import pyarrow.fs as pafs
+    return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+
+
+def _list_folders(glob: str):
+    def run(batches):
+        import fnmatch
+
+        import pandas as pd
+        import pyarrow.fs as pafs
+        for pdf in batches:
+            for root, folder in zip(pdf["root"], pdf["folder"]):
+                fs, _ = _file_system(root)
+                found = [f for f in fs.get_file_info(pafs.FileSelector(folder, recursive=True))
+                         if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.base_name, glob)]
+                if found:
+                    yield pd.DataFrame({"root": root, "path": [f.path for f in found], "length": [f.size for f in found]})
+    return run
+
+
+def list_messages(spark: SparkSession, root: str, glob: str = "*.eml") -> DataFrame:
+    """S1 in tasks: ``(root, path, length)`` of the files matching ``glob`` in the folders of ``root``. The driver
+    lists ``root`` alone, whose entries are folders (a file beside them is not read); a task lists each of
+    them with all below it."""
+    import pyarrow.fs as pafs
+
+    from ..session import ship_package
+    ship_package(spark)
+    fs, base = _file_system(root)
+    folders = [(root, f.path) for f in fs.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.Directory]
+    named = spark.createDataFrame(folders, "root string, folder string").repartition(max(1, len(folders)))
+    return named.mapInPandas(_list_folders(glob), "root string, path string, length bigint")
+
+
+def _read_files(batches):
+    import pandas as pd
+    for pdf in batches:
+        for root, part in pdf.groupby("root"):
+            fs, _ = _file_system(root)
+            for at in range(0, len(part), 200):         # a few hundred messages in memory at once
+                paths, content = list(part["path"].iloc[at:at + 200]), []
+                for path in paths:
+                    with fs.open_input_stream(path) as f:
+                        content.append(f.read())
+                yield pd.DataFrame({"path": paths, "length": [len(c) for c in content], "content": content})
+
+
+def pack_messages(spark: SparkSession, root: str, out: str, glob: str = "*.eml", target_bytes: int = 128 << 20) -> int:
+    """Pack the message files below the folders of ``root`` into Parquet container files under ``out`` and
+    return their number. The listing is range-partitioned by path and written; in a range the running
+    sum of bytes cuts it into containers of about ``target_bytes``, each of which one task reads and writes.
+    A later scan reads few large files instead of many small ones."""
+    from pyspark.sql import Window
+
+    from ..session import materialize
+    listed = list_messages(spark, root, glob).repartitionByRange("path").withColumn("_range", F.spark_partition_id())
+    listed = materialize(listed, "messages")
+    before = F.sum("length").over(Window.partitionBy("_range").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.floor(F.coalesce(before, F.lit(0)) / F.lit(int(target_bytes)))
+    packed = materialize(listed.withColumn("_cut", cut), "messages")
+    n = packed.select("_range", "_cut").distinct().count()
+    dealt = packed.repartitionByRange(max(1, n), "_range", "_cut").select("root", "path")
+    dealt.mapInPandas(_read_files, "path string, length bigint, content binary").write.mode("overwrite").parquet(out)
+    return n
+
+
+def packed_messages(spark: SparkSession, out: str) -> DataFrame:
+    """S1 over containers: the rows ``(path, length, content)`` that :func:`pack_messages` wrote."""
+    return spark.read.parquet(out)
+
+
 MESSAGE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -80,14 +152,14 @@ def compose_message(doc_id: Column, source: Column, subject: Column, text: Colum
 def _write_files(root: str):
     def write_partition(batches):
         import pandas as pd
-        import pyarrow.fs as pafs
-        if "://" in root:
-            fs, base = pafs.FileSystem.from_uri(root)
-        else:
-            fs, base = pafs.LocalFileSystem(), root
-        fs.create_dir(base, recursive=True)
+        fs, base = _file_system(root)
+        made = set()
         for pdf in batches:
             for name, text in zip(pdf["name"], pdf["message"]):
+                folder = f"{base}/{name}".rpartition("/")[0]
+                if folder not in made:
+                    fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with fs.open_output_stream(f"{base}/{name}") as out:
                     out.write(text.encode("utf-8"))
             yield pd.DataFrame({"written": [len(pdf)]})
@@ -95,13 +167,14 @@ def _write_files(root: str):
 
 
 def write_messages(messages: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "message",
-                   suffix: str = ".eml") -> int:
-    """One ``<id>.eml`` file per message under ``root`` (any Arrow file system URI), written
-    by the tasks in parallel. File names are a function of the id, so a retried task
+                   suffix: str = ".eml", folders: int = 0) -> int:
+    """One ``<id>.eml`` file per message under ``root`` (any Arrow file system URI), or in ``folders``
+    sub-folders of it by a hash of the id, written by the tasks in parallel. File names are a function of the id, so a retried task
     rewrites the same files with the same bytes. Returns the number of files written."""
     from ..session import ship_package
     ship_package(messages.sparkSession)
-    named = messages.select(F.concat(F.col(id_col).cast("string"), F.lit(suffix)).alias("name"),
+    folder = F.concat(F.pmod(F.xxhash64(id_col), F.lit(folders)).cast("string"), F.lit("/")) if folders else F.lit("")
+    named = messages.select(F.concat(folder, F.col(id_col).cast("string"), F.lit(suffix)).alias("name"),
                             F.col(text_col).alias("message"))
     counts = named.mapInPandas(_write_files(root), "written long")
     return int(counts.agg(F.sum("written")).collect()[0][0] or 0)

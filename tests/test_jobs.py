@@ -12,7 +12,7 @@ def eml_dir(spark, tmp_path_factory):
     from mailsift.sources.eml import write_messages
     root = str(tmp_path_factory.mktemp("eml"))
     n = write_messages(message_fixture(spark, SF001), root)
-    assert n == 200
+    assert n == 320            # 200 documents, 40 items in three odd layouts
     return root
 
 
@@ -21,7 +21,7 @@ def test_label_eml_directory(spark, eml_dir, tmp_path):
     from mailsift.sources.labelled import read_labelled_csv
     out = str(tmp_path / "a.csv")
     stats = label_eml_directory(spark, eml_dir, out, label=1)
-    assert stats["found"] == 200 and stats["processed"] + stats["skipped"] == 200
+    assert stats["found"] == 320 and stats["processed"] + stats["skipped"] == 320
     back = read_labelled_csv(spark, out)
     assert back.count() == stats["processed"]
     assert back.where(F.col("label") != 1).count() == 0
@@ -76,3 +76,33 @@ def test_preparation_counts_every_message_and_keeps_the_ratio(spark, tmp_path):
     stats = jobs.prepare_training_data(spark, str(folder), str(tmp_path / "out.csv"), max_samples=200, balance_ratio=3.0)
     assert (stats["found"], stats["parse_error"], stats["too_short"], stats["duplicate"], stats["collected"]) == (13, 0, 1, 2, 10)
     assert stats["legitimate"] == int(stats["phishing"] * 3.0)
+
+
+def test_packed_messages_equal_the_scan(spark):
+    """Listing in tasks and containers give the rows of the plain scan."""
+    from mailsift.plans.q_mime import message_fixture
+    from mailsift.session import scratch_path
+    from mailsift.sources.eml import list_messages, pack_messages, packed_messages, scan_messages, write_messages
+    root, out = scratch_path(spark, "t-folders"), scratch_path(spark, "t-containers")
+    n = write_messages(message_fixture(spark, SF001), root, folders=7)
+    write_messages(spark.createDataFrame([(1, "not a message")], "doc_id long, message string"), f"{root}/3", suffix=".txt")
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    scan = scan_messages(spark, root)
+    listed = list_messages(spark, root)
+    assert listed.count() == n == scan.count()
+    assert listed.select(name, "length").exceptAll(scan.select(name, "length")).count() == 0
+    containers = pack_messages(spark, root, out, target_bytes=100_000)
+    packed = packed_messages(spark, out)
+    assert packed.select(name, "length", "content").exceptAll(scan.select(name, "length", "content")).count() == 0
+    assert packed.count() == n and containers >= scan.agg(F.sum("length")).first()[0] // 200_000
+    assert 0 < len(packed.inputFiles()) <= containers
+
+
+def test_packing_an_empty_tree(spark):
+    import os
+
+    from mailsift.session import scratch_path
+    from mailsift.sources.eml import pack_messages, packed_messages
+    root, out = scratch_path(spark, "t-nothing"), scratch_path(spark, "t-containers")
+    os.makedirs(f"{root}/a")
+    assert pack_messages(spark, root, out) == 0 and packed_messages(spark, out).count() == 0

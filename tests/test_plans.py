@@ -32,7 +32,7 @@ def test_no_cross_products(plans):
 def test_python_only_in_message_parser(plans):
     py = {n for n, p in plans.items()
           if any(k in p for k in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"))}
-    assert py == {"mime_ingest"}
+    assert py == {"mime_ingest", "packed_ingest"}
 
 
 def test_filter_and_projection_reach_the_scan(plans):
