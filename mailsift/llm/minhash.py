@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import heavy_of_counts, split_join
 from .common import Words, map_batches, mix, seeds, unused, window_hashes, written
 
 REGISTERS = 96
@@ -43,6 +44,8 @@ BAND = 4
 #: SetSketch: base of the scale, rate of the variables, largest register (two bytes).
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
 MARGIN = 14.0
+#: A bucket or shingle with fewer rows than this is never cut into pieces for a join.
+HEAVY = 100
 
 
 def shingle_set(ids: np.ndarray, width: int) -> np.ndarray:
@@ -185,11 +188,13 @@ def connected(edges: DataFrame) -> DataFrame:
     shape = _shape(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # both sides of the joins are read from tables, so that the edges of a hub can be split
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v")
         # now every edge points from a node (u) to a smaller one (v)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
@@ -217,11 +222,13 @@ def _prefix_pairs(rest: DataFrame, width: int, percent: int, kind: str) -> DataF
                 [batch.column("rep").take(row), batch.column("comp").take(row), pa.array(np.repeat(size, size)),
                  pa.array(shingle)], ["rep", "comp", "n", "shingle"])
 
-    rows = map_batches(rest, run, f"rep {kind}, comp {kind}, n bigint, shingle bigint")
-    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"))
+    rows = written(map_batches(rest, run, f"rep {kind}, comp {kind}, n bigint, shingle bigint"), "shingles")
+    counts = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shingle-counts")
+    heavy = heavy_of_counts(counts, ["shingle"], "holders", HEAVY)
+    counted = split_join(rows, counts, ["shingle"], heavy, ["rep"]).withColumn("holders", F.coalesce("holders", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("holders", "shingle"))
     # shingles from this one on; of the first that two sets share, it bounds what they share
-    first = rows.join(counts, "shingle").withColumn("left", F.col("n") - place + 1) \
+    first = counted.withColumn("left", F.col("n") - place + 1) \
         .where((100 * F.col("left") >= percent * F.col("n")) & (F.col("holders") > 1)) \
         .select("shingle", "rep", "comp", "n", "left")
     first = written(first, "prefixes")
@@ -249,8 +256,9 @@ def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int)
     classes = written(classes, "classes")
 
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(members.join(crowded, "bucket"), "buckets")
+    crowded = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowded")
+    heavy = heavy_of_counts(crowded, ["bucket"], "size", HEAVY)
+    members = written(split_join(members, crowded, ["bucket"], heavy, ["rep"], "inner"), "buckets")
     company = members.groupBy("rep").agg(F.sum("size").alias("company"))
     members = members.drop("size").join(company, "rep")
     wanted = classes.join(company.select("rep"), "rep").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "rep")
@@ -261,14 +269,14 @@ def _components(sketches: DataFrame, docs: DataFrame, width: int, percent: int)
         return written(_links(_candidates(pairs, classes, percent / 100, kind), known, width, percent, kind), "links")
 
     centres = members.groupBy("bucket").agg(F.max_by("rep", F.struct("company", "rep")).alias("a"))
-    stars = written(members.join(centres, "bucket").where("rep <> a").select("bucket", "rep", "a"), "stars")
+    stars = written(split_join(members, centres, ["bucket"], heavy, ["rep"], "inner").where("rep <> a").select("bucket", "rep", "a"), "stars")
     links = verified(stars.select("a", F.col("rep").alias("b")).distinct())
     parts = connected(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = stars.select("bucket", "rep").join(parts, F.col("rep") == F.col("node"), "left") \
         .select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("c"), F.max("comp").alias("d")) \
         .where("c < d").select("bucket")
-    rest = labelled.join(mixed, "bucket").select("rep", "comp").distinct().join(known, "rep")
+    rest = split_join(labelled, mixed, ["bucket"], heavy, ["rep"], "inner").select("rep", "comp").distinct().join(known, "rep")
     more = verified(_prefix_pairs(rest, width, percent, kind))
     if not more.isEmpty():
         parts = connected(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
