@@ -235,9 +235,9 @@ def _prefix_pairs(rest: DataFrame, width: int, percent: int, kind: str) -> DataF
     enough = lambda left, n, other: (100 + percent) * left >= percent * (n + other)
     met = first.groupBy("shingle").agg(F.min("n").alias("least"), F.min("comp").alias("c"), F.max("comp").alias("d")) \
         .where("c < d").select("shingle", "least")
-    open_ = first.join(met, "shingle").where(enough(F.col("left"), F.col("n"), F.col("least"))).drop("least")
+    open_ = split_join(first, met, ["shingle"], heavy, ["rep"], "inner").where(enough(F.col("left"), F.col("n"), F.col("least"))).drop("least")
     met = open_.groupBy("shingle").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d")
-    open_ = written(open_.join(met.select("shingle"), "shingle"), "prefixes")
+    open_ = written(split_join(open_, met.select("shingle"), ["shingle"], heavy, ["rep"], "inner"), "prefixes")
     x, y = open_.alias("x"), open_.alias("y")
     both = F.least("x.left", "y.left")
     return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep"))
