@@ -7,10 +7,11 @@ distinct one once per table and adds up counts.
 
 A batch of new pre-tokens is one ragged array of symbol ids. In each round every pre-token looks up
 the rank of all its neighbouring pairs (a pair's rank is that of the piece it forms), finds its
-lowest, and merges it, all pre-tokens of the batch at once. Where the merged piece cannot form a
-still better pair, all its disjoint occurrences merge in the same round; otherwise only the leftmost
-does, as the library would. What survives is counted, a character outside the vocabulary as its
-UTF-8 bytes.
+lowest, and merges all its occurrences, all pre-tokens of the batch at once. An occurrence whose new
+piece forms a pair as good or better with its neighbours is the last of its round, since the library
+would merge that pair next. What survives is counted, a character outside the vocabulary as its
+UTF-8 bytes. Pre-tokens too long for many rounds (a text without blanks) merge by the same rule in
+arrays with links, where a round touches the occurrences of one pair only.
 
 Rows are independent: no shuffle. Null or empty text: 0 tokens, 0 bytes.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 from .common import WORD_TABLE_LIMIT, map_batches, texts
 
 BLANK = "▁"
-#: Runs of symbols above this length are merged one by one with a heap (same result, no rounds).
+#: Pre-tokens above this length are merged in arrays with links (same rule and result): a round over
+#: the whole of a long text for each rank would read it thousands of times.
 LONG = 512
+#: Occurrences of one pair that a round over linked arrays merges, at most.
+CHUNK = 1 << 14
 _NO_RANK = np.iinfo(np.int32).max
 
 
@@ -64,7 +69,6 @@ class PieceModel:
         keys = sorted(pairs)
         self.pair_keys = np.array(keys, np.int64)
         self.pair_piece = np.array([pairs[k] for k in keys], np.int32)
-        self.pairs = pairs
         left, right = self.pair_keys >> 32, self.pair_keys & 0xFFFFFFFF
         made = self.rank[self.pair_piece]
         #: pieces whose merge may open a pair that is as good or better
@@ -97,8 +101,26 @@ def _survivors(symbols: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=np.where(symbols < 0, -symbols, 1), minlength=n).astype(np.int64)
 
 
+def _every_second(follows: np.ndarray) -> np.ndarray:
+    """Of occurrences in order, ``follows`` where one overlaps the one before: those that merge when
+    the leftmost goes first."""
+    index = np.arange(len(follows))
+    return (index - np.maximum.accumulate(np.where(follows, 0, index))) % 2 == 0
+
+
+def _opens(model: PieceModel, made: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether a new piece forms a pair with its neighbours that is as good as its own rank, or better."""
+    out = np.zeros(len(made), bool)
+    at = np.flatnonzero(model.opens[made])
+    if len(at):
+        own = model.rank[made[at]]
+        for piece in (model.pair(left[at], made[at]), model.pair(made[at], right[at])):
+            out[at] |= (piece >= 0) & (model.rank[piece] <= own)
+    return out
+
+
 def merge_ragged(model: PieceModel, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Tokens of each of many symbol sequences, merged in lockstep."""
+    """Tokens of each of many symbol sequences: each round merges the lowest-rank pair of every sequence."""
     n = len(lengths)
     owner = np.repeat(np.arange(n), lengths)
     done = np.zeros(n, np.int64)
@@ -117,51 +139,83 @@ def merge_ragged(model: PieceModel, symbols: np.ndarray, lengths: np.ndarray) ->
             if not len(symbols):
                 break
         at = np.flatnonzero(rank == np.repeat(lowest, span))
-        own = owner[at]
-        leftmost = np.r_[True, own[1:] != own[:-1]]
-        # occurrences that overlap form runs of neighbours; every second one of a run merges
-        run = np.r_[True, (at[1:] != at[:-1] + 1) | leftmost[1:]]
-        start = np.maximum.accumulate(np.where(run, at, 0))
-        same = piece[at] == np.repeat(piece[at[leftmost]], np.diff(np.r_[np.flatnonzero(leftmost), len(at)]))
-        take = leftmost | (((at - start) % 2 == 0) & same & ~model.opens[piece[at]])
-        at = at[take]
-        symbols[at] = piece[at]
+        at = at[_every_second(np.r_[False, (at[1:] == at[:-1] + 1) & (owner[at[1:]] == owner[at[:-1]])])]
+        made, own = piece[at], owner[at]
+        # neighbours as they are when the occurrences merge from left to right
+        around, whose = np.r_[symbols, -1, -1], np.r_[owner, -1, -1]
+        left = np.where(whose[at - 1] == own, around[at - 1], -1)
+        left[1:] = np.where((at[1:] == at[:-1] + 2) & (own[1:] == own[:-1]), made[:-1], left[1:])
+        opened = _opens(model, made, left, np.where(whose[at + 2] == own, around[at + 2], -1))
+        if opened.any():                        # what comes after such a piece in its sequence waits
+            before = np.cumsum(opened) - opened
+            leftmost = np.r_[True, own[1:] != own[:-1]]
+            go = before == np.maximum.accumulate(np.where(leftmost, before, 0))
+            at, made = at[go], made[go]
+        symbols[at] = made
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, owner = symbols[keep], owner[keep]
     return done
 
 
-def merge_one(model: PieceModel, symbols: list[int]) -> int:
-    """Tokens of one long sequence: best pair first, leftmost among equals, from a heap."""
-    left, right = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-    heap: list[tuple[int, int, int, int]] = []
-    symbols = symbols.copy()
-
-    def offer(i: int) -> None:
-        j = right[i]
-        if i >= 0 and j < len(symbols) and symbols[i] >= 0 and symbols[j] >= 0:
-            made = model.pairs.get(symbols[i] << 32 | symbols[j])
-            if made is not None:
-                heapq.heappush(heap, (int(model.rank[made]), i, symbols[i], symbols[j]))
-
-    for i in range(len(symbols) - 1):
-        offer(i)
-    gone = [False] * len(symbols)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = right[i]
-        if gone[i] or symbols[i] != a or j >= len(symbols) or symbols[j] != b:
-            continue
-        symbols[i] = model.pairs[a << 32 | b]
-        gone[j] = True
-        right[i] = right[j]
-        if right[i] < len(symbols):
-            left[right[i]] = i
-        offer(i)
-        if left[i] >= 0:
-            offer(left[i])
-    return sum(1 if s >= 0 else -s for s, out in zip(symbols, gone) if not out)
+def merge_linked(model: PieceModel, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Tokens of each of a few long symbol sequences: each round merges the lowest-rank pair of all of them.
+
+    The arrays keep their length; neighbours are linked, and the places of each rank are kept in a list, so
+    that a round reads the occurrences of one pair and not the whole text."""
+    n = len(symbols)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    ends = np.r_[True, owner[1:] != owner[:-1]]
+    symbols = np.r_[symbols, np.int32(-1)]              # the last entry stands for no neighbour
+    left = np.r_[np.where(ends, n, np.arange(n) - 1), n]
+    right = np.r_[np.where(np.r_[ends[1:], True], n, np.arange(n) + 1), n]
+    alive = np.ones(n, bool)
+    made = np.full(n + 1, -1, np.int32)
+    rank = np.full(n + 1, _NO_RANK, np.int32)
+    places: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def offer(at: np.ndarray) -> None:
+        """Look up the pairs that begin at these places."""
+        made[at] = model.pair(symbols[at], symbols[right[at]])
+        rank[at] = np.where(made[at] >= 0, model.rank[made[at]], _NO_RANK)
+        at = at[made[at] >= 0]
+        at = at[np.argsort(rank[at], kind="stable")]
+        for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+            r = int(rank[part[0]])
+            if r not in places:
+                places[r] = []
+                heapq.heappush(ranks, r)
+            places[r].append(part)
+
+    offer(np.arange(n))
+    while ranks:
+        r = ranks[0]
+        at = np.sort(np.concatenate(places[r]), kind="stable")
+        at, rest = at[:CHUNK], at[CHUNK:]
+        at = np.unique(at[rank[at] == r])
+        at = at[_every_second(np.r_[False, right[at[:-1]] == at[1:]])] if len(at) else at
+        if len(at):
+            new, second = made[at], right[at]
+            before = symbols[left[at]]
+            before[1:] = np.where(second[:-1] == left[at[1:]], new[:-1], before[1:])
+            opened = _opens(model, new, before, symbols[right[second]])
+            if opened.any():                    # what comes after such a piece waits
+                last = int(opened.argmax()) + 1
+                rest = np.r_[at[last:], rest]
+                at, new, second = at[:last], new[:last], second[:last]
+        if len(rest):
+            places[r] = [rest]
+        else:
+            del places[r]
+            heapq.heappop(ranks)
+        if len(at):
+            symbols[at] = new
+            alive[second], rank[second] = False, _NO_RANK
+            right[at] = right[second]
+            left[right[at]] = at
+            offer(np.setdiff1d(np.r_[at, left[at]], [n]))
+    return _survivors(symbols[:n][alive], owner[alive], len(lengths))
 
 
 class TokenCounts(dict):
@@ -174,14 +228,14 @@ class TokenCounts(dict):
     def learn(self, tokens: set[str]) -> None:
         if len(self) + len(tokens) > WORD_TABLE_LIMIT:
             self.clear()
-        new = [t for t in tokens if t not in self]
-        short = [t for t in new if len(t) <= LONG]
-        self.update((t, merge_one(self.model, self.model.symbols(t))) for t in new if len(t) > LONG)
-        for k in range(0, len(short), 50_000):
-            part = short[k:k + 50_000]
-            lengths = np.fromiter(map(len, part), np.int64, len(part))
-            symbols = np.array(self.model.symbols("".join(part)), np.int32)
-            self.update(zip(part, merge_ragged(self.model, symbols, lengths).tolist()))
+        new = sorted((t for t in tokens if t not in self), key=len)
+        cut = bisect_right(new, LONG, key=len)
+        for merge, some, size in ((merge_ragged, new[:cut], 50_000), (merge_linked, new[cut:], 1_000)):
+            for k in range(0, len(some), size):
+                part = some[k:k + size]
+                lengths = np.fromiter(map(len, part), np.int64, len(part))
+                symbols = np.array(self.model.symbols("".join(part)), np.int32)
+                self.update(zip(part, merge(self.model, symbols, lengths).tolist()))
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import sys
 import zlib
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -100,10 +101,28 @@ def test_token_counts_equal_the_library(docs, rows):
 def test_token_counts_ways_agree():
     model = counts.PieceModel(open(public_tokenizers.path(queries.PIECE_BPE), "rb").read())
     rng = random.Random(3)
-    known = counts.TokenCounts(model)
-    words = {"".join(rng.choice("▁etaoinhs①") for _ in range(rng.randrange(1, 60))) for _ in range(400)}
-    known.learn(words)
-    assert all(known[w] == counts.merge_one(model, model.symbols(w)) for w in words)
+    words = ["".join(rng.choice("▁etaoinhs①") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    lengths = np.array([len(w) for w in words])
+    symbols = np.array(model.symbols("".join(words)), np.int32)
+    together = counts.merge_ragged(model, symbols.copy(), lengths)
+    assert (counts.merge_linked(model, symbols, lengths) == together).all()
+
+
+@pytest.mark.parametrize("chunk", [3, counts.CHUNK])
+def test_token_counts_of_texts_without_blanks(chunk, monkeypatch):
+    import sentencepiece
+    path = public_tokenizers.path(queries.PIECE_BPE)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(counts, "CHUNK", chunk)
+    rng = random.Random(7)
+    parts = ("the", "ation", "ing", "er", "est", "aaa", "==", "0", "ß", "漢字", "①", "\U0001F600")
+    long = ["a" * 3000, "ab" * 2000, "=" * 1025, "①" * 600, "".join(rng.choices("etaoinshrdlu", k=6000)),
+            "".join(rng.choices(parts, k=2000)), "".join(rng.choices("ae", k=4000)), "x" * (counts.LONG + 1)]
+    known = counts.TokenCounts(counts.PieceModel(open(path, "rb").read()))
+    pre = [known.model.pre_tokens(t) for t in long]
+    assert all(max(map(len, p)) > counts.LONG for p in pre)
+    known.learn({w for p in pre for w in p})
+    assert [sum(known[w] for w in p) for p in pre] == [len(library.encode(t)) for t in long]
 
 
 def test_near_components_equal_all_pairs(docs, rows):
