@@ -109,15 +109,16 @@ def _split_rows(data: DataFrame, val_ratio: float) -> DataFrame:
     copies are numbered, so that ids are unique."""
     copies = data.groupBy("email_text", "label").agg(F.count(F.lit(1)).alias("n"))
     data = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))) \
-        .select("email_text", "label", F.xxhash64("email_text", "label", "copy").alias("doc_id"))
+        .select("email_text", "label", F.sha2(F.to_json(F.struct("label", "copy", "email_text")), 256).alias("doc_id"))
     return materialize(train_val_split(data, "doc_id", val_ratio))
 
 
 def train(spark: SparkSession, csv_path: str | None, model_dir: str, val_ratio: float = 0.2,
-          alpha: float = 1.0, max_length: int = P.MAX_TOKENS) -> DataFrame:
+          alpha: float = 1.0, max_length: int = P.MAX_TOKENS, in_splits: bool = False) -> DataFrame:
     """Labelled CSV (or the built-in sample when no path is given) → seeded split → fit →
-    validation metrics (returned) → model saved under ``model_dir``."""
-    split = _split_rows(read_labelled_csv(spark, csv_path) if csv_path else builtin_sample(spark), val_ratio)
+    validation metrics (returned) → model saved under ``model_dir``. ``in_splits`` reads large files in
+    splits."""
+    split = _split_rows(read_labelled_csv(spark, csv_path, in_splits) if csv_path else builtin_sample(spark), val_ratio)
     table, priors = nb_fit(split.where(F.col("part") == "train"), "email_text", "label", alpha,
                            max_tokens=max_length)
     save_model(table, priors, model_dir)
@@ -128,11 +129,11 @@ def train(spark: SparkSession, csv_path: str | None, model_dir: str, val_ratio:
 
 def train_in_epochs(spark: SparkSession, csv_path: str | None, model_dir: str, epochs: int = 3,
                     batch_size: int | None = None, learning_rate: float = 1.0, val_ratio: float = 0.2,
-                    max_length: int = P.MAX_TOKENS, weight_decay: float = 0.01) -> DataFrame:
+                    max_length: int = P.MAX_TOKENS, weight_decay: float = 0.01, in_splits: bool = False) -> DataFrame:
     """Like :func:`train`, by gradient descent: ``epochs`` passes in steps of ``batch_size`` rows (null: all).
     Returns the history, a row per epoch; the weights of every epoch stay under ``model_dir`` and those
     of the epoch with the highest recall become its ``best``."""
-    split = _split_rows(read_labelled_csv(spark, csv_path) if csv_path else builtin_sample(spark), val_ratio)
+    split = _split_rows(read_labelled_csv(spark, csv_path, in_splits) if csv_path else builtin_sample(spark), val_ratio)
     fit = fit_epochs(split.where(F.col("part") == "train"), split.where(F.col("part") == "val"), model_dir, epochs,
                      batch_size, learning_rate, weight_decay, max_tokens=max_length)
     fit.weights(spark).write.mode("overwrite").parquet(f"{model_dir}/best")

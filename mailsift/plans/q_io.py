@@ -26,6 +26,16 @@ def csv_roundtrip(spark, base):
     return read_labelled_csv(spark, path)
 
 
+@register("csv_in_splits", """
+SELECT d.text AS email_text, CAST(l.toxic AS INTEGER) AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+def csv_in_splits(spark, base):
+    """S2 for large files: whole labelled texts, written as CSV, read split by split."""
+    path = scratch_path(spark, "csv-splits")
+    write_labelled_csv(labelled_documents(spark, base).select("text", "label"), path, text_col="text")
+    return read_labelled_csv(spark, path, in_splits=True)
+
+
 @register("model_save_load", _nb_sql(1.0) + """
 SELECT doc_id, round(p1, 6) AS p_1, pred FROM pred""")
 def model_save_load(spark, base):
