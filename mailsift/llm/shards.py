@@ -1,11 +1,12 @@
 """Shards of near equal bytes that keep equal texts together: minimax contiguous partition.
 
 Groups (equal texts) are ordered by the hash of their text. The smallest capacity is searched for
-with which a greedy walk over the ordered group sizes needs no more shards than allowed; the cuts of
-that walk are the shards. Everything on the data is native: a histogram of bytes by the hash's first
+with which a greedy walk over the ordered group sizes needs no more shards than allowed. That walk
+fills its first shards and leaves the rest to the last one, so of all cuts that keep this capacity
+those with the largest smallest shard are taken, as far as the known sums tell groups apart. Everything on the data is native: a histogram of bytes by the hash's first
 16 bits (65,536 rows at most) gives an upper and a lower bound for every cut, and only the buckets
 between the two are refined by 8 more bits, until the bounds meet at single groups. So the driver
-sees a bounded number of sums whatever the number of texts, and the answer is that of the walk over
+sees a bounded number of sums whatever the number of texts, and the capacity is that of the walk over
 all groups. Two texts with one 64-bit hash would merely be kept together.
 
 The shard is then a comparison with at most ``n_shards`` - 1 literals. Slots are numbered inside
@@ -13,7 +14,7 @@ The shard is then a comparison with at most ``n_shards`` - 1 literals. Slots are
 the corpus does not meet in one task.
 
 Null text: no bytes, size 1, in the group of the empty text. Repeated rows each get a slot. An empty
-table gives an empty result; with fewer groups than shards the last shards stay empty.
+table gives an empty result; with fewer groups than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from bisect import bisect_right
 from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,10 +87,34 @@ class Walk:
                 i += 1
         return [self.atoms[i] for i in sorted(out) if not self.atoms[i].single]
 
+    def evenest(self, n_shards: int) -> list[int]:
+        """Cuts of the smallest capacity, with the largest smallest shard among those."""
+        capacity, ends = self.smallest(n_shards, False), np.array(self.sums, np.int64)
+        first = np.searchsorted(ends, ends - capacity, "left")      # where a shard that ends here may start
+
+        def reached(least: int) -> list[np.ndarray]:
+            """By number of shards, the ends that shards of ``least`` to ``capacity`` can have."""
+            last = np.maximum(np.searchsorted(ends, ends - least, "right"), first)
+            out = [ends == 0]
+            for _ in range(n_shards):
+                count = np.concatenate(([0], np.cumsum(out[-1])))
+                out.append(count[last] > count[first])
+            return out
+
+        low, high = 0, self.sums[-1] // n_shards
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if reached(mid)[-1][-1] else (low, mid - 1)
+        steps, cuts = reached(low), [len(ends) - 1]
+        for k in range(n_shards - 1, -1, -1):
+            at = cuts[-1]
+            own = np.flatnonzero(steps[k] & (ends >= ends[at] - capacity) & (ends <= ends[at] - low))
+            cuts.append(int(own[np.abs(ends[own] - self.sums[-1] * k // n_shards).argmin()]))
+        return [self.sums[k] for k in reversed(cuts)]
+
     def starts(self, n_shards: int) -> list[int]:
-        """First hashes of the second and later shards of the best walk."""
-        cuts = self.cuts(self.smallest(n_shards, False), n_shards, False)
-        return [self.atoms[bisect_right(self.sums, c) - 1].low for c in cuts[1:-1] if c < self.sums[-1]]
+        """First hashes of the second and later shards."""
+        return [self.atoms[bisect_right(self.sums, c) - 1].low for c in self.evenest(n_shards)[1:-1] if c < self.sums[-1]]
 
 
 def plan_cuts(sizes: DataFrame, n_shards: int, hash_col: str, size_col: str) -> list[int]:
