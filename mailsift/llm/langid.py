@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, written
 
 PROFILE_SIZE = 300
 UNDETERMINED = "und"
+#: Languages (about) whose profiles a task holds at once.
+LANGS_AT_ONCE = 256
 #: Words counted at once.
 _PIECE_WORDS = 50_000
 #: Letters are the Unicode category L: numerals such as ² or Ⅷ are none.
@@ -106,9 +108,9 @@ class _Profiles:
         for lang, code, rank in rows:
             self.ranks[at[code], col[lang]] = rank
 
-    def predict(self, words: list[str]) -> tuple[str, float]:
+    def predict(self, words: list[str]) -> tuple[str | None, float]:
         if not words or not self.langs:
-            return UNDETERMINED, 0.0
+            return None, 0.0
         top = _ranked(*_counted(words), self.size)
         at = np.searchsorted(self.codes, top)
         at[(at == len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != top)] = len(self.codes)
@@ -119,24 +121,39 @@ class _Profiles:
         return self.langs[best], float(1 - distance[best] / (self.size * len(top)))
 
 
-def predict_language(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     size: int = PROFILE_SIZE) -> DataFrame:
-    """``(id, lang_pred, score)`` per row of ``docs``. The profiles (``size`` rows a language) are
-    the only thing sent to the tasks."""
-    rows = [tuple(r) for r in profiles.select("lang", "gram", "rank").collect()]
+def _nearer(one: tuple[str | None, float], other: tuple[str | None, float]) -> tuple[str | None, float]:
+    if one[0] is None or other[0] is None:
+        return other if one[0] is None else one
+    return min(one, other, key=lambda x: (-x[1], x[0]))
 
-    def run(batches):
-        known = _Profiles(rows, size)
-        for batch in batches:
-            out = [known.predict(_words(t)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([x[0] for x in out], pa.string()),
-                 pa.array([x[1] for x in out], pa.float64())], ["_id", "lang_pred", "score"])
 
+def predict_language(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     size: int = PROFILE_SIZE, langs_at_once: int = LANGS_AT_ONCE) -> DataFrame:
+    """``(id, lang_pred, score)`` per row of ``docs``. The profiles (``size`` rows a language) are
+    the only thing sent to the tasks, for about ``langs_at_once`` languages at a time: more values
+    of a language take more steps in the same pass over the rows, each of which keeps the nearer."""
+    profiles = written(profiles.select("lang", "gram", "rank"), "profiles")
+    blocks = max(1, -(-profiles.select("lang").distinct().count() // langs_at_once))
     kind = docs.schema[id_col].dataType.simpleString()
-    out = map_batches(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run,
-                      f"_id {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("_id", id_col)
+    out = docs.select(F.col(id_col).alias("_id"), F.lit(None).cast("string").alias("lang_pred"),
+                      F.lit(0.0).alias("score"), F.col(text_col).alias("_text"))
+    for block in range(blocks):
+        rows = [tuple(r) for r in profiles.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == block).collect()]
+        passed = ["_text"] if block < blocks - 1 else []
+
+        def run(batches, rows=rows, passed=passed):
+            known = _Profiles(rows, size)
+            for batch in batches:
+                so_far = zip(batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist())
+                found = [_nearer(old, known.predict(_words(t)))
+                         for old, t in zip(so_far, batch.column("_text").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_id"), pa.array([x[0] for x in found], pa.string()),
+                     pa.array([x[1] for x in found], pa.float64()), *map(batch.column, passed)],
+                    ["_id", "lang_pred", "score", *passed])
+
+        out = map_batches(out, run, f"_id {kind}, lang_pred string, score double" + ", _text string" * len(passed))
+    return out.select(F.col("_id").alias(id_col), F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -267,6 +267,22 @@ def test_shard_walk_is_exact_on_groups():
         assert not walk.vague(n)
 
 
+def test_smallest_shard_is_the_largest_possible():
+    from itertools import combinations_with_replacement
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = [rng.choice([1, 2, 3, 10, 40]) for _ in range(rng.randrange(1, 9))]
+        n = rng.randrange(1, 5)
+        walk = shards.Walk([shards.Atom(i, i, w, 64, i) for i, w in enumerate(sizes)])
+        parts = lambda cuts: [sum(sizes[a:b]) for a, b in zip((0, *cuts), (*cuts, len(sizes)))]
+        every = [parts(c) for c in combinations_with_replacement(range(len(sizes) + 1), n - 1)]
+        least = max(min(p) for p in every if max(p) == B.minimax(sizes, n))
+        ends = walk.evenest(n)
+        got = [b - a for a, b in zip(ends, ends[1:])]
+        assert len(got) == n and sum(got) == sum(sizes)
+        assert (max(got), min(got)) == (B.minimax(sizes, n), least)
+
+
 def test_shard_cuts_from_buckets_equal_groups(spark):
     from pyspark.sql import functions as F
     rows = spark.range(3000).select(F.xxhash64(F.col("id") % 700).alias("h"), (F.col("id") % 97 + 1).alias("w"))
@@ -289,6 +305,8 @@ def test_language_profiles(spark, empty):
     assert got[93]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in got.values())
     held = {r["doc_id"]: r["h"] for r in df.select("doc_id", langid.held_out().alias("h")).collect()}
     assert all(held[i] == B.held_out(i) for i in held if i is not None) and held[None]
+    one_by_one = langid.predict_language(df, profiles, langs_at_once=1)
+    assert _by(one_by_one.collect()) == _by(langid.predict_language(df, profiles).collect())
     none = langid.predict_language(df, langid.learn_profiles(empty))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
