@@ -3,7 +3,8 @@
 Input: a long table ``(doc_id, head, q_pos, k_pos, token, weight)`` of last-layer attention
 weights. The explanation of a document is the mean over heads of the weights from the first
 query position, special tokens removed, the ``top_k`` largest kept (ties: earlier position).
-All steps are keyed aggregations and a per-document window (≤ sequence length rows each).
+All steps are keyed aggregations and a per-document window (≤ sequence length rows each). A table that is
+dealt by document, as a table bucketed by ``doc_id`` is, is aggregated and ranked where it is, without a shuffle.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ from ..operators.features import (doc_token_sets, explode_tokens, pad_and_mask,
 from ..operators.joins import heavy_of_counts, split_join
 from ..operators.runlog import logged_run, rank_runs
 from ..session import scratch_path
-from ..sources.tables import documents
+from ..sources.tables import dealt_by_key, documents, read_table
 from . import sqltext as S
 from .corpus import prepare_corpus
 from .q_corpus import BALANCED_SQL
@@ -277,7 +277,9 @@ ATT_STAGE = "attn:42:"
 def attention_table(spark, base):
     d = documents(spark, base, "doc_id", "text")
     seq = F.concat(F.array(F.lit("[CLS]")), F.slice(tokens("text"), 1, P.MAX_TOKENS - 2), F.array(F.lit("[SEP]")))
-    k = d.select("doc_id", F.posexplode(seq).alias("k_pos", "token"))
+    # a stored table is bucketed by document; so is this one, before heads and positions multiply its rows
+    seqs = dealt_by_key(d.select("doc_id", seq.alias("seq")), "doc_id", read_table(spark, base, "documents").count())
+    k = seqs.select("doc_id", F.posexplode("seq").alias("k_pos", "token"))
     q = k.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("q_pos"))
     base_key = F.concat_ws(":", F.lit(ATT_STAGE[:-1]), F.col("doc_id").cast("string"),
                            F.col("q_pos").cast("string"), F.col("k_pos").cast("string"))

@@ -31,6 +31,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Documents whose tokens one task groups at once.
+DOCS_PER_TASK = 2048
+
+
+def dealt_by_key(df: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``df``, of ``n_rows`` whole texts, dealt by ``key``: later groupings and windows by the key, alone or with other
+    columns, find their rows in place, so the texts are shuffled once and not the many rows made of them.
+    The tasks grow with the rows, so that what one of them groups stays in memory."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(slots, -(-n_rows // DOCS_PER_TASK)), key)
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str, *columns: str,
                parallel: bool = False) -> DataFrame:
     df = spark.read.parquet(table_path(base_dir, name))
