@@ -85,11 +85,14 @@ def tfidf_weights(df: DataFrame, text_col: str, id_col: str = "doc_id", min_df:
     """``(id, token_id, token, weight)``, the sparse vectors of whole texts by rows: term frequency times
     ``ln((N + 1) / (df + 1))``, at the token's position in the vocabulary (from 1). Frequent tokens
     are cut into pieces for the join with the vocabulary."""
+    from ..session import materialize
+    from ..sources.tables import dealt_by_key
     from .joins import heavy_of_counts, split_join
     n = df.count()
-    vocab = vocabulary(doc_token_sets(df, text_col, (id_col,), ()), "token", min_df, id_col, distinct_rows=True)
+    vocab = materialize(vocabulary(doc_token_sets(df, text_col, (id_col,), ()), "token", min_df, id_col, distinct_rows=True), "vocabulary")
     idf = vocab.withColumn("idf", F.log((F.lit(float(n)) + 1) / (F.col("doc_freq") + 1)))
-    counts = explode_tokens(df, text_col, (id_col,), ()).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    dealt = dealt_by_key(df.select(id_col, text_col), id_col, n)        # texts are shuffled, not their tokens
+    counts = explode_tokens(dealt, text_col, (id_col,), ()).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
     heavy = heavy_of_counts(vocab, ["token"], "doc_freq")
     return split_join(counts, idf, ["token"], heavy, [id_col], "inner") \
         .select(id_col, "token_id", "token", (F.col("tf") * F.col("idf")).alias("weight"))
