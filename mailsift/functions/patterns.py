@@ -31,9 +31,17 @@ WORD = "[" + WORD_CLASS_BODY + "]"
 # Cleaning patterns (masked profile B unless noted).
 URL_PATTERN = "https?://" + NOT_WS + "+"
 EMAIL_PATTERN = "[" + WORD_CLASS_BODY + r".-]+@[" + WORD_CLASS_BODY + r".-]+\." + WORD + "+"
+# The same matches for Java: no ``@`` is in the class, so only a run's start (or the last match's end) is tried, once.
+EMAIL_FROM_START = (r"(?:\G|(?<![" + WORD_CLASS_BODY + r".-]))[" + WORD_CLASS_BODY + r".-]++@["
+                    + WORD_CLASS_BODY + r".-]+\." + WORD + "+")
 BLANKS_PATTERN = r"[ \t]+"
 BLANK_LINES_PATTERN = r"\n" + WS + r"*\n" + WS + r"*\n+"
 ALL_WS_PATTERN = WS + "+"
+# What of these runs is not one space already: the same result without writing every space anew.
+BLANKS_TO_CHANGE = r"\t[ \t]*| [ \t]+"
+_WS_RANGES = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+ALL_WS_TO_CHANGE = (r"[\x{9}-\x{D}\x{1C}-\x{1F}" + _WS_RANGES + r"[\x{9}-\x{D}\x{1C}-\x{20}" + _WS_RANGES
+                    + r"*| [\x{9}-\x{D}\x{1C}-\x{20}" + _WS_RANGES + "+")
 CONTROL_PATTERN = r"[\x00-\x09\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 URL_MARK = "[URL]"
 EMAIL_MARK = "[EMAIL]"

@@ -30,12 +30,12 @@ def mask_urls(c: ColumnOrName) -> Column:
 
 def mask_emails(c: ColumnOrName) -> Column:
     """E-mail addresses become ``[EMAIL]`` (run after T1)."""
-    return F.regexp_replace(_col(c), P.EMAIL_PATTERN, P.EMAIL_MARK)
+    return F.regexp_replace(_col(c), P.EMAIL_FROM_START, P.EMAIL_MARK)
 
 
 def collapse_blanks(c: ColumnOrName) -> Column:
     """Runs of spaces / tabs become one space."""
-    return F.regexp_replace(_col(c), P.BLANKS_PATTERN, " ")
+    return F.regexp_replace(_col(c), P.BLANKS_TO_CHANGE, " ")
 
 
 def collapse_blank_lines(c: ColumnOrName) -> Column:
@@ -45,7 +45,7 @@ def collapse_blank_lines(c: ColumnOrName) -> Column:
 
 def collapse_whitespace(c: ColumnOrName) -> Column:
     """T5: every whitespace run becomes one space (paragraphs are lost)."""
-    return F.regexp_replace(_col(c), P.ALL_WS_PATTERN, " ")
+    return F.regexp_replace(_col(c), P.ALL_WS_TO_CHANGE, " ")
 
 
 def strip_controls(c: ColumnOrName) -> Column:
@@ -74,7 +74,8 @@ def mask_long_words(c: ColumnOrName, min_len: int = P.LONG_WORD_MIN) -> Column:
     A greedy run of word characters always starts and ends on a word boundary, so the
     boundary assertions of ``\\b\\w{n,}\\b`` are implied.
     """
-    return F.regexp_replace(_col(c), f"{P.WORD}{{{int(min_len)},}}", P.ENCODED_MARK)
+    # (a run starts where no word character stands before, so no other place of a word is tried)
+    return F.regexp_replace(_col(c), f"(?<!{P.WORD}){P.WORD}{{{int(min_len)},}}", P.ENCODED_MARK)
 
 
 def truncate(c: ColumnOrName, n: int) -> Column:
@@ -121,7 +122,7 @@ def clean_text(c: ColumnOrName, profile: str = MASKED, **kw) -> Column:
 
 def fingerprint(c: ColumnOrName) -> Column:
     """md5 hex of the lower-cased, stripped, whitespace-collapsed text."""
-    return F.md5(strip(F.regexp_replace(F.lower(_col(c)), P.ALL_WS_PATTERN, " ")))
+    return F.md5(strip(collapse_whitespace(F.lower(_col(c)))))
 
 
 def compose(subject: ColumnOrName, body: ColumnOrName) -> Column:
