@@ -9,7 +9,7 @@ from ..operators.classify import nb_fit
 from ..operators.compute import with_computed
 from ..operators.rules import KEYWORD_RULES
 from ..session import scratch_path
-from ..sources.eml import stream_messages, write_messages
+from ..sources.eml import FOLDERS, stream_messages, write_messages
 from ..sources.tables import documents
 from ..streaming import jobs as W
 from . import sqltext as S
@@ -21,10 +21,10 @@ from .registry import register
 
 
 def _staged(spark, base):
-    """The documents as arriving files; a micro-batch takes files for half the task slots."""
+    """The documents as arriving files; a micro-batch takes four for each task slot."""
     d = documents(spark, base, "doc_id", "text")
     path = W.stage_files(d, scratch_path(spark, "stream-src"))
-    return W.read_stream(spark, path, d.schema, max(1, spark.sparkContext.defaultParallelism // 2))
+    return W.read_stream(spark, path, d.schema, 4 * spark.sparkContext.defaultParallelism)
 
 
 @register("stream_score", _nb_sql(1.0) + f""",
@@ -71,7 +71,7 @@ def stream_funnel(spark, base):
 def stream_ingest(spark, base):
     """W1 from message files: the files arrive, are parsed, chosen and cleaned (= batch ingest's rows)."""
     root = scratch_path(spark, "stream-messages")
-    n = write_messages(message_fixture(spark, base), root)
+    n = write_messages(message_fixture(spark, base), root, folders=FOLDERS)
     arriving = stream_messages(spark, root, max_files_per_trigger=max(1, -(-n // 4)))
     sink, _ = W.append_batches(ingest(arriving), "stream-ingest")
     return spark.read.parquet(sink).drop("batch")
@@ -89,7 +89,7 @@ def stream_message_funnel(spark, base):
     """The funnel of arriving message files, with those that cannot be parsed."""
     from pyspark.sql import functions as F
     root = scratch_path(spark, "stream-messages")
-    n = write_messages(message_fixture(spark, base), root)
+    n = write_messages(message_fixture(spark, base), root, folders=FOLDERS)
     arriving = clean_messages(stream_messages(spark, root, max_files_per_trigger=max(1, -(-n // 4)))).select(
         F.col("body_m").alias("body"), "email_text", fingerprint("email_text").alias("fp"), (F.col("parse_status") == "ok").alias("parsed"))
     sink = W.running_funnel(arriving, "message-funnel", "body", "email_text", "fp", parsed_col="parsed")

@@ -26,11 +26,14 @@ from ..session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of an arriving file at most, if their number is not given.
+FILE_ROWS = 8192
+
 
 def stage_files(df: DataFrame, path: str, n_files: int | None = None) -> str:
-    """Write ``df`` as Parquet files, the arriving files of a stream: one per partition of its plan, so
-    that their number grows with the data, or ``n_files``."""
-    (df.repartition(n_files) if n_files else df).write.mode("overwrite").parquet(path)
+    """Write ``df`` as Parquet files, the arriving files of a stream: as many as its partitions and FILE_ROWS
+    need, so that their number grows with the data and one file is a short task, or ``n_files``."""
+    (df.repartition(n_files) if n_files else df).write.option("maxRecordsPerFile", 0 if n_files else FILE_ROWS).mode("overwrite").parquet(path)
     return path
 
 
@@ -40,11 +43,15 @@ def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: i
 
 
 @contextmanager
-def _state_settings(spark: SparkSession):
-    """A query keeps the settings it is started with: state in RocksDB, as many state partitions as
-    task slots (they are fixed for the life of a stream's checkpoint)."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+def _started_with(spark: SparkSession, stateful: bool):
+    """The settings of a query. A micro-batch may hold 10^5 small files: a task reads as many as
+    their bytes allow, and few tasks look them up. With state: in RocksDB, in as many partitions as task
+    slots (they are fixed for the life of a stream's checkpoint)."""
+    slots = spark.sparkContext.defaultParallelism
+    wanted = {"spark.sql.files.openCostInBytes": str(64 << 10),
+              "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * slots)}
+    if stateful:
+        wanted |= {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(slots)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -61,12 +68,9 @@ def _run(stream: DataFrame, name: str, write, output_mode: str = "append", state
     spark = stream.sparkSession
     query = stream.writeStream.outputMode(output_mode).foreachBatch(write) \
         .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True)
-    if stateful:
-        with _state_settings(spark):
-            running = query.start()
-    else:
+    with _started_with(spark, stateful):
         running = query.start()
-    running.awaitTermination()
+        running.awaitTermination()      # the source looks its files up with the caller's settings, while it runs
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "ms": p["durationMs"].get("triggerExecution", 0)}
             for p in running.recentProgress if p["numInputRows"]]
 
