@@ -102,17 +102,18 @@ def unescape(c: ColumnOrName) -> Column:
     named (HTML5 table, legacy names without ';' by longest prefix) and numeric — so nothing is
     decoded twice (``&amp;lt;`` → ``&lt;``). Native: split on ``&`` + ``transform``; each value
     is bound once through a lambda."""
-    table = _entity_map()
-
-    def piece(p: Column) -> Column:
+    def piece(p: Column, table: Column) -> Column:
         return F.when(p.startswith("#"), _numeric(F.substring(p, 2, 1 << 30))).otherwise(_named(p, table))
 
-    def decode(parts: Column) -> Column:
-        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    def decode(bound: Column) -> Column:
+        parts, table = bound["parts"], bound["table"]
+        tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: piece(p, table))
         return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
 
     def guarded(text: Column) -> Column:
-        return F.when(text.contains("&"), _let(F.split(text, "&"), decode)).otherwise(text)
+        # the table is bound beside the pieces: a plan has it once for each call, not for each look-up
+        return F.when(text.contains("&"), _let(F.struct(F.split(text, "&").alias("parts"), _entity_map().alias("table")),
+                                               decode)).otherwise(text)
 
     return _let(_col(c), guarded)
 

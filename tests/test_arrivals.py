@@ -1,10 +1,12 @@
 """Streams of message files take them from lists that tasks write: whole, once, and without their names in the driver."""
 
+import glob
 import os
 import threading
 import time
 
-from mailsift.session import scratch_path
+from conftest import SF001
+from mailsift.session import checkpoint_root, scratch_path
 from mailsift.sources.eml import follow_arrivals, list_arrivals, stream_messages
 
 
@@ -71,3 +73,22 @@ def test_a_running_stream_is_followed(spark, tmp_path):
         query.stop()
         following.join(60)
     assert not following.is_alive() and _taken(spark, out) == _expected(["a.eml", "x/b.eml"])
+
+
+def test_the_funnel_of_messages_names_lists_only(spark):
+    from mailsift.plans.q_stream import stream_message_funnel
+    logs = f"{checkpoint_root(spark).removeprefix('file:')}/message-funnel-ckpt-*/sources/0/[0-9]*"
+    before = set(glob.glob(logs))
+    got = {r.outcome: r.n for r in stream_message_funnel(spark, SF001).collect()}
+    documents, bench = (spark.read.parquet(f"{SF001}/{t}.parquet").count() for t in ("documents", "benchmark"))
+    assert got["found"] == documents + 3 * bench == sum(n for o, n in got.items() if o != "found") and got["parse_error"] == bench
+    logged = "".join(open(f).read() for f in set(glob.glob(logs)) - before)
+    assert "path" in logged and ".eml" not in logged
+
+
+def test_a_plan_has_the_table_of_references_once_a_call(spark):
+    """Each copy is a literal of 2,231 names, which the driver makes anew for every micro-batch."""
+    from mailsift.functions.html import unescape
+    plan = spark.createDataFrame([("a &amp; &notit; &#65; &&lt", )], "x string").select(unescape("x").alias("y"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+    assert plan.first().y == "a & \u00acit; A &<"
